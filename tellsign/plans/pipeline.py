@@ -1,0 +1,85 @@
+"""The scoring job: messages in, features and results out."""
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tellsign.functions import scoring as SC
+from tellsign.functions import signals as SG
+from tellsign.operators import clean as C
+from tellsign.sources import embeddings as E
+
+FEATURE_COLUMNS = [
+    "msg_id", "user", "text", "text_length", "text_length_signal",
+    "urgency_score", "authority_score", "social_proof_score", "reciprocity_score",
+    "commitment_score", "liking_score", "fear_score", "trust_score",
+    "analyzer_urgency_score", "sentiment", "sentiment_risk_signal", "semantic_signal",
+]
+
+
+def row_signals(
+    messages: DataFrame,
+    lexicon: Mapping[str, float] | None = None,
+    analyzer: bool = True,
+) -> DataFrame:
+    """Every signal that needs nothing but its own row; shared by batch and streams."""
+    df = SG.with_hit_counts(messages, analyzer)
+    df = SG.sentiment_columns(df, lexicon, analyzer)
+    counts = [c for c in df.columns if c.startswith(("re_", "kw_"))]
+    df = df.withColumns(SG.merged_scores(analyzer)).drop(*counts)
+    if "embedding" in df.columns:
+        return df.withColumn("semantic_signal", SG.semantic_signal(F.col("embedding"))).drop(
+            "embedding")
+    return df.withColumn("semantic_signal", F.lit(0.0))
+
+
+def build_features(
+    raw: DataFrame,
+    embeddings: DataFrame | None = None,
+    lexicon: Mapping[str, float] | None = None,
+    analyzer: bool = True,
+) -> DataFrame:
+    """Clean a batch and add all signals.
+
+    The batch is read twice: once narrow (digest, key, length) for duplicates and length
+    bounds, once whole.  The text is shuffled once, by ``msg_id``.
+    """
+    keys = C.distinct_keys(C.valid_messages(raw))
+    bounds = C.length_bounds(keys)
+    df = C.clean_messages(raw, keys)
+    if embeddings is not None:
+        df = E.attach(df, embeddings)
+    df = row_signals(df, lexicon, analyzer)
+    df = df.withColumn(
+        "text_length_signal",
+        SG.length_signal(
+            F.col("text_length"),
+            bounds.select("shortest").scalar(), bounds.select("longest").scalar(),
+        ),
+    )
+    return df.select(*[c for c in FEATURE_COLUMNS if c in df.columns])
+
+
+def score_features(
+    features: DataFrame, weights: Mapping[str, float] | None = None, explain: bool = True
+) -> DataFrame:
+    """Score stored or fresh features; no text work, so rescoring is cheap."""
+    return SC.with_risk_band(SC.score(features, weights, explain))
+
+
+def score_batch(
+    raw: DataFrame,
+    embeddings: DataFrame | None = None,
+    weights: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | None = None,
+) -> DataFrame:
+    return score_features(build_features(raw, embeddings, lexicon), weights)
+
+
+def rescore(features: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """What-if scores with other weights; features left out of the weights do not count."""
+    from tellsign.sources.weights import validate_update
+
+    return score_features(features, validate_update(weights))
