@@ -55,12 +55,13 @@ def length_bounds(keys: DataFrame) -> DataFrame:
 def clean_messages(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Strip, drop empty rows and keep the first row of each (user, text).
 
-    Needs a unique ``msg_id``.  The text moves once, to the partition of its ``msg_id``,
-    where later joins on that key find it without another shuffle.
+    Needs a unique ``msg_id``.  The text moves once, to the partition of its ``msg_id``:
+    that spreads the text work evenly, whatever the size of the input's row groups, and
+    both this join and later ones on the key find it there without another shuffle.
     """
     valid = valid_messages(df)
     keys = distinct_keys(valid) if keys is None else keys
-    return valid.join(keys, "msg_id")
+    return valid.repartition("msg_id").join(keys, "msg_id")
 
 
 def with_message_id(df: DataFrame) -> DataFrame:
