@@ -30,17 +30,21 @@ def sla_hours(risk: Column) -> Column:
     return _by_priority(risk, lambda _, hours: hours)
 
 
+def as_time(now: dt.datetime | Column) -> Column:
+    """A point in time given by the caller; nothing in a plan asks the clock."""
+    return now if isinstance(now, Column) else F.lit(now)
+
+
 def sla_due_at(risk: Column, status: Column, updated: Column, created: Column,
-               now: dt.datetime) -> Column:
+               now: dt.datetime | Column) -> Column:
     """Deadline of an open item; closed items have none."""
-    start = F.coalesce(updated, created, F.lit(now))
-    due = start + F.make_dt_interval(hours=sla_hours(risk))
+    due = F.coalesce(updated, created, as_time(now)) + F.make_dt_interval(hours=sla_hours(risk))
     return F.when(status.isin(*TRIAGE_OPEN), due)
 
 
-def parse_time(value: Column, now: dt.datetime) -> Column:
+def parse_time(value: Column, now: dt.datetime | Column) -> Column:
     """ISO text to timestamp; text without a zone is UTC, unreadable text means now."""
-    return F.coalesce(F.try_to_timestamp(value), F.lit(now))
+    return F.coalesce(F.try_to_timestamp(value), as_time(now))
 
 
 def status_rank(status: Column) -> Column:

@@ -13,7 +13,6 @@ from tellsign.operators.filters import ResultFilter
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import query, results
 from tellsign.plans.queries_signals import r6, r6_sql
-from tellsign.sources.weights import weight_frame, weight_report
 
 COMBO = ResultFilter(min_risk=0.2, max_risk=0.95, bands=["Medium", "High"],
                      drivers=["urgency_score", "authority_score", "sentiment_risk_signal"],
