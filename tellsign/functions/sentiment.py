@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellsign import fixed
 
-TOKEN = r"[\p{L}\p{N}_']+"
+TOKEN = r"[a-z\p{L}\p{N}_']++"
 MAX_LEXICON = 20_000
 PER_BUCKET = 4
 
@@ -39,13 +39,13 @@ def _dictionary(entries: Mapping[str, float]):
     return look_up
 
 
-def compound(
+def valence_sum(
     words: Column,
     lexicon: Mapping[str, float] | None = None,
     negators=tuple(fixed.SENTIMENT_NEGATORS),
     boosters: Mapping[str, float] | None = None,
 ) -> Column:
-    """Sum of word valences squeezed to [-1, 1] by ``s / sqrt(s*s + alpha)``.
+    """Sum of the valences of a message's words.
 
     A booster directly before a word moves its valence away from zero (or towards it); a
     negator among the three words before it turns it round and weakens it.
@@ -56,14 +56,13 @@ def compound(
         return F.lit(0.0)
     valence = _dictionary(lexicon)
     boost = _dictionary(boosters) if boosters else (lambda word: F.lit(None).cast("double"))
-    hits = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.alias("i"), valence(w).alias("v"))),
-        lambda h: h["v"].isNotNull(),
-    )
+    # A membership test on a literal set is cheap; values and context are only looked up at
+    # the few places that pass it.
+    places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*lexicon), i)))
     negator_list = F.array(*[F.lit(n) for n in negators])
 
-    def adjusted(hit: Column) -> Column:
-        i, v = hit["i"], hit["v"]
+    def adjusted(i: Column) -> Column:
+        v = valence(F.get(words, i))
         step = F.coalesce(boost(F.get(words, i - 1)), F.lit(0.0))
         v = v + F.signum(v) * step
         back = F.slice(words, F.greatest(i - (fixed.SENTIMENT_LOOKBACK - 1), F.lit(1)),
@@ -71,5 +70,12 @@ def compound(
         negated = F.arrays_overlap(back, negator_list)
         return F.when(negated, v * F.lit(fixed.SENTIMENT_NEGATION_FACTOR)).otherwise(v)
 
-    total = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + adjusted(h))
+    return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + adjusted(i))
+
+
+def compound(total: Column) -> Column:
+    """Squeeze a valence sum to [-1, 1] by ``s / sqrt(s*s + alpha)``.
+
+    Give it a column, not an expression: it is used three times.
+    """
     return total / F.sqrt(total * total + F.lit(fixed.SENTIMENT_ALPHA))

@@ -14,13 +14,22 @@ MERGED = ["urgency", "social_proof", "reciprocity", "commitment", "liking", "fea
 
 
 def with_hit_counts(df: DataFrame, analyzer: bool = True) -> DataFrame:
-    """Add ``re_<family>`` for the patterns and ``kw_<family>`` for the keywords."""
-    # The two helper columns are used many times, so Catalyst keeps them as one projection.
+    """Add ``re_<family>`` for the patterns and ``kw_<family>`` for the keywords.
+
+    One regular expression pass per text finds the phrases of all families; the counts are
+    taken from that small array.
+    """
+    # Columns that are used many times stay separate projections, so each is computed once.
     df = df.withColumns({"_low": T.lowered(F.col("text")), "_fold": T.folded(F.col("text"))})
-    counts = {f"re_{f}": T.pattern_hits(F.col("_fold"), f) for f in PATTERNS}
+    df = df.withColumn("_found", T.found_phrases(F.col("_fold")))
+    df = df.withColumn("_plain", T.plain_gaps(F.col("_found")))
+    counts = {f"re_{f}": T.pattern_count(F.col("_plain"), F.col("_fold"), f) for f in PATTERNS}
     if analyzer:
-        counts |= {f"kw_{f}": T.keyword_hits(F.col("_low"), f) for f in KEYWORDS}
-    return df.withColumns(counts).drop("_low", "_fold")
+        counts |= {
+            f"kw_{f}": T.keyword_count(F.col("_found"), F.col("_fold"), F.col("_low"), f)
+            for f in KEYWORDS
+        }
+    return df.withColumns(counts).drop("_low", "_fold", "_found", "_plain")
 
 
 def merged_scores(analyzer: bool = True) -> dict[str, Column]:
@@ -77,5 +86,6 @@ def sentiment_columns(
     if not analyzer:
         return df.withColumns({"sentiment": F.lit(0.0), "sentiment_risk_signal": F.lit(0.0)})
     df = df.withColumn("_words", S.tokens(T.lowered(F.col("text"))))
-    df = df.withColumn("sentiment", S.compound(F.col("_words"), lexicon)).drop("_words")
+    df = df.withColumn("_sum", S.valence_sum(F.col("_words"), lexicon))
+    df = df.withColumn("sentiment", S.compound(F.col("_sum"))).drop("_words", "_sum")
     return df.withColumn("sentiment_risk_signal", F.abs("sentiment"))

@@ -107,6 +107,70 @@ def keyword_hits(lowered_text: Column, family: str) -> Column:
     return total
 
 
+def _all_phrases() -> list[str]:
+    return list(dict.fromkeys(
+        p for table in (PATTERNS, KEYWORDS) for phrases in table.values() for p in phrases))
+
+
+def union_regex(phrases: Sequence[str]) -> str:
+    """One pattern that finds every phrase at every word start, overlapping ones too.
+
+    It looks ahead and consumes nothing, and it branches on the first letter.  At one place
+    it can report one phrase only, so no phrase may be the beginning of another.
+    """
+    for a in phrases:
+        for b in phrases:
+            if a != b and (b + " ").startswith(a + " "):
+                raise ValueError(f"'{a}' is the beginning of '{b}'")
+    by_letter: dict[str, list[str]] = {}
+    for phrase in phrases:
+        body = GAP.join(_quote(w) for w in phrase.split(" "))
+        by_letter.setdefault(phrase[0], []).append(body[1:])
+    branches = "|".join(f"{k}(?:{'|'.join(rest)})" for k, rest in by_letter.items())
+    letters = "".join(by_letter)
+    return f"(?U)(?=[{letters}])(?<!{WORD})(?=({branches})(?!{WORD}))"
+
+
+def found_phrases(folded_text: Column) -> Column:
+    """All phrases of all families in a folded text, as written there, in one pass."""
+    return F.regexp_extract_all(folded_text, F.lit(union_regex(_all_phrases())), F.lit(1))
+
+
+def plain_gaps(found: Column) -> Column:
+    """Found phrases with any white space between their words turned into one blank."""
+    single = [p for p in _all_phrases() if " " not in p]
+    return F.transform(found, lambda x: F.when(x.isin(*single), x).otherwise(
+        F.regexp_replace(x, F.lit("(?U)" + GAP), F.lit(" "))))
+
+
+def _count_in(found: Column, phrases: Sequence[str]) -> Column:
+    return F.size(F.filter(found, lambda x: x.isin(*phrases)))
+
+
+def pattern_count(plain: Column, folded_text: Column, family: str) -> Column:
+    """Pattern hits of a family from its found phrases.
+
+    Where phrases of a family can share words, a pattern passes over what it has consumed;
+    texts with several hits of such a family are counted by the pattern itself.
+    """
+    phrases = PATTERNS[family]
+    hits = _count_in(plain, phrases)
+    if len(disjoint_groups(phrases)) == 1:
+        return hits
+    return F.when(hits > 1, pattern_hits(folded_text, family)).otherwise(hits)
+
+
+def keyword_count(found: Column, folded_text: Column, lowered_text: Column, family: str) -> Column:
+    """Keyword hits of a family from the found phrases.
+
+    Keywords need single blanks and do not equate the letters that ``folded`` does; in the
+    rare texts with such letters they are counted one by one.
+    """
+    return F.when(
+        folded_text == lowered_text, _count_in(found, KEYWORDS[family])
+    ).otherwise(keyword_hits(lowered_text, family))
+
+
 def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -17,13 +17,13 @@ from tellsign.sources.weights import weight_frame
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored messages with the day of the event of the same number as their run."""
+    """Scored messages with the hour of the event of the same number as their run."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("msg_id"), F.to_date("ts").alias("day"))
+        F.col("event_id").alias("msg_id"), hour.alias("timestamp"))
     scored = results(spark, sf_dir).select("msg_id", "user", "risk_score", "risk_band")
-    return scored.join(events, "msg_id").withColumn(
-        "run_version", F.datediff("day", F.lit("2023-12-31").cast("date")).cast("long")).withColumn(
-        "timestamp", F.col("day").cast("timestamp"))
+    run = (F.unix_seconds("timestamp") / 3600).cast("long")
+    return scored.join(events, "msg_id").withColumn("run_version", run)
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS = O.RESULTS + """,
 runs AS MATERIALIZED (
-  SELECT r.*, date_diff('day', DATE '2023-12-31', e.ts::DATE) AS run_version, e.ts::DATE::TIMESTAMP AS ts
+  SELECT r.*, (epoch(date_trunc('hour', e.ts)) / 3600)::BIGINT AS run_version, date_trunc('hour', e.ts) AS ts
   FROM res r JOIN events e ON e.event_id = r.msg_id),
 tl AS MATERIALIZED (
   SELECT run_version, ts AS "timestamp", count(*) AS messages, count(DISTINCT "user") AS users,
@@ -71,17 +71,18 @@ RULES = [("many high", "high_pct", 8.0), ("average up", "avg_risk", 0.2), ("high
 
 
 def _rules_sql() -> str:
-    """Cooldown without a loop: with one run a day, 48 hours skip exactly the next day's run."""
+    """The daily cap by rank, the cooldown by walking from one trigger to the next."""
     fired = " UNION ALL ".join(
         f"SELECT '{name}' AS rule, run_version, \"timestamp\", {metric}::DOUBLE AS value FROM tl WHERE {metric} >= {least}"
         for name, metric, least in RULES)
     return O.q("RECURSIVE " + _RUNS + f""",
-    fired AS MATERIALIZED ({fired}),
+    fired AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (
+        PARTITION BY rule, "timestamp"::DATE ORDER BY "timestamp") AS n FROM ({fired})) WHERE n <= 12),
     walk(rule, ts) AS (
       SELECT rule, min("timestamp") FROM fired GROUP BY rule
       UNION ALL
       SELECT w.rule, (SELECT min(f."timestamp") FROM fired f
-                      WHERE f.rule = w.rule AND f."timestamp" >= w.ts + INTERVAL 48 HOUR)
+                      WHERE f.rule = w.rule AND f."timestamp" >= w.ts + INTERVAL 5 HOUR)
       FROM walk w WHERE w.ts IS NOT NULL)""", """
     SELECT f.rule, f.run_version, round(f.value, 6) AS value
     FROM fired f JOIN walk w ON w.rule = f.rule AND w.ts = f."timestamp" """)
@@ -89,7 +90,7 @@ def _rules_sql() -> str:
 
 @query("alert_rules", _rules_sql())
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.alert_rules(timeline(spark, sf_dir), RULES, cooldown_hours=48).select(
+    return H.alert_rules(timeline(spark, sf_dir), RULES, cooldown_hours=5, daily_cap=12).select(
         "rule", "run_version", *r6("value"))
 
 
