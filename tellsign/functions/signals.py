@@ -67,7 +67,7 @@ def unit_vector(vector: Column) -> Column:
     """Scale to length one; vectors that hold NaN or infinity stop the job."""
     norm = _l2(vector)
     scaled = F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm))
-    return F.when(finite(vector), scaled).otherwise(
+    return F.when(vector.isNull() | finite(vector), scaled).otherwise(
         F.raise_error(F.lit("embedding holds NaN or infinite values")).cast("array<double>")
     )
 

@@ -44,6 +44,7 @@ def encode_distinct(
     texts = (
         messages.select(fingerprint(F.col("text")).alias("digest"), "text")
         .dropDuplicates(["digest"])
-        .select("digest", unit_vector(encode("text")).alias("embedding"))
+        .select("digest", encode("text").alias("raw"))
+        .select("digest", unit_vector(F.col("raw")).alias("embedding"))
     )
     return keyed.join(texts, "digest").select("msg_id", "embedding")

@@ -51,12 +51,14 @@ def read_messages(
     return drop_null_tokens(rows) if null_tokens else rows
 
 
-def rejected_count(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Records kept and refused per file."""
+def file_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Records kept, those among them that lack a field, and records refused, per file."""
     rows = read_lines(spark, path, multi_line)
+    good = F.col("_bad").isNull()
+    lacking = F.col("user").isNull() | F.col("text").isNull()
     return rows.groupBy("file").agg(
-        F.count_if(F.col("_bad").isNull()).alias("kept"),
-        F.count_if(F.col("_bad").isNotNull()).alias("rejected"))
+        F.count_if(good).alias("kept"), F.count_if(good & lacking).alias("incomplete"),
+        F.count_if(~good).alias("rejected"))
 
 
 def write_messages(messages: DataFrame, path: str) -> None:

@@ -42,11 +42,13 @@ def dedup_stream(messages: DataFrame, delay: str) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user", "digest"]).drop("digest")
 
 
-def window_kpis(scored: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """KPIs per time window.  Users are counted approximately: a stream has no exact way
+def window_kpis(
+    scored: DataFrame, width: str = "1 day", delay: str | None = "1 day"
+) -> DataFrame:
+    """KPIs per time window; no ``delay`` if the stream has a watermark already.  Users are counted approximately: a stream has no exact way
     that forgets.  The median is the built-in one over the scores of a window rounded to
     the four digits in which it is reported, which bounds the state of a window."""
-    df = scored.withWatermark("ts", delay)
+    df = scored.withWatermark("ts", delay) if delay else scored
     return df.groupBy(F.window("ts", width)).agg(
         F.count(F.lit(1)).alias("messages"),
         F.approx_count_distinct("user").alias("users"),
