@@ -140,16 +140,16 @@ def _normalised(commands: DataFrame) -> DataFrame:
         F.when(F.col("status").isNotNull(), strip(F.col("status"))).alias("status"),
         F.when(F.col("assignee").isNotNull(), html_escape(strip(F.col("assignee")))).alias("assignee"),
         F.when(note != "", note).alias("note"),
-        F.to_date("cmd_ts").alias("day"),
+        F.date_trunc("hour", "cmd_ts").alias("hour"),
     )
 
 
 def changes(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each valid command really changed, and the last value per item and day.
+    """What each valid command really changed, and the last value per item and hour.
 
     A status or assignee counts as changed against the value before it.  That value is
-    looked for within the day of the command, then carried over from the item's earlier
-    days, then taken from the queue.  So an item with very many commands is split by day
+    looked for within the hour of the command, then carried over from the item's earlier
+    hours, then taken from the queue.  So an item with very many commands is split by hour
     and never gathered as a whole.
     """
     known = state.select(
@@ -160,18 +160,18 @@ def changes(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame
     def last_of(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), _order()))
 
-    daily = rows.groupBy("item_id", "day").agg(
-        last_of("status").alias("d_status"), last_of("assignee").alias("d_assignee"))
-    earlier_days = Window.partitionBy("item_id").orderBy("day").rowsBetween(
+    hourly = rows.groupBy("item_id", "hour").agg(
+        last_of("status").alias("h_status"), last_of("assignee").alias("h_assignee"))
+    earlier_hours = Window.partitionBy("item_id").orderBy("hour").rowsBetween(
         Window.unboundedPreceding, -1)
-    carried = daily.select(
-        "item_id", "day",
-        F.last("d_status", True).over(earlier_days).alias("c_status"),
-        F.last("d_assignee", True).over(earlier_days).alias("c_assignee"))
-    same_day = Window.partitionBy("item_id", "day").orderBy("cmd_ts", "cmd_id", "pos").rowsBetween(
+    carried = hourly.select(
+        "item_id", "hour",
+        F.last("h_status", True).over(earlier_hours).alias("c_status"),
+        F.last("h_assignee", True).over(earlier_hours).alias("c_assignee"))
+    same_hour = Window.partitionBy("item_id", "hour").orderBy("cmd_ts", "cmd_id", "pos").rowsBetween(
         Window.unboundedPreceding, -1)
-    rows = rows.join(carried, ["item_id", "day"]).withColumns({
-        f"old_{n}": F.coalesce(F.last(n, True).over(same_day), F.col(f"c_{n}"), F.col(f"q_{n}"))
+    rows = rows.join(carried, ["item_id", "hour"]).withColumns({
+        f"old_{n}": F.coalesce(F.last(n, True).over(same_hour), F.col(f"c_{n}"), F.col(f"q_{n}"))
         for n in ("status", "assignee")
     })
 
@@ -192,7 +192,7 @@ def changes(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame
     made_rows = rows.select(
         "item_id", "cmd_ts", "cmd_id", "pos", "note", F.inline(made)
     )
-    return made_rows, daily
+    return made_rows, hourly
 
 
 def _latest(rows: DataFrame, n: int, entry: Column, name: str) -> DataFrame:
@@ -210,16 +210,16 @@ def _latest(rows: DataFrame, n: int, entry: Column, name: str) -> DataFrame:
 
 def apply_commands(state: DataFrame, commands: DataFrame) -> DataFrame:
     """Queue after valid commands, applied per item in the order of time and id."""
-    made, daily = changes(state, commands)
+    made, hourly = changes(state, commands)
     activity = _latest(
         made, fixed.MAX_ACTIVITY,
         F.struct(F.col("cmd_ts").alias("time"), "action", "details"), "new_activity")
     notes = _latest(
         made.filter(F.col("action") == "note"), fixed.MAX_NOTES,
         F.struct(F.col("cmd_ts").alias("time"), F.col("note").alias("text")), "new_notes")
-    final = daily.groupBy("item_id").agg(
-        F.max_by("d_status", F.when(F.col("d_status").isNotNull(), F.col("day"))).alias("f_status"),
-        F.max_by("d_assignee", F.when(F.col("d_assignee").isNotNull(), F.col("day"))).alias("f_assignee"))
+    final = hourly.groupBy("item_id").agg(
+        F.max_by("h_status", F.when(F.col("h_status").isNotNull(), F.col("hour"))).alias("f_status"),
+        F.max_by("h_assignee", F.when(F.col("h_assignee").isNotNull(), F.col("hour"))).alias("f_assignee"))
     updates = final.join(activity, "item_id", "left").join(notes.drop("new_notes_at"), "item_id", "left")
     joined = state.join(updates, F.col("id") == F.col("item_id"), "left")
 

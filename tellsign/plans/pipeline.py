@@ -29,10 +29,7 @@ def row_signals(
     df = SG.sentiment_columns(df, lexicon, analyzer)
     counts = [c for c in df.columns if c.startswith(("re_", "kw_"))]
     df = df.withColumns(SG.merged_scores(analyzer)).drop(*counts)
-    if "embedding" in df.columns:
-        return df.withColumn("semantic_signal", SG.semantic_signal(F.col("embedding"))).drop(
-            "embedding")
-    return df.withColumn("semantic_signal", F.lit(0.0))
+    return df if "semantic_signal" in df.columns else df.withColumn("semantic_signal", F.lit(0.0))
 
 
 def build_features(

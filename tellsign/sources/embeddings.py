@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tellsign.fixed import ENCODER_BATCH
-from tellsign.functions.signals import unit_vector
+from tellsign.functions.signals import semantic_signal, unit_vector
 from tellsign.functions.text import fingerprint
 
 
@@ -17,12 +17,26 @@ def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("msg_id"), "embedding")
 
 
+def signals(embeddings: DataFrame) -> DataFrame:
+    """(msg_id, semantic_signal) of a vector table.
+
+    The signal needs nothing but the vector, so it is taken before any join: one number per
+    message is moved and not a vector.  ``msg_id`` must be unique.
+    """
+    return embeddings.select("msg_id", semantic_signal(F.col("embedding")).alias("semantic_signal"))
+
+
 def attach(messages: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Left join by message key; a message without a vector keeps a null.
+    """Left join of the semantic signal by message key; no vector means 0.
 
-    Cleaned messages are already partitioned by ``msg_id``, so only the vectors move.
+    Cleaned messages are already partitioned by ``msg_id``, so only the signals move, and a
+    hash table of these narrow rows spares a sort of the texts.
     """
-    return messages.join(embeddings, "msg_id", "left")
+    narrow = signals(embeddings)
+    if not messages.isStreaming:
+        narrow = narrow.hint("shuffle_hash")
+    joined = messages.join(narrow, "msg_id", "left")
+    return joined.withColumn("semantic_signal", F.coalesce("semantic_signal", F.lit(0.0)))
 
 
 def encode_distinct(

@@ -13,6 +13,7 @@ from tellsign.operators import clean as C
 from tellsign.operators import triage as T
 from tellsign.operators.kpi import band_count, share
 from tellsign.plans.pipeline import row_signals, score_features
+from tellsign.sources import embeddings as E
 from tellsign.sources import store
 
 
@@ -29,7 +30,7 @@ def score_stream(
     """
     df = C.valid_messages(messages)
     if embeddings is not None:
-        df = df.join(embeddings, "msg_id", "left")
+        df = E.attach(df, embeddings)
     df = row_signals(df.withColumn("text_length", F.length("text")))
     shortest, longest = (F.lit(b) for b in bounds)
     signal = SG.length_signal(F.col("text_length"), shortest, longest)
@@ -73,7 +74,9 @@ def triage_stream(
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        hot = batch.filter(F.col("risk_score") >= min_risk)
+        # Only the risky rows are kept, so that the texts are scored once per batch.
+        hot = batch.filter(F.col("risk_score") >= min_risk).select(
+            "msg_id", "user", "text", "risk_score", "risk_band", "top_risk_driver", "ts").persist()
         fresh = hot.groupBy(T.TF.message_id(F.col("user"), F.col("text")).alias("id")).agg(
             F.max_by(F.struct(
                 "user", "text", F.round("risk_score", 4).alias("risk_score"), "risk_band",
@@ -85,6 +88,7 @@ def triage_stream(
         newest = hot.agg(F.max("ts").alias("ts")).first()["ts"]
         if newest is not None:
             store.write_snapshot(T.merge(state, fresh, F.lit(newest), mark_stale=False), root)
+        hot.unpersist()
 
     return (
         scored.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
