@@ -247,6 +247,12 @@ def audit_entries(made: DataFrame) -> DataFrame:
     )
 
 
+def upsert_items(state: DataFrame, items: DataFrame) -> DataFrame:
+    """Replace or add whole items by id."""
+    kept = state.join(items.select("id"), "id", "left_anti")
+    return kept.select(*COLUMNS).unionByName(items.select(*COLUMNS))
+
+
 def delete_items(state: DataFrame, ids: DataFrame) -> DataFrame:
     return state.join(ids.select(F.col("id")), "id", "left_anti").select(*COLUMNS)
 

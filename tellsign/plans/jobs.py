@@ -1,13 +1,20 @@
 """Jobs that write a table and hand back a reader of it."""
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellsign.functions.triage import as_time
+from tellsign.operators import triage
+from tellsign.operators.clean import require_rows
+from tellsign.operators.kpi import kpi_snapshot
 from tellsign.plans.pipeline import FEATURE_COLUMNS, build_features, score_features
 from tellsign.session import scratch_dir
+from tellsign.sources import store
 
 _STAGED: dict[tuple, str] = {}
 
@@ -52,3 +59,52 @@ def staged(
         build(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
+
+
+def full_run(
+    raw: DataFrame,
+    root: str,
+    run_version: int,
+    now: dt.datetime | Column,
+    embeddings: DataFrame | None = None,
+    weights: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """One run: score and store, bring the triage queue up to date, append the KPIs.
+
+    Tables below ``root``: ``results/run=<n>``, ``queue`` (snapshots) and ``kpi_timeline``.
+    """
+    spark = raw.sparkSession
+    started = time.monotonic()
+    results = require_rows(
+        score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon))
+    state = store.read_snapshot(spark, f"{root}/queue")
+    state = triage.empty_queue(spark) if state is None else state
+    store.write_snapshot(triage.sync(state, results, now), f"{root}/queue")
+    took = int((time.monotonic() - started) * 1000)
+    run = results.withColumn("run_version", F.lit(run_version).cast("long"))
+    snapshot = kpi_snapshot(run, ["run_version"]).withColumns({
+        "timestamp": as_time(now), "duration_ms": F.lit(took).cast("long")})
+    store.append_log(snapshot, f"{root}/kpi_timeline")
+    return results
+
+
+def update_queue(spark: SparkSession, root: str, commands: DataFrame) -> dict[str, DataFrame]:
+    """Apply commands to the stored queue and write the next snapshot.
+
+    Gives the new queue, the refused commands, the ids that were not found and the audit
+    entries, which are also appended to ``audit_log``.
+    """
+    state = store.read_snapshot(spark, f"{root}/queue")
+    if state is None:
+        raise ValueError(f"no queue below {root}; run the scoring first")
+    good, refused = triage.split_commands(commands)
+    flat = triage.explode_bulk(good) if "item_ids" in good.columns else good
+    made, _ = triage.changes(state, flat)
+    audit = triage.audit_entries(made)
+    store.append_log(audit, f"{root}/audit_log")
+    store.write_snapshot(triage.apply_commands(state, flat), f"{root}/queue")
+    return {
+        "queue": store.read_snapshot(spark, f"{root}/queue"), "refused": refused,
+        "not_found": triage.not_found(state, flat), "audit": audit,
+    }
