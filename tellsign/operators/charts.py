@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,23 +97,27 @@ def user_scatter(results: DataFrame) -> DataFrame:
 def feature_correlation(results: DataFrame) -> DataFrame:
     """Pearson matrix of the features in long form; a constant feature gives nulls.
 
-    One pass: covariances and deviations are mergeable, numerically stable aggregates, and
-    only one row leaves each task.
+    Products of deviations from the means are summed, so nothing large cancels out, and one
+    row leaves each task.  The means come from a first pass over the same narrow columns.
     """
     feats = [f for f in FEATURES if f in results.columns]
-    aggs = [F.stddev_pop(f).alias(f"sd_{f}") for f in feats]
-    aggs += [F.covar_pop(a, b).alias(f"cv_{a}_{b}") for a, b in combinations(feats, 2)]
-    row = results.agg(*aggs)
+    means = results.agg(F.struct(*[F.avg(f).alias(f) for f in feats]).alias("m")).scalar()
+    centred = results.select(*feats).withColumn("_m", means).select(
+        *[(F.col(f) - F.col("_m")[f]).alias(f) for f in feats])
+    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i:]]
+    row = centred.agg(
+        *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in pairs],
+        *[(F.max(f) > F.min(f)).alias(f"varies_{f}") for f in feats],
+    )
 
     def cell(a: str, b: str):
-        spread = F.col(f"sd_{a}") * F.col(f"sd_{b}")
-        if a == b:
-            r = F.when(spread > 0, F.lit(1.0))
-        else:
-            cov = f"cv_{a}_{b}" if f"cv_{a}_{b}" in row.columns else f"cv_{b}_{a}"
-            r = F.try_divide(F.col(cov), spread)
-        return F.struct(F.lit(SC.label_of(a)).alias("feature_a"),
-                        F.lit(SC.label_of(b)).alias("feature_b"), r.alias("correlation"))
+        first, second = (a, b) if (a, b) in pairs else (b, a)
+        spread = F.sqrt(F.col(f"s_{a}_{a}") * F.col(f"s_{b}_{b}"))
+        r = F.lit(1.0) if a == b else F.try_divide(F.col(f"s_{first}_{second}"), spread)
+        varies = F.col(f"varies_{a}") & F.col(f"varies_{b}")
+        return F.struct(
+            F.lit(SC.label_of(a)).alias("feature_a"), F.lit(SC.label_of(b)).alias("feature_b"),
+            F.when(varies, r).alias("correlation"))
 
     cells = F.array(*[cell(a, b) for a in feats for b in feats])
     return row.select(F.inline(cells)).withColumns({

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellsign import fixed
-from tellsign.functions.scoring import label_of  # noqa: F401
 from tellsign.functions.text import html_escape, strip
 from tellsign.operators.kpi import band_count
 from tellsign.operators.rank import by_risk
@@ -34,14 +33,27 @@ def kpi_delta(timeline: DataFrame, key: str = "run_version") -> DataFrame:
 # top_n, changed_at, deleted.
 
 
+def preset_reject_reason() -> Column:
+    """Name of the first field that makes a preset change invalid, else null."""
+    def outside(name: str) -> Column:
+        return F.col(name).isNull() | ~F.col(name).between(0.0, 1.0)
+
+    return (
+        F.when((strip(F.col("name")) == "") | (F.length("name") > 64), F.lit("name"))
+        .when(outside("min_risk"), F.lit("min_risk")).when(outside("max_risk"), F.lit("max_risk"))
+        .when(F.length("text_query") > 512, F.lit("text_query"))
+        .when(F.col("top_n").isNull() | ~F.col("top_n").between(1, 1000), F.lit("top_n"))
+    )
+
+
 def live_presets(changes: DataFrame, limit: int = fixed.MAX_PRESETS) -> DataFrame:
     """The last live state of every preset name, at most ``limit`` names.
 
-    The last write of a name wins.  Names are kept in the order in which they were first
-    written, and the ones beyond the limit are refused.
+    The last write of a name wins; invalid changes do not count.  Names are kept in the
+    order in which they were first written, and the ones beyond the limit are refused.
     """
-    named = changes.withColumn("name", html_escape(strip(F.col("name")))).filter(
-        F.length("name").between(1, 64))
+    valid = changes.filter(F.col("deleted") | preset_reject_reason().isNull())
+    named = valid.withColumn("name", html_escape(strip(F.col("name"))))
     newest = Window.partitionBy("name").orderBy(F.desc("changed_at"), F.desc("change_id"))
     last = named.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
     first = named.groupBy("name").agg(F.min(F.struct("changed_at", "change_id")).alias("_first"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tellsign.plans.jobs import score_and_store, staged, stored_features
-from tellsign.plans.pipeline import build_features
+from tellsign.plans.scoring import build_features
 from tellsign.sources.embeddings import stored_embeddings
 from tellsign.sources.tables import planted_messages
 

@@ -12,7 +12,7 @@ from tellsign.functions.triage import as_time
 from tellsign.operators import triage
 from tellsign.operators.clean import require_rows
 from tellsign.operators.kpi import kpi_snapshot
-from tellsign.plans.pipeline import FEATURE_COLUMNS, build_features, score_features
+from tellsign.plans.scoring import FEATURE_COLUMNS, build_features, score_features
 from tellsign.session import scratch_dir
 from tellsign.sources import store
 

@@ -10,6 +10,7 @@ from tellsign.operators import history as H
 from tellsign.operators import kpi as K
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import query, results
+from tellsign.plans.jobs import staged
 from tellsign.plans.queries_signals import r6
 from tellsign.plans.queries_triage import stamp
 from tellsign.sources.tables import table
@@ -26,10 +27,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(events, "msg_id").withColumn("run_version", run)
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.kpi_snapshot(runs(spark, sf_dir), ["run_version", "timestamp"])
 
 
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored timeline, as runs would have appended it."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "events")]
+    return staged(spark, "timeline", inputs,
+                  lambda path: fresh_timeline(spark, sf_dir).write.parquet(path))
+
+
 _RUNS = O.RESULTS + """,
 runs AS MATERIALIZED (
   SELECT r.*, (epoch(date_trunc('hour', e.ts)) / 3600)::BIGINT AS run_version, date_trunc('hour', e.ts) AS ts
@@ -49,7 +57,7 @@ _TL_COLUMNS = ["run_version", "messages", "users", "avg_risk", "max_risk", "medi
 
 @query("kpi_timeline", O.q(_RUNS, f"SELECT {_TL} FROM tl"))
 def kpi_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline(spark, sf_dir).select(*_TL_COLUMNS, stamp("timestamp"))
+    return fresh_timeline(spark, sf_dir).select(*_TL_COLUMNS, stamp("timestamp"))
 
 
 @query("kpi_tail", O.q(_RUNS, f"SELECT {_TL} FROM tl ORDER BY run_version DESC LIMIT 7"))

@@ -12,7 +12,7 @@ from tellsign.operators import clean as C
 from tellsign.operators import evidence as EV
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import features, fresh_features, query, results
-from tellsign.plans.pipeline import rescore
+from tellsign.plans.scoring import rescore
 from tellsign.sources.embeddings import stored_embeddings
 from tellsign.sources.tables import conversation_messages, planted_messages, table
 
@@ -128,7 +128,7 @@ def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
            0.0::DOUBLE AS sentiment_risk_signal FROM hits"""))
 def fallback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of a run without keyword lists and sentiment."""
-    from tellsign.plans.pipeline import build_features
+    from tellsign.plans.scoring import build_features
 
     df = build_features(planted_messages(spark, sf_dir), analyzer=False)
     return df.select("msg_id", "urgency_score", "authority_score", "fear_score", "trust_score",

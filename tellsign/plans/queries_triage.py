@@ -9,7 +9,7 @@ from tellsign.operators import triage as T
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import features, query, results
 from tellsign.plans.jobs import staged
-from tellsign.plans.pipeline import rescore
+from tellsign.plans.scoring import rescore
 from tellsign.plans.queries_signals import r6, r6_sql
 from tellsign.sources.tables import table
 
@@ -180,16 +180,23 @@ def triage_sync_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("activity").alias("n_activity"))
 
 
-def updated_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = T.split_commands(event_commands(spark, sf_dir))
     return T.apply_commands(second_queue(spark, sf_dir), good)
 
 
+def updated_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after the commands, stored like every version of it."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "events")]
+    return staged(spark, "queue-updated", inputs,
+                  lambda path: fresh_queue(spark, sf_dir).write.parquet(path))
+
+
 @query("triage_commands", O.q(COMMANDS, f"""
     SELECT id, status, assignee, n_notes, notes, n_activity, trail, {stamp_sql('updated_at')} FROM q3"""))
 def triage_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     trail = F.transform("activity", lambda a: F.concat(a["action"], F.lit("|"), a["details"]))
-    return updated_queue(spark, sf_dir).select(
+    return fresh_queue(spark, sf_dir).select(
         "id", "status", "assignee", F.size("notes").alias("n_notes"),
         F.array_join(F.transform("notes", lambda n: n["text"]), ";").alias("notes"),
         F.size("activity").alias("n_activity"), F.array_join(trail, ";").alias("trail"),

@@ -12,7 +12,7 @@ from tellsign.functions import signals as SG
 from tellsign.operators import clean as C
 from tellsign.operators import triage as T
 from tellsign.operators.kpi import band_count, share
-from tellsign.plans.pipeline import row_signals, score_features
+from tellsign.plans.scoring import row_signals, score_features
 from tellsign.sources import embeddings as E
 from tellsign.sources import store
 

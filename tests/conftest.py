@@ -13,7 +13,7 @@ from tellsign.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8)
+    session = local_session(8, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

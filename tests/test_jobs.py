@@ -8,7 +8,7 @@ from tellsign.operators.filters import ResultFilter
 from tellsign.operators import triage as T
 from tellsign.plans.dashboard import dashboard
 from tellsign.plans.jobs import full_run, update_queue
-from tellsign.plans.pipeline import score_batch
+from tellsign.plans.scoring import score_batch
 from tellsign.sources import store
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)

@@ -8,7 +8,7 @@ from tellsign import fixed
 from tellsign.functions import scoring as SC
 from tellsign.functions import signals as SG
 from tellsign.plans.jobs import score_and_store, stored_features
-from tellsign.plans.pipeline import build_features, rescore, score_batch, score_features
+from tellsign.plans.scoring import build_features, rescore, score_batch, score_features
 from tellsign.sources import embeddings as E
 from tellsign.sources import weights as W
 

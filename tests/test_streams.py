@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tellsign.plans.pipeline import score_batch
+from tellsign.plans.scoring import score_batch
 from tellsign.sources import store
 from tellsign.streaming import score as ST
 
