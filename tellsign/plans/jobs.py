@@ -13,7 +13,7 @@ from tellsign.operators import triage
 from tellsign.operators.clean import require_rows
 from tellsign.operators.kpi import kpi_snapshot
 from tellsign.plans.scoring import FEATURE_COLUMNS, build_features, score_features
-from tellsign.session import scratch_dir
+from tellsign.session import scratch_dir, sized_shuffles
 from tellsign.sources import store
 
 _STAGED: dict[tuple, str] = {}
@@ -32,7 +32,8 @@ def score_and_store(
     a filter on the score, pushed below the projections, would even do it twice.
     """
     scored = score_features(build_features(raw, embeddings, lexicon), weights)
-    scored.write.mode("overwrite").parquet(path)
+    with sized_shuffles(raw):
+        scored.write.mode("overwrite").parquet(path)
     return raw.sparkSession.read.parquet(path)
 
 

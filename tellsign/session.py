@@ -4,8 +4,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SHUFFLE_KEY = "spark.sql.shuffle.partitions"
+BYTES_PER_PARTITION = 256 << 20
+MOST_PARTITIONS = 200_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,3 +44,32 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _local_root.append(tempfile.mkdtemp(prefix="tellsign-"))
         root = _local_root[0]
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def partitions_for(input_bytes: int, at_least: int) -> int:
+    """Shuffle partitions for an input of a size; adaptive execution joins small ones."""
+    return max(at_least, min(-(-input_bytes // BYTES_PER_PARTITION), MOST_PARTITIONS))
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's own estimate of an input's size; None if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[int]:
+    """Raise the number of shuffle partitions for a job over ``df``, and put it back.
+
+    Adaptive execution can join partitions but never make more of them, so the session's
+    default would be the limit for a large input.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_KEY)
+    size = estimated_bytes(df)
+    wanted = int(before) if size is None else partitions_for(size, int(before))
+    spark.conf.set(SHUFFLE_KEY, str(wanted))
+    try:
+        yield wanted
+    finally:
+        spark.conf.set(SHUFFLE_KEY, before)

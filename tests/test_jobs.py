@@ -9,6 +9,7 @@ from tellsign.operators import triage as T
 from tellsign.plans.dashboard import dashboard
 from tellsign.plans.jobs import full_run, update_queue
 from tellsign.plans.scoring import score_batch
+from tellsign.session import SHUFFLE_KEY, estimated_bytes, partitions_for, sized_shuffles
 from tellsign.sources import store
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -64,3 +65,16 @@ def test_command_line(folder, capfd, spark):
     main([f"{folder}/m.txt", "--top", "1"])
     out = capfd.readouterr().out
     assert "alice" in out and "bob" not in out
+
+
+def test_shuffles_grow_with_the_input(spark, messages, folder):
+    assert partitions_for(10, 200) == 200 and partitions_for(1 << 40, 200) == 4096
+    assert partitions_for(100 << 40, 200) == 200_000
+    messages(("a", "x")).write.parquet(f"{folder}/m")
+    before = spark.conf.get(SHUFFLE_KEY)
+    stored = spark.read.parquet(f"{folder}/m")
+    assert 0 < estimated_bytes(stored) < 100_000
+    assert estimated_bytes(spark.createDataFrame(stored.rdd, stored.schema)) is None
+    with sized_shuffles(stored) as n:
+        assert str(n) == spark.conf.get(SHUFFLE_KEY) == before
+    assert spark.conf.get(SHUFFLE_KEY) == before
