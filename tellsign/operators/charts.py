@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellsign.fixed import BANDS, DEFAULT_WEIGHTS, FEATURES, THRESHOLD_LINES
@@ -104,23 +104,28 @@ def feature_correlation(results: DataFrame) -> DataFrame:
     means = results.agg(F.struct(*[F.avg(f).alias(f) for f in feats]).alias("m")).scalar()
     centred = results.select(*feats).withColumn("_m", means).select(
         *[(F.col(f) - F.col("_m")[f]).alias(f) for f in feats])
-    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i:]]
+    n = len(feats)
     row = centred.agg(
-        *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in pairs],
-        *[(F.max(f) > F.min(f)).alias(f"varies_{f}") for f in feats],
+        F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(feats) for b in feats[i:]]).alias("s"),
+        F.array(*[F.max(f) > F.min(f) for f in feats]).alias("varies"),
     )
 
-    def cell(a: str, b: str):
-        first, second = (a, b) if (a, b) in pairs else (b, a)
-        spread = F.sqrt(F.col(f"s_{a}_{a}") * F.col(f"s_{b}_{b}"))
-        r = F.lit(1.0) if a == b else F.try_divide(F.col(f"s_{first}_{second}"), spread)
-        varies = F.col(f"varies_{a}") & F.col(f"varies_{b}")
-        return F.struct(
-            F.lit(SC.label_of(a)).alias("feature_a"), F.lit(SC.label_of(b)).alias("feature_b"),
-            F.when(varies, r).alias("correlation"))
-
-    cells = F.array(*[cell(a, b) for a in feats for b in feats])
-    return row.select(F.inline(cells)).withColumns({
+    def product(i: Column, j: Column) -> Column:
+        """Sum for two features; only the upper triangle, row by row, is held."""
+        a, b = F.least(i, j), F.greatest(i, j)
+        return F.get("s", (a * n - F.floor(a * (a - 1) / 2) + b - a).cast("int"))
+
+    cells = row.select("s", "varies", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("p"))
+    cells = cells.select("s", "varies", F.floor(F.col("p") / n).cast("int").alias("i"),
+                         (F.col("p") % n).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    names = F.array(*[F.lit(SC.label_of(f)) for f in feats])
+    r = F.when(i == j, F.lit(1.0)).otherwise(
+        F.try_divide(product(i, j), F.sqrt(product(i, i) * product(j, j))))
+    return cells.select(
+        F.get(names, i).alias("feature_a"), F.get(names, j).alias("feature_b"),
+        F.when(F.get("varies", i) & F.get("varies", j), r).alias("correlation"),
+    ).withColumns({
         "abs_corr": F.abs("correlation"),
         "shown": F.coalesce(F.abs("correlation") >= 0.3, F.lit(False)),
     })
