@@ -23,7 +23,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("msg_id"), hour.alias("timestamp"))
     scored = results(spark, sf_dir).select("msg_id", "user", "risk_score", "risk_band")
-    run = (F.unix_seconds("timestamp") / 3600).cast("long")
+    run = F.timestamp_diff("HOUR", F.to_timestamp(F.lit("1970-01-01")), F.col("timestamp"))
     return scored.join(events, "msg_id").withColumn("run_version", run)
 
 
