@@ -5,9 +5,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import minhash
+from tellsign.llm import decontaminate, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_containment": decontaminate.op2,
     "op10_minhash_groups": minhash.op10,
 }
-ORACLES: dict[str, str] = {}
+
+# Word runs as the operators see them: distinct shingles of five words, or the whole sequence.
+_SHINGLES = """
+{name}_words AS (
+  SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+{name}_shingles AS (
+  SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g
+  FROM {name}_words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0)"""
+
+_CONTAINMENT = "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + "," + _SHINGLES.format(
+    name="b", key="item_id", table="benchmark") + """,
+sizes AS (SELECT id, count(*) AS n FROM b_shingles GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, n AS item_shingles, count(*) AS shared, count(*) / n AS containment
+FROM b_shingles b JOIN d_shingles d USING (g) JOIN sizes s ON s.id = b.id
+GROUP BY d.id, b.id, n HAVING count(*) >= 0.8 * n"""
+
+_GROUPS = "WITH RECURSIVE " + _SHINGLES.format(name="d", key="doc_id", table="documents") + """,
+sizes AS (SELECT id, count(*) AS n FROM d_shingles GROUP BY id),
+links AS (
+  SELECT a.id AS u, b.id AS v FROM d_shingles a JOIN d_shingles b ON a.g = b.g AND a.id <> b.id
+  JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id
+  GROUP BY a.id, b.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM documents
+  UNION SELECT l.v, reach.r FROM reach JOIN links l ON l.u = reach.id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes ON sizes.id = doc_id
+JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op2_benchmark_containment": _CONTAINMENT,
+    "op10_minhash_groups": _GROUPS,
+}
