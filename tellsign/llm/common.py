@@ -59,8 +59,8 @@ def random_words(n: int, seed: int) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = random_words(256, 1)
 _BYTE_LOW = _BYTE[_LOWER]
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -94,10 +94,15 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
         row = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words of a slice, and the number of words of each row."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of a slice, and the number of words of each row.
+
+    ``outside`` marks the bytes that part words.
+    """
     inside = np.zeros(len(data) + 2, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(outside[data], out=inside[1:-1])
     begins = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
@@ -139,6 +144,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return hash_spans(data, starts, ends, lower), counts
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``doc_id, text, y`` of at most ``rows`` labelled documents that are not held out.
+
+    The rows with the least hash of the id are taken, so reruns agree.  At most ``rows`` ids are
+    broadcast; an id counts once, however often it occurs (with its greatest label and text).
+    """
+    order = F.xxhash64("doc_id")
+    picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(
+        F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(
+        order, "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.max("text").alias("text"), F.max("y").alias("y"))
+
+
 def ngrams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words within a row, and their number for each row."""
     each = np.maximum(counts - n + 1, 0)

@@ -5,10 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import decontaminate, minhash
+from tellsign.llm import decontaminate, minhash, neighbours, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_quality": quality.op1,
     "op2_benchmark_containment": decontaminate.op2,
+    "op3_cross_polytope": neighbours.op3,
+    "op7_ftrl_toxicity": toxicity.op7,
     "op10_minhash_groups": minhash.op10,
 }
 
@@ -42,6 +45,7 @@ FROM documents LEFT JOIN sizes ON sizes.id = doc_id
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = doc_id"""
 
 ORACLES: dict[str, str] = {
+    "op1_subword_quality": quality.op1,
     "op2_benchmark_containment": _CONTAINMENT,
     "op10_minhash_groups": _GROUPS,
 }
