@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellsign.llm import common
-from tellsign.llm.common import stored
+from tellsign.llm.common import fresh, stored
 from tellsign.llm.graph import components
 
 BANDS = 24
@@ -220,15 +220,15 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = stored(_grouped(docs, percent), "groups")
     gone = groups.where("nid <> component").select("nid").distinct()
     repeated = groups.groupBy("nid").count().where("count > 1").select("nid")
-    keyed = docs.withColumn("__nid", node_id(docs["doc_id"], docs["text"]))
-    left = keyed.join(gone.withColumnRenamed("nid", "__nid"), "__nid", "left_anti")
+    nid, row = fresh(docs, "nid"), fresh(docs, "row")
+    keyed = docs.withColumn(nid, node_id(docs["doc_id"], docs["text"]))
+    left = keyed.join(gone.withColumnRenamed("nid", nid), nid, "left_anti")
     if repeated.isEmpty():
         return left.select(*docs.columns)
-    several = repeated.withColumnRenamed("nid", "__nid")
-    others = left.join(several, "__nid", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__nid").orderBy("text"))
-    one = others.withColumn("__row", first).where("__row = 1").drop("__row")
-    return left.join(several, "__nid", "left_anti").unionByName(one).select(*docs.columns)
+    several = repeated.withColumnRenamed("nid", nid)
+    first = F.row_number().over(Window.partitionBy(nid).orderBy("text"))
+    one = left.join(several, nid, "left_semi").withColumn(row, first).where(F.col(row) == 1).drop(row)
+    return left.join(several, nid, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

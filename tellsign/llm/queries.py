@@ -5,12 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import decontaminate, minhash, neighbours, quality, toxicity
+from tellsign.llm import decontaminate, minhash, mixing, neighbours, quality, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
     "op2_benchmark_containment": decontaminate.op2,
     "op3_cross_polytope": neighbours.op3,
+    "op5_source_mix": mixing.op5,
+    "op6_virtual_slots": shards.op6,
     "op7_ftrl_toxicity": toxicity.op7,
     "op10_minhash_groups": minhash.op10,
 }
