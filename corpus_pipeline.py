@@ -5,7 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import common, decontaminate, minhash
+from tellsign.llm import common, decontaminate, minhash, mixing, quality, shards
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +24,23 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: each document as often as its first block is taken."""
+    return mixing.mixed_documents(docs, minhash.node_id(docs["doc_id"], docs["text"]))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its ``shard``, by virtual slots, with near equal bytes."""
+    return shards.with_shard(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
     ("near_duplicates", near_duplicates),
     ("benchmark", benchmark),
+    ("mix", mix),
+    ("shard", shard),
 ]
 
 #: The quality classifier is learned, so no SQL gives the rows.

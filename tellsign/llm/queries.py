@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import decontaminate, minhash, mixing, neighbours, quality, shards, toxicity
+from tellsign.llm import decontaminate, minhash, mixing, neighbours, pii, quality, secrets, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": mixing.op5,
     "op6_virtual_slots": shards.op6,
     "op7_ftrl_toxicity": toxicity.op7,
+    "op8_bootstrapped_pii": pii.op8,
+    "op9_markov_secrets": secrets.op9,
     "op10_minhash_groups": minhash.op10,
 }
 
