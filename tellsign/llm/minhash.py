@@ -10,10 +10,10 @@ Two documents are linked when the shingle sets of their whole texts have
 3. In each bucket every member is paired with the smallest member only.  Pairs whose
    signatures agree too little are dropped, the rest is decided on the full shingle sets, and
    the links give components.  This is linear in the size of a group.
-4. A link between two members that both failed against the smallest could still be missing, but
-   only where a bucket holds more than one component.  In these buckets all members of
-   different components are compared by signature, in blocks of bounded size, and pairs that may
-   reach the bound are decided on the full sets too.  So no candidate link is left out.
+4. A link between two other members could still be missing, but only where these belong to different
+   components.  In such buckets the members outside the largest component are compared with all, in
+   blocks of at most ``2 * BLOCK`` texts, on the full sets too; only links are emitted.  So no candidate
+   link is left out.
 
 Two sets at the bound share a bucket with probability 1 - (1 - .85**5)**24 > 1 - 1e-6, more
 similar ones more surely.  The signature bound lies five standard deviations below.
@@ -42,6 +42,7 @@ BANDS = 24
 ROWS = 5
 PERCENT = 85
 BLOCK = 128
+COLUMNS = 4096
 STAND_IN = 1 << 62
 
 _MULTIPLY = common.random_words(BANDS * ROWS, 11) | np.uint64(1)
@@ -133,42 +134,62 @@ def least_agreement(percent: int) -> int:
     return max(0, int(n * s - 5 * (n * s * (1 - s)) ** 0.5))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose whole texts reach the bound, decided on full shingle sets."""
-    texts = docs.select(node_id(docs["doc_id"], docs["text"]).alias("nid"), docs["text"])
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose whole texts (``nid, text``) reach the bound, decided on full shingle sets."""
     one = pairs.join(texts.toDF("u", "text_u"), "u")
     two = one.join(texts.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     return two.mapInArrow(lambda it: _sharing(it, percent), "u long, v long").distinct()
 
 
-def _block_pairs(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Pairs of different components within one block, or across two, that agree enough."""
-    right = pdf[pdf["side"] == 1]
-    left = pdf if right.empty else pdf[pdf["side"] == 0]
-    right = left if right.empty else right
-    signs = np.stack([np.frombuffer(x, np.uint32) for x in right["minima"]])
-    ids, comps, out = right["nid"].to_numpy(), right["comp"].to_numpy(), set()
-    for nid, comp, sign in zip(left["nid"], left["comp"], left["minima"]):
-        near = ((signs == np.frombuffer(sign, np.uint32)).sum(axis=1) >= least) & (comps != comp)
-        out.update((max(nid, x), min(nid, x)) for x in ids[near])
-    return pd.DataFrame(sorted(out), columns=["u", "v"]).astype("int64")
-
-
-def _across(members: DataFrame, marks: DataFrame, comps: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components within the buckets that hold more than one."""
-    labelled = members.join(comps, members["nid"] == comps["node"], "left").select(
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices of some thousand columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        total += (part @ part.T).astype(np.int64)
+    return total
+
+
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between different components within one block, or across two."""
+    sets = [s for _, _, data, offsets in common.slices(pa.array(pdf["text"], pa.string()))
+            for s in common.shingles(data, offsets)]
+    both, sizes = shared_counts(sets), np.array([len(s) for s in sets])
+    ids, comps = pdf["nid"].to_numpy(), pdf["comp"].to_numpy()
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+    u, v = np.nonzero(linked & (comps[:, None] != comps[None, :]) & (ids[:, None] > ids[None, :]))
+    return pd.DataFrame({"u": ids[u], "v": ids[v]})
+
+
+def _across(members: DataFrame, texts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components that share a bucket, its leader left out.
+
+    The members of a bucket stand in order of the size of their component there.  A block needs the others
+    only if one of the two has members outside the largest component, so a large group of copies
+    with a few strangers is not compared with itself.
+    """
+    labelled = members.where("nid <> leader").join(comps, F.col("nid") == comps["node"], "left").select(
         "bucket", "nid", F.coalesce("component", "nid").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("comp", "nid")) - 1
-    placed = labelled.join(mixed.select("bucket", "n"), "bucket").select(
+    counts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own"))
+    mixed = counts.groupBy("bucket").agg(
+        F.sum("own").alias("n"), F.max("own").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    here = labelled.join(mixed.select("bucket", "n", "most"), "bucket").join(counts, ["bucket", "comp"])
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "comp", "nid")) - 1
+    placed = here.select(
         "bucket", "nid", "comp", (place / BLOCK).cast("int").alias("i"),
-        ((F.col("n") - 1) / BLOCK).cast("int").alias("last"))
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("j")).select(
-        "bucket", "nid", "comp", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"),
-        (F.col("i") > F.col("j")).cast("int").alias("side"))
-    return dealt.join(marks.select("nid", "minima"), "nid").groupBy("bucket", "a", "b").applyInPandas(
-        lambda pdf: _block_pairs(pdf, least), "u long, v long").distinct()
+        ((F.col("n") - 1) / BLOCK).cast("int").alias("last"),
+        ((F.col("n") - F.col("most") - 1) / BLOCK).cast("int").alias("strange"))
+    dealt = placed.select("bucket", "nid", "comp", "i", F.explode(F.sequence(
+        F.lit(0), F.when(F.col("i") <= F.col("strange"), F.col("last")).otherwise(F.col("strange")))).alias("j"))
+    return dealt.join(texts, "nid").groupBy(
+        "bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).applyInPandas(
+        lambda pdf: _block_links(pdf, percent), "u long, v long").distinct()
 
 
 def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -179,15 +200,14 @@ def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFram
     leaders = bands.groupBy("bucket").agg(F.min("nid").alias("leader"), F.max("nid").alias("other"))
     members = stored(
         bands.join(leaders.where("leader <> other").select("bucket", "leader"), "bucket"), "members")
+    texts = stored(docs.select(node_id(docs["doc_id"], docs["text"]).alias("nid"), docs["text"]).join(
+        members.select("nid").distinct(), "nid", "left_semi"), "texts")
     pairs = members.where("nid <> leader").select(F.col("nid").alias("u"), F.col("leader").alias("v")).distinct()
     signs = marks.select("nid", "minima")
     near = pairs.join(signs.toDF("u", "sign_u"), "u").join(signs.toDF("v", "sign_v"), "v").select(
         "u", "v", "sign_u", "sign_v").mapInArrow(lambda it: _agreeing(it, least), "u long, v long").distinct()
-    first = stored(verified(near, docs, percent), "links")
-    more = stored(_across(members, marks, components(first), least), "pairs")
-    if more.isEmpty():
-        return first
-    return first.unionByName(stored(verified(more, docs, percent), "links"))
+    first = stored(verified(near, texts, percent), "links")
+    return first.unionByName(stored(_across(members, texts, components(first), percent), "links"))
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
