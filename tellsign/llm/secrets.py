@@ -7,7 +7,7 @@ ratio is the sum over its character pairs.  Runs above ``LEAST_RATIO`` that meet
 The models are trained from labelled samples ``(value, secret)``.  The query labels them itself: what
 the base patterns found are random strings (at most ``TRAIN_SECRETS`` distinct values), the words of at most
 ``TRAIN_DOCS`` documents without a base span are ordinary ones; of both, those with the least hash.  A model
-is a table of 66 x 66 numbers, whatever the input, and becomes a constant of the plan.
+is a table of 67 x 67 numbers, whatever the input, and becomes a constant of the plan.
 
 Only DataFrame expressions are used: the places of matches come from the lengths of the matches and of what
 lies between them.  A text is scanned once; later steps read the short table of spans.
@@ -35,6 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"^[A-Za-z0-9+/_=-]{4,}$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RATIO = 12.0
+PRIOR = 20
 TRAIN_SECRETS = 20_000
 TRAIN_DOCS = 2_000
 _STATES = len(ALPHABET)
@@ -100,7 +101,11 @@ def _codes(value: Column) -> Column:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every character pair (row by first character), with add-one smoothing."""
+    """Log-likelihood ratio of every character pair (row by first character).
+
+    A pair's probability is its share among those with the same first character, drawn towards the
+    share of the second character alone, which counts as ``PRIOR`` more pairs.
+    """
     codes = samples.where(F.length("value") > 1).select("secret", F.array_remove(_codes(F.col("value")), -1).alias("c"))
     pairs = codes.where(F.size("c") > 1).select("secret", F.explode(F.zip_with(
         F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1),
@@ -108,11 +113,9 @@ def train(samples: DataFrame) -> list[float]:
     counted = {(r[0], r[1]): r[2] for r in pairs.groupBy("secret", "pair").count().collect()}
 
     def logs(secret: int) -> list[float]:
-        out = []
-        for a in range(_STATES):
-            own = [counted.get((secret, a * _STATES + b), 0) + 1 for b in range(_STATES)]
-            out.extend(math.log(n / sum(own)) for n in own)
-        return out
+        rows = [[counted.get((secret, a * _STATES + b), 0) for b in range(_STATES)] for a in range(_STATES)]
+        ones = [sum(row[b] for row in rows) + 1 for b in range(_STATES)]
+        return [math.log((row[b] + PRIOR * ones[b] / sum(ones)) / (sum(row) + PRIOR)) for row in rows for b in range(_STATES)]
 
     return [s - o for s, o in zip(logs(1), logs(0))]
 
