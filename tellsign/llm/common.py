@@ -88,17 +88,19 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
     """(first row, end row, bytes, offsets of the rows and of the end) of each bounded slice."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
     if not len(texts):
         return
     _, places, data = texts.buffers()
-    offsets = np.frombuffer(places, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(places, dtype=width)[texts.offset:texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, int(offsets[row]) + SLICE_BYTES, "right")) - 1
         end = min(max(end, row + 1), len(texts))
-        yield row, end, raw[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
+        yield row, end, raw[offsets[row]:offsets[end]], offsets[row:end + 1].astype(np.int64) - offsets[row]
         row = end
 
 

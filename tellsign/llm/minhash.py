@@ -201,7 +201,7 @@ def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFram
     members = stored(
         bands.join(leaders.where("leader <> other").select("bucket", "leader"), "bucket"), "members")
     texts = stored(docs.select(node_id(docs["doc_id"], docs["text"]).alias("nid"), docs["text"]).join(
-        members.select("nid").distinct(), "nid", "left_semi"), "texts")
+        members.select("nid").distinct().hint("merge"), "nid", "left_semi"), "texts")
     pairs = members.where("nid <> leader").select(F.col("nid").alias("u"), F.col("leader").alias("v")).distinct()
     signs = marks.select("nid", "minima")
     near = pairs.join(signs.toDF("u", "sign_u"), "u").join(signs.toDF("v", "sign_v"), "v").select(
@@ -242,7 +242,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeated = groups.groupBy("nid").count().where("count > 1").select("nid")
     nid, row = fresh(docs, "nid"), fresh(docs, "row")
     keyed = docs.withColumn(nid, node_id(docs["doc_id"], docs["text"]))
-    left = keyed.join(gone.withColumnRenamed("nid", nid), nid, "left_anti")
+    left = keyed.join(gone.withColumnRenamed("nid", nid).hint("merge"), nid, "left_anti")
     if repeated.isEmpty():
         return left.select(*docs.columns)
     several = repeated.withColumnRenamed("nid", nid)

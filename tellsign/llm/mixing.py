@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame, key: Column, repeats: int = REPEATS) -> Dat
     mix = Mix(own.select(F.col(name).alias("key"), docs["source"], word_count(docs["text"]).alias("size")), repeats)
     many = fresh(own, "copies")
     copies = mix.copies().toDF(name, many)
-    return own.join(copies, name).withColumn(
+    return own.join(copies.hint("merge"), name).withColumn(
         many, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).select(*docs.columns)
 
 
