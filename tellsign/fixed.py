@@ -123,7 +123,6 @@ NOTE_EXCERPT = 120
 # --- Fixed values: limits --------------------------------------------------------------
 KPI_TIMELINE_MAX = 200
 AUDIT_TAIL = 500
-MAX_PRESETS = 50
 MAX_BULK_IDS = 250
 ENCODER_BATCH = 64
 

@@ -23,24 +23,19 @@ def histogram(results: DataFrame, bins: int = 20) -> DataFrame:
     )
 
 
-def density(
-    results: DataFrame, bandwidth: float = 0.05, steps: int = 100, digits: int = 4
-) -> DataFrame:
+def density(results: DataFrame, bandwidth: float = 0.05, steps: int = 100) -> DataFrame:
     """Gaussian density of the score on an even grid over [0, 1].
 
-    Scores are first counted at the precision in which they are reported, so the grid is
-    laid over at most 10,001 rows and not over the messages.
+    One sum for each grid point in a single pass, so a task leaves one row.
     """
-    counted = results.groupBy(F.round("risk_score", digits).alias("s")).agg(
-        F.count(F.lit(1)).alias("n"))
-    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    z = (F.col("x") - F.col("s")) / F.lit(bandwidth)
-    kernel = F.exp(z * z * F.lit(-0.5)) / F.lit(bandwidth * math.sqrt(2 * math.pi))
-    return (
-        counted.select("s", "n", F.explode(grid).alias("x"))
-        .groupBy("x")
-        .agg((F.sum(kernel * F.col("n")) / F.sum("n")).alias("density"))
-    )
+    def at(x: float) -> Column:
+        z = (F.lit(x) - F.col("risk_score")) / F.lit(bandwidth)
+        return F.avg(F.exp(z * z * F.lit(-0.5)) / F.lit(bandwidth * math.sqrt(2 * math.pi)))
+
+    sums = results.agg(*[at(i / steps).alias(f"at{i}") for i in range(steps + 1)])
+    points = F.array(*[F.struct(F.lit(i / steps).alias("x"), F.col(f"at{i}").alias("density"))
+                       for i in range(steps + 1)])
+    return sums.select(F.inline(points)).filter(F.col("density").isNotNull())
 
 
 def score_lines(results: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tellsign.functions.text import contains_ignore_case
 
-LONG_LIST = 1_000
-
 
 def _check(ok: bool, message: str) -> None:
     if not ok:
@@ -40,25 +38,20 @@ class ResultFilter:
         _check(1 <= self.limit <= 500, "limit must be within 1..500")
 
     def predicate(self) -> Column:
-        """All restrictions but a long user list as one condition, ready for pushdown."""
+        """All restrictions as one condition, ready for pushdown."""
         cond = F.col("risk_score").between(self.min_risk, self.max_risk)
         if self.bands:
             cond = cond & F.col("risk_band").isin(*self.bands)
         if self.drivers:
             cond = cond & F.col("top_risk_driver").isin(*self.drivers)
-        if self.users and len(self.users) <= LONG_LIST:
+        if self.users:
             cond = cond & F.col("user").isin(*self.users)
         if self.text_query.strip():
             cond = cond & contains_ignore_case(F.col("text"), self.text_query)
         return cond
 
     def apply(self, results: DataFrame) -> DataFrame:
-        out = results.filter(self.predicate())
-        if self.users and len(self.users) > LONG_LIST:
-            names = results.sparkSession.createDataFrame(
-                [(u,) for u in dict.fromkeys(self.users)], "user string")
-            out = out.join(names, "user", "left_semi")
-        return out
+        return results.filter(self.predicate())
 
 
 def of_user(results: DataFrame, user: str) -> DataFrame:

@@ -46,49 +46,45 @@ def preset_reject_reason() -> Column:
     )
 
 
-def live_presets(changes: DataFrame, limit: int = fixed.MAX_PRESETS) -> DataFrame:
-    """The last live state of every preset name, at most ``limit`` names.
+def live_presets(changes: DataFrame) -> DataFrame:
+    """The last live state of every preset name.
 
-    The last write of a name wins; invalid changes do not count.  Names are kept in the
-    order in which they were first written, and the ones beyond the limit are refused.
+    The last write of a name wins; invalid changes do not count.
     """
     valid = changes.filter(F.col("deleted") | preset_reject_reason().isNull())
     named = valid.withColumn("name", html_escape(strip(F.col("name"))))
     newest = Window.partitionBy("name").orderBy(F.desc("changed_at"), F.desc("change_id"))
     last = named.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
-    first = named.groupBy("name").agg(F.min(F.struct("changed_at", "change_id")).alias("_first"))
-    live = last.filter(~F.col("deleted")).join(first, "name")
-    return live.orderBy("_first").limit(limit).drop("_rn", "_first", "deleted")
+    return last.filter(~F.col("deleted")).drop("_rn", "deleted")
 
 
-def _predicate(p) -> Column:
-    cond = F.col("risk_score").between(p["min_risk"], p["max_risk"])
-    for column, wanted in (("risk_band", p["bands"]), ("top_risk_driver", p["drivers"]), ("user", p["users"])):
-        if wanted:
-            cond = cond & F.col(column).isin(*wanted)
-    if p["text_query"] and p["text_query"].strip():
-        cond = cond & F.contains(F.upper("text"), F.upper(F.lit(p["text_query"])))
-    return cond
+def _tagged(results: DataFrame, presets: DataFrame) -> DataFrame:
+    """The results once for every preset that they match, with its ``name`` and ``top_n``.
 
+    Presets are a table of any size, one row for each band that they want; the text is
+    folded once per message.
+    """
+    bands = F.when(F.size("bands") > 0, F.array_distinct("bands")).otherwise(
+        F.array(*[F.lit(name) for name, _, _ in fixed.BANDS]))
+    wanted = presets.select(
+        "name", "top_n", F.explode(bands).alias("_band"), F.col("min_risk").alias("_lo"), F.col("max_risk").alias("_hi"),
+        F.col("drivers").alias("_drivers"), F.col("users").alias("_users"),
+        F.when(strip(F.col("text_query")) != "", F.upper("text_query")).alias("_query"))
 
-def _tagged(results: DataFrame, presets: DataFrame) -> tuple[DataFrame, list]:
-    rows = presets.limit(fixed.MAX_PRESETS + 1).collect()
-    if len(rows) > fixed.MAX_PRESETS:
-        raise ValueError(f"more than {fixed.MAX_PRESETS} presets")
-    names = F.array_compact(F.array(*[F.when(_predicate(p), F.lit(p["name"])) for p in rows]))
-    if not rows:
-        names = F.array().cast("array<string>")
-    return results.withColumn("name", F.explode(names)), rows
+    def listed(names: str, value: str) -> Column:
+        return (F.coalesce(F.size(names), F.lit(0)) <= 0) | F.array_contains(names, F.col(value))
 
+    matches = (
+        (F.col("risk_band") == F.col("_band")) & F.col("risk_score").between(F.col("_lo"), F.col("_hi"))
+        & listed("_drivers", "top_risk_driver") & listed("_users", "user")
+        & (F.col("_query").isNull() | F.contains("_upper", "_query")))
+    return results.withColumn("_upper", F.upper("text")).join(wanted, matches).drop(
+        "_upper", "_band", "_lo", "_hi", "_drivers", "_users", "_query")
 
-def preset_match(results: DataFrame, presets: DataFrame) -> DataFrame:
-    """KPIs of all presets in one pass.
 
-    The presets, at most fifty, become predicates of the plan; a message is repeated only
-    for the presets that it matches, and counted map-side.
-    """
-    tagged, _ = _tagged(results, presets)
-    return tagged.groupBy("name").agg(
+def preset_match(results: DataFrame, presets: DataFrame) -> DataFrame:
+    """KPIs of all presets in one pass; a message is counted for each preset that it matches."""
+    return _tagged(results, presets).groupBy("name").agg(
         F.count(F.lit(1)).alias("messages"),
         F.round(F.avg("risk_score"), 4).alias("avg_risk"),
         F.round(F.max("risk_score"), 4).alias("max_risk"),
@@ -97,17 +93,12 @@ def preset_match(results: DataFrame, presets: DataFrame) -> DataFrame:
 
 
 def preset_top(results: DataFrame, presets: DataFrame) -> DataFrame:
-    """The top messages of every preset, each with its own ``top_n``."""
-    tagged, rows = _tagged(results.select(
+    """The top messages of every preset, each with its own ``top_n`` (at most 1,000)."""
+    tagged = _tagged(results.select(
         "msg_id", "user", "text", "risk_score", "risk_band", "top_risk_driver"), presets)
-    most = max([r["top_n"] for r in rows], default=1)
-    size = F
-    for r in rows:
-        size = size.when(F.col("name") == r["name"], F.lit(r["top_n"]))
     order = Window.partitionBy("name").orderBy(*by_risk())
-    ranked = tagged.drop("text").withColumn("rank", F.row_number().over(order))
-    ranked = ranked.filter(F.col("rank") <= most)
-    return ranked.filter(F.col("rank") <= size) if rows else ranked
+    ranked = tagged.drop("text").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 1000)
+    return ranked.filter(F.col("rank") <= F.col("top_n")).drop("top_n")
 
 
 # --- Alert rules ---------------------------------------------------------------------------
@@ -121,9 +112,9 @@ def alert_rules(
 ) -> DataFrame:
     """Runs that trigger a rule (name, metric, smallest value), thinned out per rule.
 
-    At most ``daily_cap`` triggers of a rule per day count, and none within the cooldown
-    after the one that fired before.  The cooldown looks from trigger to trigger, so the
-    triggers of a rule are folded in time order; the timeline bounds their number.
+    A trigger within the cooldown after the one that fired before is suppressed; of the others
+    at most ``daily_cap`` fire on a day.  Suppressed triggers use up nothing.  The triggers of a
+    rule are folded in time order with the last fire and the count of its day.
     """
     bad = [r for r in rules if r[1] not in RULE_METRICS]
     if bad:
@@ -133,18 +124,20 @@ def alert_rules(
             F.lit(name).alias("rule"), F.col(metric).cast("double").alias("value")))
         for name, metric, least in rules]))
     fired = timeline.select(key, "timestamp", F.inline(hits))
-    per_day = Window.partitionBy("rule", F.to_date("timestamp")).orderBy("timestamp", key)
-    fired = fired.withColumn("_n", F.row_number().over(per_day)).filter(F.col("_n") <= daily_cap)
-    in_order = F.sort_array(F.collect_list(F.struct("timestamp", F.col(key).alias("run"), "value")))
-    start = F.array().cast("array<struct<timestamp:timestamp,run:bigint,value:double>>")
+    in_order = F.sort_array(F.collect_list(F.struct("timestamp", F.col(key).cast("bigint").alias("run"), "value")))
+    none = F.array().cast("array<struct<timestamp:timestamp,run:bigint,value:double>>")
+    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(0).alias("n"), none.alias("fired"))
     wait = F.make_dt_interval(hours=F.lit(cooldown_hours))
 
     def step(acc: Column, x: Column) -> Column:
-        quiet = (F.size(acc) > 0) & (x["timestamp"] < F.element_at(acc, -1)["timestamp"] + wait)
-        return F.when(F.coalesce(quiet, F.lit(False)), acc).otherwise(F.concat(acc, F.array(F.struct(
-            x["timestamp"].alias("timestamp"), x["run"].cast("bigint").alias("run"), x["value"].alias("value")))))
+        at, last = x["timestamp"], acc["last"]
+        today = F.when(F.to_date(at) == F.to_date(last), acc["n"]).otherwise(0)
+        fires = (last.isNull() | (at >= last + wait)) & (today < daily_cap)
+        fired = F.array(F.struct(at.alias("timestamp"), x["run"].alias("run"), x["value"].alias("value")))
+        return F.when(fires, F.struct(
+            at.alias("last"), (today + 1).alias("n"), F.concat(acc["fired"], fired).alias("fired"))).otherwise(acc)
 
     kept = fired.groupBy("rule").agg(in_order.alias("all")).select(
-        "rule", F.explode(F.aggregate("all", start, step)).alias("t"))
+        "rule", F.explode(F.aggregate("all", start, step)["fired"]).alias("t"))
     return kept.select("rule", F.col("t.run").alias(key), F.col("t.timestamp").alias("timestamp"),
                        F.col("t.value").alias("value"))

@@ -33,10 +33,12 @@ def empty_queue(spark: SparkSession) -> DataFrame:
 
 
 def candidates(
-    results: DataFrame, min_risk: float = fixed.TRIAGE_MIN_RISK, top_n: int = fixed.TRIAGE_MAX_ITEMS
+    results: DataFrame, min_risk: float = fixed.TRIAGE_MIN_RISK, top_n: int | None = fixed.TRIAGE_MAX_ITEMS
 ) -> DataFrame:
-    """The riskiest messages at or above a score, as queue rows."""
-    best = results.filter(F.col("risk_score") >= min_risk).orderBy(*by_risk()).limit(max(1, top_n))
+    """The riskiest messages at or above a score, as queue rows; all of them if ``top_n`` is None."""
+    best = results.filter(F.col("risk_score") >= min_risk)
+    if top_n is not None:
+        best = best.orderBy(*by_risk()).limit(max(1, top_n))
     return best.select(
         TF.message_id(F.col("user"), F.col("text")).alias("id"), "user", "text",
         F.round("risk_score", 4).alias("risk_score"), "risk_band",
@@ -77,11 +79,11 @@ def merge(state: DataFrame, fresh: DataFrame, now: dt.datetime | Column,
 
 def sync(
     state: DataFrame, results: DataFrame, now: dt.datetime | Column,
-    min_risk: float = fixed.TRIAGE_MIN_RISK, top_n: int = fixed.TRIAGE_MAX_ITEMS,
+    min_risk: float = fixed.TRIAGE_MIN_RISK, top_n: int | None = fixed.TRIAGE_MAX_ITEMS,
 ) -> DataFrame:
     """Queue after a run.  A run without any message changes nothing, flags included."""
-    if not (0.0 <= min_risk <= 1.0 and 1 <= top_n <= 1000):
-        raise ValueError("min_risk must be within [0, 1] and top_n within 1..1000")
+    if not (0.0 <= min_risk <= 1.0 and (top_n is None or top_n >= 1)):
+        raise ValueError("min_risk must be within [0, 1] and top_n at least 1")
     if results.isEmpty():
         return state
     return merge(state, candidates(results, min_risk, top_n), now)

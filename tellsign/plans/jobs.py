@@ -81,7 +81,7 @@ def full_run(
         score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon))
     state = store.read_snapshot(spark, f"{root}/queue")
     state = triage.empty_queue(spark) if state is None else state
-    store.write_snapshot(triage.sync(state, results, now), f"{root}/queue")
+    store.write_snapshot(triage.sync(state, results, now, top_n=None), f"{root}/queue")
     took = int((time.monotonic() - started) * 1000)
     run = results.withColumn("run_version", F.lit(run_version).cast("long"))
     snapshot = kpi_snapshot(run, ["run_version"]).withColumns({

@@ -96,7 +96,8 @@ def features(clean: str, hit: str, sent: str, embeddings: str | None = "embeddin
     if embeddings:
         semantic = (
             "coalesce(least(greatest(list_sum(list_transform(e.embedding, lambda x: "
-            "abs(x::DOUBLE))) / sqrt(greatest(len(e.embedding), 1)::DOUBLE), 0.0), 1.0), 0.0)"
+            "abs(x::DOUBLE))) / nullif(sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 0) "
+            "/ sqrt(greatest(len(e.embedding), 1)::DOUBLE), 0.0), 1.0), 0.0)"
         )
         join = f"LEFT JOIN {embeddings} e ON e.vec_id = h.msg_id"
     return f"""

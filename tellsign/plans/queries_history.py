@@ -79,26 +79,27 @@ RULES = [("many high", "high_pct", 8.0), ("average up", "avg_risk", 0.2), ("high
 
 
 def _rules_sql() -> str:
-    """The daily cap by rank, the cooldown by walking from one trigger to the next."""
+    """Walks from each fired trigger to the next one after the cooldown that its day still allows."""
     fired = " UNION ALL ".join(
         f"SELECT '{name}' AS rule, run_version, \"timestamp\", {metric}::DOUBLE AS value FROM tl WHERE {metric} >= {least}"
         for name, metric, least in RULES)
     return O.q("RECURSIVE " + _RUNS + f""",
-    fired AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (
-        PARTITION BY rule, "timestamp"::DATE ORDER BY "timestamp") AS n FROM ({fired})) WHERE n <= 12),
-    walk(rule, ts) AS (
-      SELECT rule, min("timestamp") FROM fired GROUP BY rule
+    fired AS MATERIALIZED ({fired}),
+    walk(rule, ts, n) AS (
+      SELECT rule, min("timestamp"), 1 FROM fired GROUP BY rule
       UNION ALL
-      SELECT w.rule, (SELECT min(f."timestamp") FROM fired f
-                      WHERE f.rule = w.rule AND f."timestamp" >= w.ts + INTERVAL 5 HOUR)
-      FROM walk w WHERE w.ts IS NOT NULL)""", """
+      SELECT rule, next, CASE WHEN next::DATE = ts::DATE THEN n + 1 ELSE 1 END FROM (
+        SELECT w.*, (SELECT min(f."timestamp") FROM fired f
+                     WHERE f.rule = w.rule AND f."timestamp" >= w.ts + INTERVAL 5 HOUR
+                       AND (f."timestamp"::DATE <> w.ts::DATE OR w.n < 3)) AS next
+        FROM walk w) WHERE next IS NOT NULL)""", """
     SELECT f.rule, f.run_version, round(f.value, 6) AS value
     FROM fired f JOIN walk w ON w.rule = f.rule AND w.ts = f."timestamp" """)
 
 
 @query("alert_rules", _rules_sql())
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.alert_rules(timeline(spark, sf_dir), RULES, cooldown_hours=5, daily_cap=12).select(
+    return H.alert_rules(timeline(spark, sf_dir), RULES, cooldown_hours=5, daily_cap=3).select(
         "rule", "run_version", *r6("value"))
 
 
@@ -130,9 +131,8 @@ _PRESETS = """changes AS MATERIALIZED (
     (1 + o_custkey % 20)::INTEGER AS top_n, o_orderdate::TIMESTAMP AS changed_at,
     o_orderkey % 4 = 3 AS deleted FROM orders),
 presets AS MATERIALIZED (
-  SELECT l.* FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY changed_at DESC, change_id DESC) AS rn,
-      min((changed_at, change_id)) OVER (PARTITION BY name) AS first FROM changes) l
-  WHERE rn = 1 AND NOT deleted ORDER BY first LIMIT 50)"""
+  SELECT l.* FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY changed_at DESC, change_id DESC) AS rn FROM changes) l
+  WHERE rn = 1 AND NOT deleted)"""
 
 
 @query("preset_compaction", O.q(_PRESETS, """
@@ -190,7 +190,7 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select("lang", "judged", "tp", "fp", "fn", "tn", *r6(*rates))
 
 
-def _supplier_weights(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+def _customer_weights(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """Weights in proportion to the customers' balances, one per feature."""
     from tellsign.fixed import FEATURES
 
@@ -211,7 +211,7 @@ def _weights_sql(select: str) -> str:
 @query("weight_table", _weights_sql(
     "SELECT feature, weight, round(weight / (SELECT sum(weight) FROM w) * 100, 1) AS pct, ord::INTEGER AS ord FROM w"))
 def weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CH.weight_table(weight_frame(spark, _supplier_weights(spark, sf_dir)))
+    return CH.weight_table(weight_frame(spark, _customer_weights(spark, sf_dir)))
 
 
 @query("weight_report", _weights_sql(
@@ -219,4 +219,4 @@ def weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellsign.sources.weights import weight_report as report
 
-    return report(spark, _supplier_weights(spark, sf_dir))
+    return report(spark, _customer_weights(spark, sf_dir))

@@ -176,9 +176,9 @@ def hist_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("score_density", O.q(O.RESULTS, """
-    SELECT x, round(sum(n * exp(-0.5::DOUBLE * ((x - s) / 0.05::DOUBLE) * ((x - s) / 0.05::DOUBLE))
-      / (0.05::DOUBLE * sqrt(2 * pi()))) / sum(n), 6) AS density
-    FROM (SELECT round(risk_score, 4) AS s, count(*) AS n FROM res GROUP BY 1),
+    SELECT x, round(avg(exp(-0.5::DOUBLE * ((x - s) / 0.05::DOUBLE) * ((x - s) / 0.05::DOUBLE))
+      / (0.05::DOUBLE * sqrt(2 * pi()))), 6) AS density
+    FROM (SELECT risk_score AS s FROM res),
          (SELECT unnest(range(101)) / 100.0::DOUBLE AS x) GROUP BY x"""))
 def score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CH.density(results(spark, sf_dir)).select("x", *r6("density"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_KEY = "spark.sql.shuffle.partitions"
 BYTES_PER_PARTITION = 256 << 20
-MOST_PARTITIONS = 200_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,7 +47,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 def partitions_for(input_bytes: int, at_least: int) -> int:
     """Shuffle partitions for an input of a size; adaptive execution joins small ones."""
-    return max(at_least, min(-(-input_bytes // BYTES_PER_PARTITION), MOST_PARTITIONS))
+    return max(at_least, -(-input_bytes // BYTES_PER_PARTITION))
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -21,9 +21,10 @@ def signals(embeddings: DataFrame) -> DataFrame:
     """(msg_id, semantic_signal) of a vector table.
 
     The signal needs nothing but the vector, so it is taken before any join: one number per
-    message is moved and not a vector.  ``msg_id`` must be unique.
+    message is moved and not a vector.  Vectors are scaled to length one first; one that holds
+    NaN or infinity stops the job, a zero vector counts as none.  ``msg_id`` must be unique.
     """
-    return embeddings.select("msg_id", semantic_signal(F.col("embedding")).alias("semantic_signal"))
+    return embeddings.select("msg_id", semantic_signal(unit_vector(F.col("embedding"))).alias("semantic_signal"))
 
 
 def attach(messages: DataFrame, embeddings: DataFrame) -> DataFrame:
