@@ -5,12 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import decontaminate, minhash, mixing, neighbours, pii, quality, secrets, shards, toxicity
+from tellsign.llm import decontaminate, lines, minhash, mixing, neighbours, pii, quality, secrets, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
     "op2_benchmark_containment": decontaminate.op2,
     "op3_cross_polytope": neighbours.op3,
+    "op4_line_chunks": lines.op4,
     "op5_source_mix": mixing.op5,
     "op6_virtual_slots": shards.op6,
     "op7_ftrl_toxicity": toxicity.op7,
