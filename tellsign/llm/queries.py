@@ -50,7 +50,6 @@ FROM documents LEFT JOIN sizes ON sizes.id = doc_id
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = doc_id"""
 
 ORACLES: dict[str, str] = {
-    "op1_subword_quality": quality.op1,
     "op2_benchmark_containment": _CONTAINMENT,
     "op10_minhash_groups": _GROUPS,
 }
