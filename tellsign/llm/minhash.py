@@ -12,7 +12,7 @@ Two documents are linked when the shingle sets of their whole texts have
    the links give components.  This is linear in the size of a group.
 4. A link between two other members could still be missing, but only where these belong to different
    components.  In such buckets the members outside the largest component are compared with all, in
-   blocks of at most ``2 * BLOCK`` texts, on the full sets too; only links are emitted.  So no candidate
+   pairs of blocks of about ``BLOCK`` texts, on the full sets too; only links are emitted.  So no candidate
    link is left out.
 
 Two sets at the bound share a bucket with probability 1 - (1 - .85**5)**24 > 1 - 1e-6, more
@@ -170,23 +170,26 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _across(members: DataFrame, texts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components that share a bucket, its leader left out.
 
-    The members of a bucket stand in order of the size of their component there.  A block needs the others
-    only if one of the two has members outside the largest component, so a large group of copies
-    with a few strangers is not compared with itself.
+    The strangers of a bucket, those outside its largest component, are dealt to blocks by a hash of
+    their id, and so are the others.  A block of strangers meets every other block of the bucket; two blocks of
+    the largest component need not meet.  No order within a bucket is needed, so no task gathers one.
     """
     labelled = members.where("nid <> leader").join(comps, F.col("nid") == comps["node"], "left").select(
         "bucket", "nid", F.coalesce("component", "nid").alias("comp"))
     counts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("own"))
     mixed = counts.groupBy("bucket").agg(
-        F.sum("own").alias("n"), F.max("own").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    here = labelled.join(mixed.select("bucket", "n", "most"), "bucket").join(counts, ["bucket", "comp"])
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "comp", "nid")) - 1
-    placed = here.select(
-        "bucket", "nid", "comp", (place / BLOCK).cast("int").alias("i"),
-        ((F.col("n") - 1) / BLOCK).cast("int").alias("last"),
-        ((F.col("n") - F.col("most") - 1) / BLOCK).cast("int").alias("strange"))
-    dealt = placed.select("bucket", "nid", "comp", "i", F.explode(F.sequence(
-        F.lit(0), F.when(F.col("i") <= F.col("strange"), F.col("last")).otherwise(F.col("strange")))).alias("j"))
+        F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top"),
+        F.count(F.lit(1)).alias("comps")).where("comps > 1").select(
+        "bucket", F.col("top.comp").alias("largest"),
+        F.ceil((F.col("n") - F.col("top.own")) / BLOCK).alias("strange"),
+        F.ceil(F.col("top.own") / BLOCK).alias("plain"))
+    stranger, spread = F.col("comp") != F.col("largest"), F.xxhash64("nid")
+    block = F.when(stranger, F.pmod(spread, F.col("strange"))).otherwise(
+        F.col("strange") + F.pmod(spread, F.col("plain")))
+    last = F.col("strange") - 1 + F.when(stranger, F.col("plain")).otherwise(0)
+    dealt = labelled.join(mixed, "bucket").withColumn("i", block).select(
+        "bucket", "nid", "comp", "i",
+        F.explode(F.array_remove(F.sequence(F.lit(0).cast("long"), last), F.col("i"))).alias("j"))
     return dealt.join(texts, "nid").groupBy(
         "bucket", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).applyInPandas(
         lambda pdf: _block_links(pdf, percent), "u long, v long").distinct()
@@ -196,14 +199,20 @@ def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT) -> DataFram
     """Verified links ``u, v`` between class representatives; their components are complete."""
     least = least_agreement(percent)
     classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min("nid").alias("nid"))
-    bands = marks.join(classes.select("nid"), "nid", "left_semi").select("nid", F.explode("bands").alias("bucket"))
+    # rows that repeat with their id would multiply in the joins by id
+    repeated = not marks.groupBy("nid").count().where("count > 1").isEmpty()
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.dropDuplicates() if repeated else rows
+
+    bands = once(marks.join(classes.select("nid"), "nid", "left_semi").select("nid", F.explode("bands").alias("bucket")))
     leaders = bands.groupBy("bucket").agg(F.min("nid").alias("leader"), F.max("nid").alias("other"))
     members = stored(
         bands.join(leaders.where("leader <> other").select("bucket", "leader"), "bucket"), "members")
-    texts = stored(docs.select(node_id(docs["doc_id"], docs["text"]).alias("nid"), docs["text"]).join(
+    texts = stored(once(docs.select(node_id(docs["doc_id"], docs["text"]).alias("nid"), docs["text"])).join(
         members.select("nid").distinct().hint("merge"), "nid", "left_semi"), "texts")
     pairs = members.where("nid <> leader").select(F.col("nid").alias("u"), F.col("leader").alias("v")).distinct()
-    signs = marks.select("nid", "minima")
+    signs = once(marks.select("nid", "minima"))
     near = pairs.join(signs.toDF("u", "sign_u"), "u").join(signs.toDF("v", "sign_v"), "v").select(
         "u", "v", "sign_u", "sign_v").mapInArrow(lambda it: _agreeing(it, least), "u long, v long").distinct()
     first = stored(verified(near, texts, percent), "links")

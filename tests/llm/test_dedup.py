@@ -51,6 +51,17 @@ def test_groups_equal_brute_force(documents):
     assert len(set(want.values())) > 4
 
 
+def test_groups_over_many_blocks_and_repeated_rows(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = prose(77, 150)
+    rows = [(k, edited(base, k, k % 7), "en", "a", 0) for k in range(60)]
+    want = brute_groups(rows)
+    assert {i: v[1] for i, v in groups(documents(rows)).items()} == want and len(set(want.values())) > 2
+    twice = minhash.near_groups(documents(rows + rows[:30] * 2)).collect()
+    assert len(twice) == 120 and {r.doc_id: r.component_id for r in twice} == want
+    assert len({(r.doc_id, r.component_id) for r in twice}) == 60
+
+
 def test_odd_groups(odd, documents):
     rows = minhash.near_groups(odd).collect()
     assert len(rows) == len(odd_rows())
