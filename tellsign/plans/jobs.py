@@ -71,7 +71,7 @@ def full_run(
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """One run: score and store, bring the triage queue up to date, append the KPIs.
+    """One run: score and store, bring the triage queue up to date, append the KPIs (once for a version).
 
     Tables below ``root``: ``results/run=<n>``, ``queue`` (snapshots) and ``kpi_timeline``.
     """
@@ -86,7 +86,7 @@ def full_run(
     run = results.withColumn("run_version", F.lit(run_version).cast("long"))
     snapshot = kpi_snapshot(run, ["run_version"]).withColumns({
         "timestamp": as_time(now), "duration_ms": F.lit(took).cast("long")})
-    store.append_log(snapshot, f"{root}/kpi_timeline")
+    store.append_log(snapshot, f"{root}/kpi_timeline", "run_version")
     return results
 
 

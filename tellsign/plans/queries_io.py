@@ -40,17 +40,17 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("encoding_fallback", O.q(O.PLANTED, """
-    SELECT count(*) AS messages, sum(length("user"))::BIGINT AS user_chars FROM planted WHERE text <> '' """))
+    SELECT "user", CASE WHEN "user" < 'src5' THEN 'résumé ' || msg_id ELSE text END AS text
+    FROM planted WHERE text <> '' """))
 def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in UTF-8 and user names in Latin-1 side by side in one folder."""
+    """Messages in UTF-8 and others in Latin-1 side by side in one folder."""
     path = scratch_dir(spark, "encodings")
     rows = planted_messages(spark, sf_dir).filter(F.col("text") != "")
     FI.write_messages(rows.filter(F.col("user") >= "src5"), f"{path}/utf8")
     latin = rows.filter(F.col("user") < "src5").select(
         "user", F.concat(F.lit("résumé "), F.col("msg_id")).alias("text"))
     (latin.write.option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{path}/latin1"))
-    read = FI.read_messages(spark, f"{path}/*", null_tokens=False)
-    return read.agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("user")).alias("user_chars"))
+    return FI.read_messages(spark, f"{path}/*", null_tokens=False)
 
 
 _EXPORTED = ["msg_id", "user", "text", "risk_score", "risk_band"]
@@ -77,16 +77,20 @@ def csv_export_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("csv_export_filtered", O.q(O.RESULTS, """
-    SELECT 'Filtered Export' AS title, '2024-01-30T20:00:00Z' AS generated,
-      count(*) FILTER (WHERE risk_score BETWEEN 0.4 AND 1.0 AND risk_band = 'High') AS records,
-      count(*) AS total, 0.4::DOUBLE AS min_risk, 1.0::DOUBLE AS max_risk FROM res"""))
+    SELECT msg_id, "user", text, risk_band, 'Filtered Export' AS title, '2024-01-30T20:00:00Z' AS generated,
+      count(*) OVER () AS records, (SELECT count(*) FROM res) AS total,
+      0.4::DOUBLE AS min_risk, 1.0::DOUBLE AS max_risk
+    FROM res WHERE risk_score BETWEEN 0.4 AND 1.0 AND risk_band = 'High'"""))
 def csv_export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "filtered")
     spec = ResultFilter(min_risk=0.4, bands=["High"])
     X.export_filtered(results(spark, sf_dir).select(*_EXPORTED), spec, path, at(NOW))
-    return spark.read.schema(
+    meta = spark.read.schema(
         "title string, generated string, records long, total long, min_risk double, max_risk double"
-    ).json(f"{path}/meta")
+    ).json(f"{path}/meta").select(F.struct("*").alias("m")).scalar()
+    back = X.read_export(spark, f"{path}/data", _EXPORT_SCHEMA)
+    return back.select("msg_id", "user", "text", "risk_band", meta.alias("m")).select(
+        "msg_id", "user", "text", "risk_band", "m.*")
 
 
 @query("triage_store", O.q(O.RESULTS, """

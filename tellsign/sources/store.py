@@ -8,6 +8,10 @@ from tellsign.operators.history import tail_of_log
 
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Versions whose write was finished, oldest first."""
+    return _versions(spark, root, finished=True)
+
+
+def _versions(spark: SparkSession, root: str, finished: bool) -> list[int]:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -16,17 +20,18 @@ def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     done = []
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+        if name.startswith("version=") and (not finished or fs.exists(
+                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))):
             done.append(int(name.split("=", 1)[1]))
     return sorted(done)
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
     """Write the next version.  Older ones stay as they are, so readers are not disturbed
-    and a failed write leaves the last version valid."""
-    version = (snapshot_versions(df.sparkSession, root) or [0])[-1] + 1
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    and a failed write leaves the last version valid.  If two writers take the same version, the
+    later one fails instead of replacing what the other wrote."""
+    version = (_versions(df.sparkSession, root, finished=False) or [0])[-1] + 1
+    df.write.mode("errorifexists").parquet(f"{root}/version={version}")
     return version
 
 
@@ -37,7 +42,15 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/version={version or versions[-1]}")
 
 
-def append_log(entries: DataFrame, path: str) -> None:
+def append_log(entries: DataFrame, path: str, key: str | None = None) -> None:
+    """Append entries.  With a ``key``, those whose key is logged already are left out, so a
+    repeated run adds nothing."""
+    spark = entries.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if key is not None and fs.exists(folder):
+        known = spark.read.schema(entries.schema).parquet(path).select(key)
+        entries = entries.join(known, key, "left_anti").select(*entries.columns)
     entries.write.mode("append").parquet(path)
 
 

@@ -36,11 +36,11 @@ def messages(spark):
 def fake_results(spark):
     """Five scored rows: three at or above the triage threshold."""
     rows = [
-        (0, "alice", "Urgent action required from IT", 0.92, "High", "urgency_score", 0.9, 0.2, 0.1),
-        (1, "bob", "This is a confidential request, trust me", 0.75, "High", "trust_score", 0.3, 0.8, 0.0),
-        (2, "carol", "No rush, just checking in", 0.20, "Low", "liking_score", 0.0, 0.1, 0.0),
-        (3, "dave", "Your account suspended immediately!", 0.88, "High", "fear_score", 0.8, 0.1, 0.9),
-        (4, "eve", "Dear friend, here is the file", 0.45, "Medium", "reciprocity_score", 0.1, 0.3, 0.0),
+        (0, "alice", "Pay the open invoice before noon or the lawyer calls", 0.97, "High", "urgency_score", 0.7, 0.3, 0.4),
+        (1, "bob", "Between us two: the board has signed it off", 0.71, "High", "trust_score", 0.1, 0.6, 0.2),
+        (2, "carol", "Lunch menu for next week, see the kitchen door", 0.08, "Low", "liking_score", 0.0, 0.0, 0.1),
+        (3, "dave", "Your parcel is held and will be destroyed tonight", 0.86, "High", "fear_score", 0.5, 0.2, 0.8),
+        (4, "eve", "You took our survey, so take this voucher", 0.47, "Medium", "reciprocity_score", 0.2, 0.4, 0.0),
     ]
     return spark.createDataFrame(
         rows, "msg_id long, user string, text string, risk_score double, risk_band string, "

@@ -25,6 +25,8 @@ def test_runs_and_commands(spark, folder, messages):
     assert set(queue) == {"alice", "carl"} and not queue["alice"]["present_in_latest_run"]
     timeline = store.load_log(spark, f"{folder}/kpi_timeline", "run_version", 200).collect()
     assert [(r["run_version"], r["messages"], r["high"]) for r in timeline] == [(1, 2, 1), (2, 2, 1)]
+    full_run(messages(("carl", HOT), ("bob", "hi")), folder, 2, T0 + dt.timedelta(hours=1))
+    assert store.load_log(spark, f"{folder}/kpi_timeline", "run_version", 200).count() == 2
     cmds = spark.createDataFrame(
         [(1, [queue["carl"]["id"], "who"], T0 + dt.timedelta(hours=2), "mitigated", None, "done"),
          (2, ["who"], T0, "bogus", None, None)],

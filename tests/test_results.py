@@ -18,11 +18,11 @@ def users(df):
 def test_filters(fake_results):
     f = lambda **kw: users(ResultFilter(**kw).apply(fake_results))
     assert f() == ["alice", "bob", "carol", "dave", "eve"]
-    assert f(min_risk=0.75, max_risk=0.88) == ["bob", "dave"]
+    assert f(min_risk=0.71, max_risk=0.86) == ["bob", "dave"]
     assert f(bands=["Low", "Medium"]) == ["carol", "eve"]
     assert f(drivers=["fear_score"]) == ["dave"] and f(users=["eve", "bob"]) == ["bob", "eve"]
-    assert f(text_query="ACCOUNT") == ["dave"] and f(text_query="   ") == f()
-    assert f(text_query=" it") == ["alice"]
+    assert f(text_query="PARCEL") == ["dave"] and f(text_query="   ") == f()
+    assert f(text_query=" it") == ["bob"]
     assert f(bands=[], users=[]) == f()
     assert f(users=["eve"] + [f"nobody{i}" for i in range(2000)]) == ["eve"]
     assert users(of_user(fake_results, "bob")) == ["bob"]
@@ -84,7 +84,7 @@ def test_cards(fake_results):
     assert [c["user"] for c in cards] == ["alice", "dave"]
     assert cards[0]["band_color"] == "#e41a1c" and cards[1]["top_driver"] == "Fear"
     assert cards[0]["contributions"] == {"Fear": 0.1235}
-    assert R.console_report(fake_results, 0).collect()[0]["risk_score"] == "0.92"
+    assert R.console_report(fake_results, 0).collect()[0]["risk_score"] == "0.97"
 
 
 def test_hot_user_sends_few_rows(spark):

@@ -13,11 +13,11 @@ from tellsign.sources import embeddings as E
 from tellsign.sources import weights as W
 
 FIVE = [
-    ("alice", "Urgent: verify your credentials now, says the IT admin"),
-    ("bob", "This is confidential, trust me"),
-    ("carol", "No rush, whenever you have time"),
-    ("dave", "Your account suspended immediately, legal action pending"),
-    ("eve", "Dear friend, as promised here is the file"),
+    ("alice", "The IT admin asks: verify your credentials now, it is urgent"),
+    ("bob", "Trust me, keep it confidential"),
+    ("carol", "The kitchen is clean again"),
+    ("dave", "Legal action follows, account suspended immediately"),
+    ("eve", "As promised, dear friend: the slides"),
 ]
 
 

@@ -102,6 +102,7 @@ def test_snapshots(spark, folder, fake_results):
     assert store.read_snapshot(spark, root, 1).count() == 3
     os.makedirs(f"{root}/version=3")  # a write that never finished
     assert store.snapshot_versions(spark, root) == [1, 2]
+    assert store.write_snapshot(queue, root) == 4 and store.snapshot_versions(spark, root) == [1, 2, 4]
 
 
 def test_log_append_tail_and_trim(spark, folder):

@@ -14,8 +14,8 @@ HARD = [
     "nowü now éasap", "return the favor", "in return the favor", "team already approved",
     "all  colleagues all\ncolleagues all colleagues", "İT it ıt IT", "aſap ASAP ásap",
     "urgent urgent urgent ASAP ASAP", "URGENT asap now", "it's IT. it_ _it it2",
-    "Il tuo account è sospeso e bloccato", "This is confidential and official information",
-    "Your account suspended immediately, legal action pending", "as\x1cpromised as  promised",
+    "Il conto è bloccato, agisci subito", "An official note, confidential until Monday",
+    "Legal action starts and the account suspended stays so", "as\x1cpromised as  promised",
     "already approved already done", "i helped you said", "", "you are the best", "NOW", "Kelvin K",
     "per favore favor favore", "dear friend dear colleague", "now now now,now;now",
 ]
