@@ -1,10 +1,12 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-The lines of a text are hashed, and a rolling hash over the last ``WINDOW`` lines decides where a chunk
-ends, so boundaries depend on the lines around them only and find themselves again after lines that were put in
-or taken out.  A chunk has at least two lines; a line of ``LONG_LINE`` words or more is a chunk alone.
-Chunks that occur more than once over all documents, and have ``LEAST_WORDS`` words, are removed but
-for their first occurrence (by id, then place).
+The lines of a text are hashed, and a rolling hash over the last ``WINDOW`` lines marks some lines as
+boundaries.  A chunk starts at every line and ends at the first boundary after it that leaves it at least two
+lines and ``LEAST_WORDS`` words, at the latest once it holds ``MOST_WORDS`` words or ``MOST_LINES`` lines.  So
+a chunk depends on its own lines only, wherever they stand, and any repeated run of two or more lines and ``MOST_WORDS``
+words holds a repeated chunk.  A line of ``MOST_WORDS`` words or more is a chunk alone.  Chunks that occur more than
+once over all documents are removed but for their first occurrence (by id, then place); chunks overlap, and
+their union goes.  Whatever lines go stay once in the corpus.
 
 Chunks are first counted by hash, which moves narrow rows pre-aggregated by task.  Only the texts of
 chunks whose hash repeats are cut out and compared: equal bytes, grouped by Spark, are what makes a repeat.
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tellsign.llm import common
 from tellsign.llm.common import fresh, stored
@@ -28,33 +31,52 @@ from tellsign.llm.minhash import STAND_IN, node_id
 
 WINDOW = 2
 DIVISOR = 2
-LEAST_LINES = 2
-LONG_LINE = 50
-LEAST_WORDS = 10
+LEAST_LINES, MOST_LINES = 2, 64
+LEAST_WORDS, MOST_WORDS = 10, 50
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
 
 
-def boundaries(lines: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
-    """(first line, end line) of each chunk of a text, from its line hashes and their word counts."""
+def boundary_marks(lines: np.ndarray) -> np.ndarray:
+    """Whether a rolling hash over the ``WINDOW`` lines that end here ends a chunk."""
+    rolling = np.zeros(len(lines), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        rolling = common.mix(sum(
-            np.concatenate([np.zeros(min(j, len(lines)), np.uint64), lines[:max(len(lines) - j, 0)]])
-            * np.uint64(0x9E3779B97F4A7C15 + 2 * j) for j in range(WINDOW)))
-    ends = rolling % np.uint64(DIVISOR) == 0
-    out, first = [], 0
-    for i in range(len(lines)):
-        if words[i] >= LONG_LINE:
-            if first < i:
-                out.append((first, i))
-            out.append((i, i + 1))
-            first = i + 1
-        elif ends[i] and i + 1 - first >= LEAST_LINES:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(lines):
-        out.append((first, len(lines)))
-    return out
+        for j in range(min(WINDOW, len(lines))):
+            rolling[j:] += lines[:len(lines) - j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
+        return common.mix(rolling) % np.uint64(DIVISOR) == 0
+
+
+def chunk_ends(lines: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each line of a slice, the line after the chunk that starts there; 0 where none does.
+
+    ``counts`` is the number of lines of each text.
+    """
+    n = len(lines)
+    at, none = np.arange(n), np.int64(n)
+    upto = np.cumsum(words)
+    before = upto - words
+    marks = np.append(np.where(boundary_marks(lines), at, none), none)
+    next_mark = np.minimum.accumulate(marks[::-1])[::-1]
+    long_line = words >= MOST_WORDS
+    next_long = np.minimum.accumulate(np.where(long_line, at, none)[::-1])[::-1] if n else at
+    # the line at which a chunk has words enough, the one at which it has too many
+    enough = np.maximum(np.searchsorted(upto, before + LEAST_WORDS), at + LEAST_LINES - 1)
+    full = np.maximum(np.searchsorted(upto, before + MOST_WORDS), at + LEAST_LINES - 1)
+    last = np.minimum(np.repeat(np.cumsum(counts), counts), next_long) - 1
+    stop = np.minimum.reduce([next_mark[np.minimum(enough, n)], full, at + MOST_LINES - 1, last])
+    whole = (stop >= enough) & ~long_line
+    return np.where(long_line, at + 1, np.where(whole, stop + 1, 0))
+
+
+def chunk_hashes(lines: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the lines of the chunk that starts at each line."""
+    out = np.zeros(len(lines), dtype=np.uint64)
+    size = np.where(ends > 0, ends - np.arange(len(lines)), 0)
+    with np.errstate(over="ignore"):
+        for k in range(int(size.max()) if len(size) else 0):
+            at = np.flatnonzero(size > k)
+            out[at] = common.mix(out[at] + lines[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        return common.mix(out + size.astype(np.uint64))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,21 +86,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = common.hash_spans(data, starts, ends, lower=False)
             word_starts = common.word_bounds(data, offsets)[0]
             words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
-            heads = np.cumsum(counts) - counts
-            rows, lo, hi, digest = [], [], [], []
-            for row, n in enumerate(counts):
-                own = slice(heads[row], heads[row] + n)
-                h, w = hashes[own], words[own]
-                for a, b in boundaries(h, w):
-                    if w[a:b].sum() >= LEAST_WORDS and (b - a >= LEAST_LINES or w[a] >= LONG_LINE):
-                        rows.append(first + row)
-                        lo.append(int(starts[own][a] - offsets[row]))
-                        hi.append(int(ends[own][b - 1] - offsets[row]))
-                        digest.append(int(common.fold_words(h[i:i + 1] for i in range(a, b)).view(np.int64)[0]))
-            at = pa.array(rows, pa.int64())
+            until = chunk_ends(hashes, words, counts)
+            own = np.flatnonzero(until)
+            rows = np.repeat(np.arange(len(counts)), counts)[own]
+            at = pa.array(first + rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int32()),
-                 pa.array(hi, pa.int32()), pa.array(digest, pa.int64())], names=["nid", "mark", "start", "stop", "chunk"])
+                [batch.column(0).take(at), batch.column(1).take(at),
+                 pa.array((starts[own] - offsets[rows]).astype(np.int32)),
+                 pa.array((ends[until[own] - 1] - offsets[rows]).astype(np.int32)),
+                 pa.array(chunk_hashes(hashes, until)[own].view(np.int64))],
+                names=["nid", "mark", "start", "stop", "chunk"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +119,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``nid, mark, spans``: the chunks to remove from each document that has any, in order."""
+    """``nid, mark, spans``: the places to remove from each document that has any, in order."""
     texts = _keyed(docs)
     chunks = stored(texts.mapInArrow(_chunks, "nid long, mark long, start int, stop int, chunk long"), "chunks")
     often = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk")
@@ -112,7 +129,15 @@ def repeats(docs: DataFrame) -> DataFrame:
         _cut, "nid long, mark long, start int, stop int, bytes binary"), "chunk-bytes")
     place = F.struct("nid", "mark", "start")
     first = cut.groupBy("bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut.join(first.hint("merge"), "bytes").where(place != F.col("first")).groupBy("nid", "mark").agg(
+    gone = cut.join(first.hint("merge"), "bytes").where(place != F.col("first")).select("nid", "mark", "start", "stop")
+    # overlapping chunks of a text become one span
+    order = Window.partitionBy("nid", "mark").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach > F.col("start"), 0).otherwise(1)
+    joined = gone.withColumn("opens", opens).withColumn("island", F.sum("opens").over(
+        order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("nid", "mark", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return joined.groupBy("nid", "mark").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -149,5 +174,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]), F.lit(0))
     return rows.join(repeats(docs).hint("merge"), ["nid", "mark"], "left").select(
         F.when(F.col("nid") < STAND_IN, F.col("nid")).alias("doc_id"), "size",
-        F.greatest(F.coalesce(F.size("spans"), F.lit(0)), F.lit(0)).alias("removed_chunks"), gone.alias("removed_bytes"),
+        F.greatest(F.coalesce(F.size("spans"), F.lit(0)), F.lit(0)).alias("removed_spans"), gone.alias("removed_bytes"),
         F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ","), F.lit("")).alias("spans"))
