@@ -126,7 +126,8 @@ AUDIT_TAIL = 500
 MAX_BULK_IDS = 250
 ENCODER_BATCH = 64
 
-# --- Our own starter sentiment lexicon (valence from -4 to 4); pass a full table instead
+# --- Fixed values: starter sentiment lexicon (valence from -4 to 4); pass a full table instead.
+# Many valences, the booster step, the negation factor and alpha are those of the published VADER lexicon.
 SENTIMENT_LEXICON = {
     "good": 1.9, "great": 3.1, "best": 3.2, "better": 1.9, "excellent": 2.7, "nice": 1.8,
     "happy": 2.7, "love": 3.2, "like": 1.5, "glad": 2.0, "thanks": 1.9, "thank": 1.5,

@@ -66,13 +66,6 @@ def risk_band(value: Column) -> Column:
     return chain
 
 
-def band_rank(band: Column) -> Column:
-    chain = F
-    for i, (name, _, _) in enumerate(BANDS):
-        chain = chain.when(band == name, F.lit(i))
-    return chain
-
-
 def band_color(band: Column) -> Column:
     chain = F
     for name, color in BAND_COLORS.items():

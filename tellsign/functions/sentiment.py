@@ -4,7 +4,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellsign import fixed
@@ -73,6 +73,39 @@ def valence_sum(
     return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + adjusted(i))
 
 
+def valence_sums(
+    messages: DataFrame,
+    lexicon: DataFrame,
+    negators=tuple(fixed.SENTIMENT_NEGATORS),
+    boosters: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """``msg_id, valence`` by a lexicon table (``word, valence``) of any size.
+
+    The same rule as ``valence_sum``, with the lookup as a join on the word.  Each word takes its
+    booster and negation along, and equal ones of a message are counted before the join.  A word that
+    the table repeats counts with its greatest valence; messages without a lexicon word have no row.
+    """
+    boosters = fixed.SENTIMENT_BOOSTERS if boosters is None else boosters
+    boost = _dictionary(boosters) if boosters else (lambda word: F.lit(None).cast("double"))
+    negator_list = F.array(*[F.lit(n) for n in negators])
+    words = F.col("words")
+
+    def in_context(word: Column, i: Column) -> Column:
+        back = F.slice(words, F.greatest(i - (fixed.SENTIMENT_LOOKBACK - 1), F.lit(1)),
+                       F.least(i, F.lit(fixed.SENTIMENT_LOOKBACK)))
+        return F.struct(
+            word.alias("word"), F.coalesce(boost(F.get(words, i - 1)), F.lit(0.0)).alias("step"),
+            F.arrays_overlap(back, negator_list).alias("negated"))
+
+    seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select(
+        "msg_id", F.inline(F.transform(words, in_context))).groupBy(
+        "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n"))
+    known = lexicon.groupBy("word").agg(F.max("valence").cast("double").alias("v"))
+    value = F.col("v") + F.signum("v") * F.col("step")
+    turned = F.when(F.col("negated"), value * F.lit(fixed.SENTIMENT_NEGATION_FACTOR)).otherwise(value)
+    return seen.join(known, "word").groupBy("msg_id").agg(F.sum(turned * F.col("n")).alias("valence"))
+
+
 def compound(total: Column) -> Column:
     """Squeeze a valence sum to [-1, 1] by ``s / sqrt(s*s + alpha)``.
 

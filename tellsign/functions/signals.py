@@ -81,10 +81,16 @@ def semantic_signal(vector: Column) -> Column:
 
 
 def sentiment_columns(
-    df: DataFrame, lexicon: Mapping[str, float] | None = None, analyzer: bool = True
+    df: DataFrame, lexicon: Mapping[str, float] | DataFrame | None = None, analyzer: bool = True
 ) -> DataFrame:
+    """Sentiment by a literal lexicon, row-local, or by a table (``word, valence``) of any size (batches only)."""
     if not analyzer:
         return df.withColumns({"sentiment": F.lit(0.0), "sentiment_risk_signal": F.lit(0.0)})
+    if isinstance(lexicon, DataFrame):
+        df = df.join(S.valence_sums(df, lexicon), "msg_id", "left")
+        df = df.withColumn("valence", F.coalesce("valence", F.lit(0.0)))
+        return df.withColumn("sentiment", S.compound(F.col("valence"))).withColumn(
+            "sentiment_risk_signal", F.abs("sentiment")).drop("valence")
     df = df.withColumn("_words", S.tokens(T.lowered(F.col("text"))))
     df = df.withColumn("_sum", S.valence_sum(F.col("_words"), lexicon))
     df = df.withColumn("sentiment", S.compound(F.col("_sum"))).drop("_words", "_sum")

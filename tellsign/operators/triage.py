@@ -129,6 +129,22 @@ def not_found(state: DataFrame, commands: DataFrame) -> DataFrame:
     return commands.join(ids, "item_id", "left_anti").select("item_id").distinct()
 
 
+def bulk_counts(state: DataFrame, commands: DataFrame) -> DataFrame:
+    """``cmd_id, asked, updated, not_found`` of each bulk command.
+
+    An item counts as updated where the command changed something, against what the commands before it left.
+    """
+    flat = explode_bulk(commands)
+    made, _ = changes(state, flat)
+    updated = made.select("cmd_id", "item_id", "pos").distinct().groupBy("cmd_id").agg(
+        F.count(F.lit(1)).alias("updated"))
+    known = state.select(F.col("id").alias("item_id"), F.lit(1).alias("known"))
+    asked = flat.select("cmd_id", "item_id").join(known, "item_id", "left").groupBy("cmd_id").agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if(F.col("known").isNull()).alias("not_found"))
+    return asked.join(updated, "cmd_id", "left").select(
+        "cmd_id", "asked", F.coalesce("updated", F.lit(0)).alias("updated"), "not_found")
+
+
 def _order() -> Column:
     return F.struct("cmd_ts", "cmd_id", "pos")
 
@@ -210,9 +226,14 @@ def _latest(rows: DataFrame, n: int, entry: Column, name: str) -> DataFrame:
     )
 
 
-def apply_commands(state: DataFrame, commands: DataFrame) -> DataFrame:
-    """Queue after valid commands, applied per item in the order of time and id."""
-    made, hourly = changes(state, commands)
+def apply_commands(
+    state: DataFrame, commands: DataFrame, changed: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """Queue after valid commands, applied per item in the order of time and id.
+
+    ``changed`` is what ``changes`` gave for them, if it is stored already.
+    """
+    made, hourly = changes(state, commands) if changed is None else changed
     activity = _latest(
         made, fixed.MAX_ACTIVITY,
         F.struct(F.col("cmd_ts").alias("time"), "action", "details"), "new_activity")

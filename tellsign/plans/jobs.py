@@ -24,7 +24,7 @@ def score_and_store(
     path: str,
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
-    lexicon: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | DataFrame | None = None,
 ) -> DataFrame:
     """Score a batch and write it; the stored table is what all later questions read.
 
@@ -69,7 +69,7 @@ def full_run(
     now: dt.datetime | Column,
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
-    lexicon: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | DataFrame | None = None,
 ) -> DataFrame:
     """One run: score and store, bring the triage queue up to date, append the KPIs (once for a version).
 
@@ -94,17 +94,21 @@ def update_queue(spark: SparkSession, root: str, commands: DataFrame) -> dict[st
     """Apply commands to the stored queue and write the next snapshot.
 
     Gives the new queue, the refused commands, the ids that were not found and the audit
-    entries, which are also appended to ``audit_log``.
+    entries, which are also appended to ``audit_log``: after the snapshot, and each id once.  The changes
+    are worked out once and written; queue and log read that table.
     """
     state = store.read_snapshot(spark, f"{root}/queue")
     if state is None:
         raise ValueError(f"no queue below {root}; run the scoring first")
     good, refused = triage.split_commands(commands)
     flat = triage.explode_bulk(good) if "item_ids" in good.columns else good
-    made, _ = triage.changes(state, flat)
+    made, hourly = triage.changes(state, flat)
+    path = scratch_dir(spark, "changes")
+    made.write.parquet(path)
+    made = spark.read.schema(made.schema).parquet(path)
     audit = triage.audit_entries(made)
-    store.append_log(audit, f"{root}/audit_log")
-    store.write_snapshot(triage.apply_commands(state, flat), f"{root}/queue")
+    store.write_snapshot(triage.apply_commands(state, flat, (made, hourly)), f"{root}/queue")
+    store.append_log(audit, f"{root}/audit_log", "id")
     return {
         "queue": store.read_snapshot(spark, f"{root}/queue"), "refused": refused,
         "not_found": triage.not_found(state, flat), "audit": audit,

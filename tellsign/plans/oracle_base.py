@@ -66,9 +66,10 @@ def hits(source: str) -> str:
     FROM (SELECT *, {_doubled('text')} AS _d, {_doubled('lower(text)')} AS _l FROM {source})"""
 
 
-def sentiment(source: str) -> str:
-    """(msg_id, sentiment) of every message of ``source``."""
-    lexicon = ", ".join(f"({lit(w)}, {float(v)!r}::DOUBLE)" for w, v in fixed.SENTIMENT_LEXICON.items())
+def sentiment(source: str, table: str | None = None) -> str:
+    """(msg_id, sentiment) of every message of ``source``; ``table`` is a lexicon (w, v)."""
+    lexicon = "(VALUES " + ", ".join(
+        f"({lit(w)}, {float(v)!r}::DOUBLE)" for w, v in fixed.SENTIMENT_LEXICON.items()) + ")"
     boost = ", ".join(f"({lit(w)}, {float(v)!r}::DOUBLE)" for w, v in fixed.SENTIMENT_BOOSTERS.items())
     neg = ", ".join(lit(w) for w in fixed.SENTIMENT_NEGATORS)
     return f"""
@@ -80,7 +81,7 @@ def sentiment(source: str) -> str:
         SELECT msg_id, words, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (
           SELECT msg_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+') AS words
           FROM {source})) t
-      JOIN (VALUES {lexicon}) AS lex(w, v) ON lex.w = t.w
+      JOIN {table or lexicon} AS lex(w, v) ON lex.w = t.w
       LEFT JOIN (VALUES {boost}) AS boost(w, v)
         ON t.i > 1 AND boost.w = t.words[greatest(t.i - 1, 1)]
       GROUP BY t.msg_id)"""

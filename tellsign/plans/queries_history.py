@@ -1,9 +1,12 @@
 """Queries over run history, presets, rules and evaluation."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellsign import fixed
 from tellsign.operators import charts as CH
 from tellsign.operators import evaluate as EV
 from tellsign.operators import history as H
@@ -13,8 +16,10 @@ from tellsign.plans.catalog import query, results
 from tellsign.plans.jobs import staged
 from tellsign.plans.queries_signals import r6
 from tellsign.plans.queries_triage import stamp
+from tellsign.session import scratch_dir
+from tellsign.sources import store
 from tellsign.sources.tables import table
-from tellsign.sources.weights import weight_frame
+from tellsign.sources.weights import read_weights, weight_frame
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +71,16 @@ def kpi_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(*_TL_COLUMNS, stamp("timestamp"))
 
 
+@query("kpi_trim", O.q(_RUNS, f"SELECT {_TL} FROM tl ORDER BY run_version DESC LIMIT {fixed.KPI_TIMELINE_MAX}"))
+def kpi_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log appended twice (the second time adds nothing) and cut to the entries that are kept."""
+    path = scratch_dir(spark, "kpi-log")
+    for _ in range(2):
+        store.append_log(timeline(spark, sf_dir), f"{path}/log", "run_version")
+    kept = store.trim_log(spark, f"{path}/log", f"{path}/trimmed", "run_version", fixed.KPI_TIMELINE_MAX)
+    return kept.select(*_TL_COLUMNS, stamp("timestamp"))
+
+
 @query("kpi_delta", O.q(_RUNS, "SELECT run_version, messages, avg_risk, high, high_pct, " + ", ".join(
     f"round({c} - lag({c}) OVER (ORDER BY run_version), 4) AS {c}_delta" if c in ("avg_risk", "high_pct")
     else f"{c} - lag({c}) OVER (ORDER BY run_version) AS {c}_delta"
@@ -220,3 +235,12 @@ def weight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellsign.sources.weights import weight_report as report
 
     return report(spark, _customer_weights(spark, sf_dir))
+
+
+@query("weights_file", _weights_sql("SELECT ord::INTEGER AS ord, name AS feature, feature AS label, weight FROM w"))
+def weights_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights written as a JSON file and read back in file order."""
+    path = scratch_dir(spark, "weights")
+    whole = json.dumps(_customer_weights(spark, sf_dir))
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(path)
+    return weight_frame(spark, read_weights(spark, path))

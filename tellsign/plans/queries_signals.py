@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from tellsign import fixed
 from tellsign.functions import scoring as SC
+from tellsign.functions import sentiment as S
 from tellsign.functions import signals as SG
 from tellsign.functions import text as T
 from tellsign.operators import clean as C
 from tellsign.operators import evidence as EV
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import features, fresh_features, query, results
-from tellsign.plans.scoring import rescore
+from tellsign.operators.filters import of_user
+from tellsign.plans.scoring import rescore, score_features
 from tellsign.sources.embeddings import stored_embeddings
 from tellsign.sources.tables import conversation_messages, planted_messages, table
 
@@ -122,16 +124,15 @@ def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh_features(spark, sf_dir).select("msg_id", *_SCORES)
 
 
-@query("fallback_signals", O.q(O.HITS, """
-    SELECT msg_id, re_urgency::DOUBLE AS urgency_score, re_authority::DOUBLE AS authority_score,
-           re_fear::DOUBLE AS fear_score, 0.0::DOUBLE AS trust_score, 0.0::DOUBLE AS sentiment,
-           0.0::DOUBLE AS sentiment_risk_signal FROM hits"""))
+@query("fallback_signals", O.q(O.HITS, "SELECT msg_id, " + ", ".join(
+    f"re_{f}::DOUBLE AS {f}_score" for f in fixed.PATTERNS) + """, 0.0::DOUBLE AS trust_score, 0.0::DOUBLE AS sentiment,
+    0.0::DOUBLE AS sentiment_risk_signal FROM hits"""))
 def fallback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of a run without keyword lists and sentiment."""
     from tellsign.plans.scoring import build_features
 
     df = build_features(planted_messages(spark, sf_dir), analyzer=False)
-    return df.select("msg_id", "urgency_score", "authority_score", "fear_score", "trust_score",
+    return df.select("msg_id", *[f"{f}_score" for f in fixed.PATTERNS], "trust_score",
                      "sentiment", "sentiment_risk_signal")
 
 
@@ -162,6 +163,36 @@ def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("msg_id", *r6("sentiment", "sentiment_risk_signal"))
 
 
+@query("sentiment_table", O.q(O.CLEAN + f""",
+  lex AS MATERIALIZED (SELECT w, (len(w) % 9 - 4) / 2.0::DOUBLE AS v FROM (SELECT DISTINCT unnest(
+    regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+')) AS w FROM conversations)),
+  sent AS MATERIALIZED ({O.sentiment('clean', 'lex')})""", """
+    SELECT c.msg_id, round(coalesce(s.sentiment, 0.0), 6) AS sentiment,
+           round(abs(coalesce(s.sentiment, 0.0)), 6) AS sentiment_risk_signal
+    FROM clean c LEFT JOIN sent s ON s.msg_id = c.msg_id"""))
+def sentiment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment by a large lexicon table: all words of the conversations, with a valence made from their lengths."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(S.tokens(F.lower("text"))).alias("word")).distinct()
+    lexicon = words.withColumn("valence", (F.length("word") % 9 - 4) / 2)
+    df = SG.sentiment_columns(C.clean_messages(planted_messages(spark, sf_dir)), lexicon)
+    return df.select("msg_id", *r6("sentiment", "sentiment_risk_signal"))
+
+
+@query("missing_feature", O.q(
+    O.FEATURES + ", part AS (SELECT * REPLACE (0.0::DOUBLE AS trust_score, 0.0::DOUBLE AS semantic_signal) FROM feats), "
+    f"r2 AS ({O.scored('part')})", f"SELECT msg_id, {r6_sql('risk_score')}, top_risk_driver, risk_band FROM r2"))
+def missing_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that a table lacks count as zero."""
+    part = features(spark, sf_dir).drop("trust_score", "semantic_signal")
+    return score_features(part).select("msg_id", *r6("risk_score"), "top_risk_driver", "risk_band")
+
+
+@query("user_point", O.q(O.RESULTS, f"""
+    SELECT msg_id, "user", {r6_sql('risk_score')}, risk_band FROM res WHERE "user" = 'src1' """))
+def user_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_user(results(spark, sf_dir), "src1").select("msg_id", "user", *r6("risk_score"), "risk_band")
+
+
 @query("unit_signals", O.q(O.FEATURES, "SELECT msg_id, " + ", ".join(
     f"round({O.unit(f)}, 6) AS {f}" for f in fixed.FEATURES) + " FROM feats"))
 def unit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,29 @@ def triage_bulk_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.not_found(second_queue(spark, sf_dir), T.explode_bulk(good))
 
 
+@query("triage_bulk_counts", O.q(_BULK + """,
+  each AS (SELECT f.cmd_id, q.id, f.o_custkey % 2 = 0 AS even, q.status, coalesce(q.assignee, '') AS assignee,
+      coalesce(bool_or(f.o_custkey % 2 = 0) OVER earlier, false) AS even_before,
+      count(*) OVER earlier > 0 AS before
+    FROM flat f LEFT JOIN q2 q ON q.id = f.item_id
+    WINDOW earlier AS (PARTITION BY f.item_id ORDER BY f.cmd_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", """
+    SELECT cmd_id, count(*) AS asked, count(*) FILTER (WHERE id IS NOT NULL AND (
+        (even AND NOT even_before AND status <> 'mitigated') OR (NOT before AND assignee <> 'night shift'))) AS updated,
+      count(*) FILTER (WHERE id IS NULL) AS not_found FROM each GROUP BY cmd_id"""))
+def triage_bulk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = T.split_commands(bulk_commands(spark, sf_dir))
+    return T.bulk_counts(second_queue(spark, sf_dir), good)
+
+
+@query("triage_upsert", O.q(SECOND, """
+    SELECT id, CASE WHEN risk_score >= 0.75 THEN 'lead' ELSE assignee END AS assignee, risk_score FROM q2"""))
+def triage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole items replaced by id."""
+    queue = second_queue(spark, sf_dir)
+    items = queue.filter(F.col("risk_score") >= 0.75).withColumn("assignee", F.lit("lead"))
+    return T.upsert_items(queue, items).select("id", "assignee", "risk_score")
+
+
 @query("triage_bulk_update", O.q(_BULK, """
     SELECT q.id, CASE WHEN bool_or(f.o_custkey % 2 = 0) THEN 'mitigated' ELSE any_value(q.status) END AS status,
       CASE WHEN count(f.cmd_id) > 0 THEN 'night shift' ELSE any_value(q.assignee) END AS assignee,

@@ -21,7 +21,7 @@ FEATURE_COLUMNS = [
 
 def row_signals(
     messages: DataFrame,
-    lexicon: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | DataFrame | None = None,
     analyzer: bool = True,
 ) -> DataFrame:
     """Every signal that needs nothing but its own row; shared by batch and streams."""
@@ -35,7 +35,7 @@ def row_signals(
 def build_features(
     raw: DataFrame,
     embeddings: DataFrame | None = None,
-    lexicon: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | DataFrame | None = None,
     analyzer: bool = True,
 ) -> DataFrame:
     """Clean a batch and add all signals.
@@ -70,7 +70,7 @@ def score_batch(
     raw: DataFrame,
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
-    lexicon: Mapping[str, float] | None = None,
+    lexicon: Mapping[str, float] | DataFrame | None = None,
 ) -> DataFrame:
     return score_features(build_features(raw, embeddings, lexicon), weights)
 

@@ -101,11 +101,3 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         df.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-
-def alert_stream(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Alert rows of a stream as JSON lines."""
-    return (
-        items.writeStream.format("json").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

@@ -157,3 +157,14 @@ def test_encoder_runs_once_per_distinct_text(messages):
     assert math.hypot(*got[2]) == pytest.approx(1, abs=1e-5)
     with_vectors = score_batch(rows, E.encode_distinct(rows, length_model))
     assert with_vectors.filter("semantic_signal > 0").count() == 3
+
+
+def test_sentiment_table_equals_literal(spark, messages):
+    rows = messages(
+        ("a", "not a very good day, GOOD"), ("b", "nothing here"), ("c", "good good bad; really bad error"), ("d", "x"))
+    table = spark.createDataFrame(
+        [(w, float(v)) for w, v in fixed.SENTIMENT_LEXICON.items()] + [("good", -5.0), (None, 1.0)], "word string, valence double")
+    plain, joined = (
+        {r["user"]: r["sentiment"] for r in SG.sentiment_columns(rows, lexicon).collect()} for lexicon in (None, table))
+    assert joined.keys() == plain.keys() and all(abs(joined[u] - plain[u]) < 1e-12 for u in plain)
+    assert plain["b"] == 0 and plain["a"] != 0
