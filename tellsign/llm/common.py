@@ -84,8 +84,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows and of the end) of each bounded slice."""
+def slices(
+    texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows and of the end) of each slice of ``most`` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -98,7 +100,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = int(np.searchsorted(offsets, int(offsets[row]) + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, int(offsets[row]) + most, "right")) - 1
         end = min(max(end, row + 1), len(texts))
         yield row, end, raw[offsets[row]:offsets[end]], offsets[row:end + 1].astype(np.int64) - offsets[row]
         row = end

@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellsign.llm import decontaminate, lines, minhash, mixing, neighbours, pii, quality, secrets, shards, toxicity
+from tellsign.llm import (
+    decontaminate, lines, minhash, mixing, neighbours, packing, pii, quality, secrets, shards, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bootstrapped_pii": pii.op8,
     "op9_markov_secrets": secrets.op9,
     "op10_minhash_groups": minhash.op10,
+    "op11_best_fit_packing": packing.op11,
 }
 
 # Word runs as the operators see them: distinct shingles of five words, or the whole sequence.
