@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tellsign.llm import (
-    decontaminate, lines, minhash, mixing, neighbours, packing, pii, quality, secrets, shards, toxicity)
+    decontaminate, lines, minhash, mixing, neighbours, packing, pii, quality, ranking, secrets, shards, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_markov_secrets": secrets.op9,
     "op10_minhash_groups": minhash.op10,
     "op11_best_fit_packing": packing.op11,
+    "op12_max_sketch_ranking": ranking.op12,
 }
 
 # Word runs as the operators see them: distinct shingles of five words, or the whole sequence.
@@ -51,7 +52,30 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM documents LEFT JOIN sizes ON sizes.id = doc_id
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = doc_id"""
 
+# Terms are runs of ASCII letters and digits and of all other characters beyond ASCII.
+_RANKED = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT DISTINCT 'q', item_id, text FROM benchmark),
+terms AS (
+  SELECT kind, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM words),
+tf AS (SELECT id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL),
+size AS (SELECT id, sum(tf)::BIGINT AS n FROM tf GROUP BY id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM size),
+weights AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, corpus GROUP BY term),
+scores AS (
+  SELECT q.id AS item_id, tf.id AS doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM (SELECT DISTINCT id, term FROM terms WHERE kind = 'q') q JOIN tf USING (term) JOIN weights USING (term)
+    JOIN size ON size.id = tf.id, corpus
+  GROUP BY ALL HAVING score > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_containment": _CONTAINMENT,
     "op10_minhash_groups": _GROUPS,
+    "op12_max_sketch_ranking": _RANKED,
 }

@@ -95,10 +95,10 @@ def test_best_fit_against_brute_force():
     lambda i: 1100, lambda i: 3, lambda i: 2047, lambda i: 1 + (i * 7919) % 2048, lambda i: 1025 if i % 3 else 1000])
 def test_rounds_lose_nothing(spark, sizes):
     """Hundreds of tasks and three rounds, also where hardly anything fits together."""
-    n = 4000
+    n = 6000
     own = [sizes(i) for i in range(n)]
     items = spark.createDataFrame([(i, s) for i, s in enumerate(own)], "item long, size int")
-    got = packing.place(items, task_items=15).collect()
+    got = packing.place(items, task_items=60).collect()
     assert sorted(r.item for r in got) == list(range(n))
     bins = defaultdict(list)
     for r in got:
