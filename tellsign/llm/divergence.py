@@ -129,7 +129,7 @@ class Audit:
             lambda it: _counted(it, bits), "lang string, source string, digest long, term string, n long, docs long"), "terms")
         self.words = stored(parts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "words")
         shared = self.words.where("low <> high").select("digest", F.lit(True).alias("shared"))
-        counts = parts.join(shared, "digest", "left").withColumn("split", F.when("shared", F.col("term"))).groupBy(
+        counts = parts.join(shared, "digest", "left").withColumn("split", F.when(F.col("shared"), F.col("term"))).groupBy(
             "lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         term = Window.partitionBy(*TERM_KEY)
         self.own = stored(counts.withColumn("in_docs", F.sum("docs").over(term)).where(F.col("in_docs") >= least).select(

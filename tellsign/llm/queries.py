@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tellsign.llm import (
-    decontaminate, lines, minhash, mixing, neighbours, packing, pii, quality, ranking, secrets, shards, toxicity)
+    decontaminate, divergence, lines, minhash, mixing, neighbours, packing, pii, quality, ranking, secrets, shards, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": quality.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_groups": minhash.op10,
     "op11_best_fit_packing": packing.op11,
     "op12_max_sketch_ranking": ranking.op12,
+    "op13_divergence_audit": divergence.op13,
 }
 
 # Word runs as the operators see them: distinct shingles of five words, or the whole sequence.
@@ -74,8 +75,39 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
 
+_DIVERGENCE = """
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    coalesce(text, '') AS text FROM documents),
+hits AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM hits GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM hits SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, sum(coalesce(n, 0))::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+    1 + (1000000000 * (coalesce(o.n, 0) + 1)) // (g.total + v) AS p,
+    1 + (1000000000 * (k.n + 1)) // (l.total + v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+    LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, 'pair' AS part, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM shares x JOIN shares y USING (lang, term) GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (
+    SELECT lang, source, part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_containment": _CONTAINMENT,
     "op10_minhash_groups": _GROUPS,
     "op12_max_sketch_ranking": _RANKED,
+    "op13_divergence_audit": _DIVERGENCE,
 }
