@@ -1,10 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
-Tokens.  A document is the ids of its whole text and an end id.  Texts are cut before every single blank
-between two characters that are no white space.  A word of the tokenizer starts there in any case, so
-the parts can be tokenized apart: each different part of a batch once, and the ids are put together by
-number.  Documents longer than ``capacity`` are cut into pieces of exactly that length; what is left over is the
-first piece.
+Tokens.  A document is the ids of its whole text and an end id.  Texts are cut where a word of the tokenizer ends in any
+case (after a letter before a sign, before white space, ...), so the parts can be tokenized apart: each different part of a
+batch once, single words of letters by the vocabulary's model alone, and the ids are put together by
+number.  That holds for byte-level vocabularies that part runs of letters, digits and signs.  Documents longer than
+``capacity`` are cut into pieces of exactly that length; what is left over is the first piece.
 
 Packing works on (item, size) only and in rounds, as a tree.  In the first round items are dealt
 by hash to tasks of about ``TASK_ITEMS``.  A task packs best fit, largest first: an item goes to the open bin it fills
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,26 +46,41 @@ FAN = 16
 RISING = TASK_ITEMS // FAN
 NEARLY = 8
 SLICE = 8 << 20
-CACHED_PARTS, CACHED_BYTES = 1 << 18, 48
+CACHED_PARTS, CACHED_BYTES = 1 << 19, 32
+#: One word of the tokenizer: letters, digits or signs, with a blank before it or none.
+WORD = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Byte-level vocabularies write visible bytes of Latin-1 as they are and the others, in order, from U+0100 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+LETTERS = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-# Bytes that surely end or start a character other than white space; a lead byte from C3 to DF makes any
-# second byte safe, C2 and E1 to E3 start the white space beyond ASCII.
-_PLAIN = np.zeros(256, dtype=bool)
-_PLAIN[0x21:0x7F] = True
-_STARTS = _PLAIN.copy()
-_STARTS[0xC3:0xE1] = True
-_STARTS[0xE4:0xF5] = True
+# Kinds of bytes: letters, digits, other visible ASCII but the apostrophe, apostrophe, white space, all others.
+_LETTER, _DIGIT, _SIGN, _QUOTE, _WHITE, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x27] = _QUOTE
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = _WHITE
+# whether a word of the tokenizer always ends between two bytes of these kinds
+_ENDS = np.zeros((6, 6), dtype=bool)
+_ENDS[[_LETTER, _DIGIT, _SIGN, _QUOTE], _WHITE] = True
+_ENDS[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = True
+_ENDS[_DIGIT, [_LETTER, _SIGN, _QUOTE]] = True
+_ENDS[_SIGN, [_LETTER, _DIGIT]] = True
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Places of single blanks between two characters that are no white space."""
+    """Places where a word of the tokenizer ends whatever surrounds them."""
     if len(data) < 3:
         return np.zeros(0, dtype=np.int64)
-    before = _PLAIN[data[:-2]]
-    before[1:] |= (data[:-3] >= 0xC3) & (data[:-3] <= 0xDF) & (data[1:-2] >= 0x80)
-    return np.flatnonzero((data[1:-1] == 0x20) & before & _STARTS[data[2:]]) + 1
+    kind = _KIND[data]
+    ends = _ENDS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    # characters of two bytes from C3 on are no white space
+    two = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
+    ends[1:] |= two & (data[1:-1] >= 0x80) & (kind[2:] == _WHITE)
+    return np.flatnonzero(ends) + 1
 
 
 class Encoder:
@@ -83,17 +99,28 @@ class Encoder:
         new = [i for i, f in enumerate(found) if f is None]
         if len(self.seen) + len(new) > CACHED_PARTS:
             self.seen = {}
-        for at in range(0, len(new), 4096):
-            block = new[at:at + 4096]
+        single, word = WORD.fullmatch, self.tokenizer.model.tokenize
+        for i in new:
+            if single(part := parts[i]):
+                if part.isascii():
+                    part = part.replace(" ", LETTERS[0x20])
+                else:
+                    part = part.encode().decode("latin-1").translate(LETTERS)
+                found[i] = [t.id for t in word(part)]
+        others = [i for i in new if found[i] is None]
+        for at in range(0, len(others), 4096):
+            block = others[at:at + 4096]
             for i, e in zip(block, self.tokenizer.encode_batch([parts[i] for i in block], add_special_tokens=False)):
                 found[i] = e.ids
-                if len(parts[i]) <= CACHED_BYTES and len(self.seen) < CACHED_PARTS:
-                    self.seen[parts[i]] = e.ids
+        for i in new:
+            if len(parts[i]) <= CACHED_BYTES and len(self.seen) < CACHED_PARTS:
+                self.seen[parts[i]] = found[i]
         return found
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and the number of ids of each row."""
-        bounds = np.union1d(offsets, cuts(data))
+        bounds = np.sort(np.concatenate([offsets, cuts(data)]), kind="stable")
+        bounds = bounds[np.append(True, bounds[1:] != bounds[:-1])]
         if len(bounds) < 2:
             return np.zeros(0, dtype="<u4"), np.zeros(len(offsets) - 1, dtype=np.int64)
         parts = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [
