@@ -1,7 +1,7 @@
 """The eleven signals of a message as column expressions."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from tellsign.fixed import KEYWORDS, PATTERNS
 from tellsign.functions import sentiment as S
 from tellsign.functions import text as T
 
+#: Kinds of phrases and the prefixes of their counts.
+KINDS = {"regex": "re", "keyword": "kw"}
 MERGED = ["urgency", "social_proof", "reciprocity", "commitment", "liking", "fear"]
 
 
@@ -32,6 +34,17 @@ def with_hit_counts(df: DataFrame, analyzer: bool = True) -> DataFrame:
     return df.withColumns(counts).drop("_low", "_fold", "_found", "_plain")
 
 
+def table_scores(names: Sequence[tuple[str, str]]) -> dict[str, Column]:
+    """Scores of the families of a phrase table (family, kind): the larger count of both kinds, or the only one."""
+    counts: dict[str, list[Column]] = {}
+    for family, kind in names:
+        counts.setdefault(f"{family}_score", []).append(F.col(f"{KINDS[kind]}_{family}").cast("double"))
+    out = {name: F.greatest(*both) if len(both) > 1 else both[0] for name, both in counts.items()}
+    if ("urgency", "keyword") in names:
+        out["analyzer_urgency_score"] = F.col("kw_urgency").cast("double")
+    return out
+
+
 def merged_scores(analyzer: bool = True) -> dict[str, Column]:
     """The larger of both counts for six families; trust and authority have one source."""
     out: dict[str, Column] = {}

@@ -8,33 +8,45 @@ from tellsign.fixed import KEYWORDS, PATTERNS
 from tellsign.functions import text as T
 
 
-def lexicon_rows() -> list[tuple[str, str, str]]:
-    rows = [(f, "regex", p) for f, phrases in PATTERNS.items() for p in phrases]
-    return rows + [(f, "keyword", p) for f, phrases in KEYWORDS.items() for p in phrases]
-
-
-def _hits(rows: list[tuple[str, str, str]], kind: str, text: str) -> Column:
-    """Hits of the phrases of one kind; a pattern runs only where its anchor occurs."""
-    gap = T.GAP if kind == "regex" else " "
-    entries = F.array(*[
-        F.struct(
-            F.lit(family).alias("family"), F.lit(kind).alias("kind"), F.lit(p).alias("phrase"),
-            F.lit(T.anchor(p) if kind == "regex" else p).alias("needle"),
-            F.lit(T.phrase_regex([p], gap)).alias("regex"),
-        )
-        for family, k, p in rows if k == kind
-    ])
-    near = F.filter(entries, lambda e: F.contains(F.col(text), e["needle"]))
-    return F.transform(near, lambda e: F.struct(
-        e["family"].alias("family"), e["kind"].alias("kind"), e["phrase"].alias("phrase"),
-        F.regexp_count(F.col(text), e["regex"]).alias("hits")))
-
-
-def hit_evidence(messages: DataFrame, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """One row per message and phrase with its number of hits; row-local, no shuffle."""
-    rows = lexicon_rows() if rows is None else rows
+def _owners(kind: str, table: dict[str, list[str]]) -> Column:
+    """A map from each phrase to the families that list it, as rows of one kind."""
+    owners: dict[str, list[str]] = {}
+    for family, phrases in table.items():
+        for p in phrases:
+            owners.setdefault(p, []).append(family)
+    return F.create_map(*[x for p, families in owners.items() for x in (
+        F.lit(p), F.array(*[F.struct(F.lit(f).alias("family"), F.lit(kind).alias("kind")) for f in families]))])
+
+
+def _rows(found: Column, kind: str, table: dict[str, list[str]]) -> Column:
+    """One row for each family and different phrase among the found ones."""
+    owners = _owners(kind, table)
+
+    def of(phrase: Column) -> Column:
+        hits = F.size(F.filter(found, lambda x: x == phrase))
+        return F.transform(F.try_element_at(owners, phrase), lambda o: F.struct(
+            o["family"].alias("family"), o["kind"].alias("kind"), phrase.alias("phrase"), hits.alias("hits")))
+
+    return F.flatten(F.array_compact(F.transform(F.array_distinct(found), of)))
+
+
+def _exact_keywords(lowered: Column) -> Column:
+    """Keyword rows of a text by one constant pattern each, for letters that ``folded`` equates."""
+    return F.array(*[
+        F.struct(F.lit(family).alias("family"), F.lit("keyword").alias("kind"), F.lit(p).alias("phrase"),
+                 F.regexp_count(lowered, F.lit(T.phrase_regex([p], " "))).alias("hits"))
+        for family, phrases in KEYWORDS.items() for p in phrases])
+
+
+def hit_evidence(messages: DataFrame) -> DataFrame:
+    """One row per message and built-in phrase with its number of hits; row-local, no shuffle.
+
+    One pass over the text finds all phrases; that array says which were found how often.
+    """
     df = messages.withColumns({"_low": T.lowered(F.col("text")), "_fold": T.folded(F.col("text"))})
-    kinds = {k for _, k, _ in rows}
-    parts = [_hits(rows, k, c) for k, c in (("regex", "_fold"), ("keyword", "_low")) if k in kinds]
-    found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df.select("msg_id", F.inline(found)).filter(F.col("hits") > 0)
+    df = df.withColumn("_found", T.found_phrases(F.col("_fold")))
+    df = df.withColumn("_plain", T.plain_gaps(F.col("_found")))
+    keywords = F.when(F.col("_low") == F.col("_fold"), _rows(F.col("_found"), "keyword", KEYWORDS)).otherwise(
+        _exact_keywords(F.col("_low")))
+    rows = df.withColumn("_rows", F.concat(_rows(F.col("_plain"), "regex", PATTERNS), keywords))
+    return rows.select("msg_id", F.inline("_rows")).filter(F.col("hits") > 0)

@@ -12,7 +12,7 @@ from tellsign.functions.triage import as_time
 from tellsign.operators import triage
 from tellsign.operators.clean import require_rows
 from tellsign.operators.kpi import kpi_snapshot
-from tellsign.plans.scoring import FEATURE_COLUMNS, build_features, score_features
+from tellsign.plans.scoring import build_features, feature_columns, score_features
 from tellsign.session import scratch_dir, sized_shuffles
 from tellsign.sources import store
 
@@ -25,13 +25,14 @@ def score_and_store(
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
     """Score a batch and write it; the stored table is what all later questions read.
 
     Asking several questions of the unstored plan would repeat the text work for each, and
     a filter on the score, pushed below the projections, would even do it twice.
     """
-    scored = score_features(build_features(raw, embeddings, lexicon), weights)
+    scored = score_features(build_features(raw, embeddings, lexicon, phrases=phrases), weights)
     with sized_shuffles(raw):
         scored.write.mode("overwrite").parquet(path)
     return raw.sparkSession.read.parquet(path)
@@ -39,7 +40,7 @@ def score_and_store(
 
 def stored_features(results: DataFrame) -> DataFrame:
     """The feature columns of a stored result table, the input of a rescoring."""
-    return results.select(*[c for c in FEATURE_COLUMNS if c in results.columns])
+    return results.select(*feature_columns(results))
 
 
 def _signature(spark: SparkSession, paths: list[str]) -> tuple:
@@ -70,6 +71,7 @@ def full_run(
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
     """One run: score and store, bring the triage queue up to date, append the KPIs (once for a version).
 
@@ -78,7 +80,7 @@ def full_run(
     spark = raw.sparkSession
     started = time.monotonic()
     results = require_rows(
-        score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon))
+        score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon, phrases))
     state = store.read_snapshot(spark, f"{root}/queue")
     state = triage.empty_queue(spark) if state is None else state
     store.write_snapshot(triage.sync(state, results, now, top_n=None), f"{root}/queue")

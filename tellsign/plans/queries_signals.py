@@ -11,11 +11,13 @@ from tellsign.functions import signals as SG
 from tellsign.functions import text as T
 from tellsign.operators import clean as C
 from tellsign.operators import evidence as EV
+from tellsign.operators import phrases as PH
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import features, fresh_features, query, results
 from tellsign.operators.filters import of_user
-from tellsign.plans.scoring import rescore, score_features
+from tellsign.plans.scoring import rescore, score_batch, score_features
 from tellsign.sources.embeddings import stored_embeddings
+from tellsign.sources.lexicons import fixed_phrases
 from tellsign.sources.tables import conversation_messages, planted_messages, table
 
 
@@ -291,3 +293,111 @@ def _evidence_sql() -> str:
 @query("hit_evidence", _evidence_sql())
 def hit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.hit_evidence(C.clean_messages(planted_messages(spark, sf_dir)))
+
+
+def _runs_sql(words: str, n: int) -> str:
+    return " || ' ' || ".join(f"{words}[i + {k}]" for k in range(n))
+
+
+# A phrase table from the conversations: their single words and pairs as patterns, their runs of three as keywords.
+_PHRASE_TABLE = f"""turns AS MATERIALIZED (
+    SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM conversations),
+  phrases AS MATERIALIZED (
+    SELECT DISTINCT family, kind, phrase, len(phrase) AS ord FROM (
+      SELECT CASE WHEN len(w[i]) > 6 THEN 'jargon' ELSE 'urgency' END AS family, 'regex' AS kind, w[i] AS phrase
+        FROM turns, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE len(w[i]) > 5
+      UNION ALL SELECT 'pairs', 'regex', {_runs_sql('w', 2)}
+        FROM turns, LATERAL (SELECT unnest(range(1, len(w))) AS i)
+      UNION ALL SELECT 'pairs', 'keyword', {_runs_sql('w', 3)}
+        FROM turns, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)))"""
+
+# Both foldings of a text as words with what follows each; the run at each place joined with the phrases.
+_PHRASE_HITS = O.CLEAN + ", " + _PHRASE_TABLE + """,
+forms AS (
+    SELECT msg_id, 'keyword' AS kind, lower(text) AS t FROM clean
+    UNION ALL SELECT msg_id, 'regex', replace(replace(lower(replace(text, 'İ', 'i')), 'ı', 'i'), 'ſ', 's') FROM clean),
+words AS MATERIALIZED (
+    SELECT msg_id, kind, regexp_extract_all(t, '[\\p{L}\\p{N}_]+') AS w,
+      regexp_extract_all(t, '[\\p{L}\\p{N}_]+([^\\p{L}\\p{N}_]*)', 1) AS g FROM forms),
+runs AS (
+    SELECT msg_id, kind, i, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS phrase, g[i:i + n - 2] AS between
+    FROM words, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i), LATERAL (SELECT unnest([1, 2, 3]) AS n)
+    WHERE i + n - 1 <= len(w)),
+spans AS MATERIALIZED (
+    SELECT r.msg_id, p.family, r.kind, p.phrase, p.ord, r.i, r.n FROM runs r JOIN phrases p USING (kind, phrase)
+    WHERE CASE WHEN r.kind = 'keyword' THEN len(list_filter(between, lambda x: x <> ' ')) = 0
+      ELSE len(list_filter(between, lambda x: NOT regexp_full_match(x, '""" + O._GAP + """'))) = 0 END),
+counted AS MATERIALIZED (
+    SELECT msg_id, family, kind, alone, list_reduce(
+      list_prepend({'i': 0, 'u': 0, 'c': 0}, list({'i': i, 'u': i + n, 'c': 0} ORDER BY i, ord)),
+      lambda a, x: CASE WHEN x.i >= a.u THEN {'i': x.i, 'u': x.u, 'c': a.c + 1} ELSE a END).c AS hits
+    FROM (SELECT * EXCLUDE (i, n), i::INTEGER AS i, n::INTEGER AS n, CASE WHEN kind = 'keyword' THEN phrase END AS alone FROM spans)
+    GROUP BY msg_id, family, kind, alone)"""
+
+
+def conversation_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words and runs of two and three words of the conversations as phrases, with two families that are new."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.regexp_extract_all(F.lower("text"), F.lit(PH.WORD), F.lit(0)).alias("w"))
+
+    def runs(n: int) -> DataFrame:
+        places = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return turns.where(F.size("w") >= n).select(F.explode(F.transform(
+            places, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("phrase"))
+
+    family = F.when(F.length("phrase") > 6, "jargon").otherwise("urgency")
+    rows = runs(1).where(F.length("phrase") > 5).select(family.alias("family"), F.lit("regex").alias("kind"), "phrase")
+    for n, kind in ((2, "regex"), (3, "keyword")):
+        rows = rows.unionByName(runs(n).select(F.lit("pairs").alias("family"), F.lit(kind).alias("kind"), "phrase"))
+    return rows.distinct().withColumn("ord", F.length("phrase").cast("long"))
+
+
+@query("phrase_table_fixed", O.q(O.HITS, "SELECT msg_id, " + ", ".join(f"{c}::INTEGER AS {c}" for c in _RE + _KW) + " FROM hits"))
+def phrase_table_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in lists, given as a table."""
+    phrases = fixed_phrases(spark)
+    clean = C.clean_messages(planted_messages(spark, sf_dir))
+    return PH.with_hit_counts(clean, phrases, PH.families(phrases)).select("msg_id", *_RE, *_KW)
+
+
+@query("phrase_table_hits", O.q(_PHRASE_HITS, """
+    SELECT msg_id, family, kind, sum(hits)::BIGINT AS hits FROM counted GROUP BY msg_id, family, kind"""))
+def phrase_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of some 10**5 phrases at sf0.01, all families."""
+    clean = C.clean_messages(planted_messages(spark, sf_dir))
+    return PH.family_hits(clean, conversation_phrases(spark, sf_dir)).select(
+        "msg_id", "family", "kind", F.col("hits").cast("long").alias("hits"))
+
+
+_TABLE_WEIGHTS = {"urgency_score": 0.2, "pairs_score": 0.15, "semantic_signal": 0.12, "fear_score": 0.1, "jargon_score": 0.05}
+
+
+@query("phrase_table_scores", O.q(_PHRASE_HITS + """,
+families AS (SELECT msg_id, family || '_score' AS f, max(hits)::DOUBLE AS s FROM (
+    SELECT msg_id, family, kind, sum(hits) AS hits FROM counted GROUP BY ALL) GROUP BY ALL),
+wide AS (SELECT c.msg_id, """ + ", ".join(
+    f"coalesce(max(s) FILTER (f = '{f}'), 0.0::DOUBLE) AS {f}" for f in ("urgency_score", "pairs_score", "jargon_score", "fear_score"))
+    + """, any_value(e.embedding) AS embedding FROM clean c LEFT JOIN families USING (msg_id)
+    LEFT JOIN embeddings e ON e.vec_id = c.msg_id GROUP BY c.msg_id),
+feats AS (SELECT * EXCLUDE (embedding), coalesce(least(greatest(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE)))
+    / nullif(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 0)
+    / sqrt(greatest(len(embedding), 1)::DOUBLE), 0.0), 1.0), 0.0) AS semantic_signal FROM wide),
+r2 AS (""" + O.scored("feats", _TABLE_WEIGHTS) + ")", f"""
+    SELECT msg_id, pairs_score, jargon_score, {r6_sql('risk_score')}, top_risk_driver, risk_band FROM r2"""))
+def phrase_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a phrase table: added families are features with weights of their own."""
+    scored = score_batch(planted_messages(spark, sf_dir), stored_embeddings(spark, sf_dir), _TABLE_WEIGHTS,
+                         phrases=conversation_phrases(spark, sf_dir))
+    return scored.select("msg_id", "pairs_score", "jargon_score", *r6("risk_score"), "top_risk_driver", "risk_band")
+
+
+@query("phrase_table_evidence", O.q(_PHRASE_HITS, """
+    SELECT family, kind, phrase, count(*)::BIGINT AS messages, sum(hits)::BIGINT AS hits FROM (
+      SELECT msg_id, family, kind, phrase, count(*) AS hits FROM spans WHERE len(phrase) - len(replace(phrase, ' ', '')) < 1
+      GROUP BY ALL) GROUP BY family, kind, phrase"""))
+def phrase_table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each single word of the table was found, and in how many messages."""
+    words = conversation_phrases(spark, sf_dir).where(~F.contains("phrase", F.lit(" ")))
+    found = PH.evidence(C.clean_messages(planted_messages(spark, sf_dir)), words)
+    return found.groupBy("family", "kind", "phrase").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("hits").cast("long").alias("hits"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tellsign.functions import scoring as SC
 from tellsign.functions import signals as SG
 from tellsign.operators import clean as C
+from tellsign.operators import phrases as P
 from tellsign.sources import embeddings as E
 
 FEATURE_COLUMNS = [
@@ -19,16 +20,31 @@ FEATURE_COLUMNS = [
 ]
 
 
+def feature_columns(df: DataFrame) -> list[str]:
+    """The features of a table in their order; scores of added phrase families come last."""
+    known = [c for c in FEATURE_COLUMNS if c in df.columns]
+    added = [c for c in df.columns if c.endswith("_score") and c not in known and c != "risk_score" and not c.startswith("contrib_")]
+    return known + added
+
+
 def row_signals(
     messages: DataFrame,
     lexicon: Mapping[str, float] | DataFrame | None = None,
     analyzer: bool = True,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
-    """Every signal that needs nothing but its own row; shared by batch and streams."""
-    df = SG.with_hit_counts(messages, analyzer)
-    df = SG.sentiment_columns(df, lexicon, analyzer)
-    counts = [c for c in df.columns if c.startswith(("re_", "kw_"))]
-    df = df.withColumns(SG.merged_scores(analyzer)).drop(*counts)
+    """Every signal of the text; shared by batch and streams.
+
+    The built-in word lists and a literal lexicon need nothing but the row.  A phrase table is
+    joined (batches only) and takes the place of the word lists; without analyzer only its ``regex`` rows count.
+    """
+    if phrases is None:
+        df, scores = SG.with_hit_counts(messages, analyzer), SG.merged_scores(analyzer)
+    else:
+        names = P.families(phrases, SG.KINDS if analyzer else ["regex"])
+        df, scores = P.with_hit_counts(messages, phrases, names), SG.table_scores(names)
+    counts = [c for c in df.columns if c not in messages.columns]
+    df = SG.sentiment_columns(df.withColumns(scores).drop(*counts), lexicon, analyzer)
     return df if "semantic_signal" in df.columns else df.withColumn("semantic_signal", F.lit(0.0))
 
 
@@ -37,6 +53,7 @@ def build_features(
     embeddings: DataFrame | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
     analyzer: bool = True,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
     """Clean a batch and add all signals.
 
@@ -48,7 +65,7 @@ def build_features(
     df = C.clean_messages(raw, keys)
     if embeddings is not None:
         df = E.attach(df, embeddings)
-    df = row_signals(df, lexicon, analyzer)
+    df = row_signals(df, lexicon, analyzer, phrases)
     df = df.withColumn(
         "text_length_signal",
         SG.length_signal(
@@ -56,7 +73,7 @@ def build_features(
             bounds.select("shortest").scalar(), bounds.select("longest").scalar(),
         ),
     )
-    return df.select(*[c for c in FEATURE_COLUMNS if c in df.columns])
+    return df.select(*feature_columns(df))
 
 
 def score_features(
@@ -71,8 +88,9 @@ def score_batch(
     embeddings: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
+    phrases: DataFrame | None = None,
 ) -> DataFrame:
-    return score_features(build_features(raw, embeddings, lexicon), weights)
+    return score_features(build_features(raw, embeddings, lexicon, phrases=phrases), weights)
 
 
 def rescore(features: DataFrame, weights: Mapping[str, float]) -> DataFrame:

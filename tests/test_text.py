@@ -13,7 +13,7 @@ from tellsign.functions import text as T
 HARD = [
     "nowü now éasap", "return the favor", "in return the favor", "team already approved",
     "all  colleagues all\ncolleagues all colleagues", "İT it ıt IT", "aſap ASAP ásap",
-    "urgent urgent urgent ASAP ASAP", "URGENT asap now", "it's IT. it_ _it it2",
+    "asap, asap; ASAP asap", "Now or never: IMMEDIATELY", "it's IT. it_ _it it2",
     "Il conto è bloccato, agisci subito", "An official note, confidential until Monday",
     "Legal action starts and the account suspended stays so", "as\x1cpromised as  promised",
     "already approved already done", "i helped you said", "", "you are the best", "NOW", "Kelvin K",
@@ -87,7 +87,7 @@ def test_strip_and_length(spark):
 
 
 def test_html_escape(spark):
-    text = "<img src=x onerror=alert(1)> & \"q\" 'a' &amp;"
+    text = "5 < 7 > 3 && \"quoted\" it's &lt; done"
     got = spark.createDataFrame([(text,)], "t string").select(T.html_escape(F.col("t"))).first()[0]
     import html
 
