@@ -1,10 +1,12 @@
 """How the sources of a language differ in their words, with strings put in late.
 
-One pass over the texts counts each batch exactly by string and writes one row for each group (language and source) and
-term: a 64-bit digest, the term, its count and its documents.  From there on only digests move: counts by group, documents by
-language, shares and divergences are shuffles of fixed-width rows.  Strings are read once more on the side, as the least
-and the greatest term of each digest (pre-aggregated by task).  Where these differ, several terms share the digest, and its
-rows are split: their key becomes digest and term.  At the end terms are joined back for the rows that are kept.
+The first pass over the texts counts documents by a 64-bit digest of language and term.  The digests in documents enough set
+the bits of a filter of bounded size.  The second pass counts terms that pass the filter by group (language and
+source), each batch exactly by string: one row with the term's digest, the term, its count and its documents.  From there on
+only digests move: counts by group, documents by language, shares and divergences are shuffles of fixed-width rows.  Strings
+are read once more on the side, as the least and the greatest term of each digest (pre-aggregated by task).  Where these
+differ, several terms share the digest, and its rows are split: their key becomes digest and term.  At the end terms are
+joined back for the rows that are kept.  What the filter lets through in vain is dropped by the exact counts.
 
 Pairs of sources are summed up in blocks of terms.  A block holds a bounded number of (term, source) cells, so a language is many
 tasks and no pairs are written but those of the result, once a block.  The ``RANKS`` best terms of a group are found in
@@ -37,6 +39,8 @@ RANKS = 200
 SCALE = 1_000_000_000
 DIGEST_BITS = 64
 CELLS = 1 << 18
+FILTER_BITS = 24
+MOST_SHARED = 1 << 20
 SLICE = 8 << 20
 TERM_KEY = ["lang", "digest", "split"]
 
@@ -63,30 +67,75 @@ def digests(terms: pa.Array, bits: int) -> np.ndarray:
     return (np.concatenate(out or [np.zeros(0, np.uint64)]) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+class _Slice:
+    """The terms of a slice as rows (document, term, count), and the documents by the columns ahead of the text."""
+
+    def __init__(self, batch: pa.RecordBatch, first: int, end: int, data: np.ndarray, offsets: np.ndarray, bits: int):
+        terms, counts = _terms(data, offsets)
+        self.terms, self.many = terms.dictionary, max(len(terms.dictionary), 1)
+        self.digests = digests(self.terms, bits)
+        own, self.n = np.unique(np.repeat(np.arange(len(counts)), counts) * self.many + terms.indices.to_numpy(), return_counts=True)
+        self.row, self.code = own // self.many, own % self.many
+        self.columns = [batch.column(i).slice(first, end - first) for i in range(batch.num_columns - 1)]
+
+    def by(self, columns: list[pa.Array]) -> tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+        """For each (group, term): the group's values, the term's number, its documents, its count."""
+        codes = [c.dictionary_encode() for c in columns]
+        group = np.zeros(len(columns[0]), dtype=np.int64)
+        for c in codes:
+            group = group * len(c.dictionary) + c.indices.to_numpy()
+        key, at, docs = np.unique(group[self.row] * self.many + self.code, return_inverse=True, return_counts=True)
+        n = np.zeros(len(key), dtype=np.int64)
+        np.add.at(n, at, self.n)
+        names, group = [], key // self.many
+        for c in reversed(codes):
+            names.insert(0, c.dictionary.take(pa.array(group % len(c.dictionary))))
+            group = group // len(c.dictionary)
+        return names, key % self.many, docs.astype(np.int64), n
+
+
+def _parts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[_Slice]:
     for batch in batches:
-        for first, end, data, offsets in common.slices(batch.column(2), SLICE):
-            rows = pa.StructArray.from_arrays([batch.column(i).slice(first, end - first) for i in (0, 1)], ["lang", "source"])
-            names = pd.MultiIndex.from_arrays([rows.field(0).to_pandas(), rows.field(1).to_pandas()])
-            group, groups = pd.factorize(names)
-            terms, counts = _terms(data, offsets)
-            if not len(terms):
-                continue
-            vocabulary = len(terms.dictionary)
-            row = np.repeat(np.arange(len(counts)), counts)
-            # each document's terms first, then each group's
-            own, n = np.unique(row * vocabulary + terms.indices.to_numpy(), return_counts=True)
-            key, at, docs = np.unique(group[own // vocabulary] * vocabulary + own % vocabulary,
-                                      return_inverse=True, return_counts=True)
-            occurrences = np.zeros(len(key), dtype=np.int64)
-            np.add.at(occurrences, at, n)
-            code = pa.array(key % vocabulary)
-            owner = pa.array(key // vocabulary)
-            lang, source = (pa.array(groups.get_level_values(i).to_numpy(), pa.string()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [lang.take(owner), source.take(owner), pa.array(digests(terms.dictionary, bits)).take(code),
-                 terms.dictionary.take(code), pa.array(occurrences), pa.array(docs.astype(np.int64))],
-                names=["lang", "source", "digest", "term", "n", "docs"])
+        for first, end, data, offsets in common.slices(batch.column(batch.num_columns - 1), SLICE):
+            part = _Slice(batch, first, end, data, offsets, bits)
+            if len(part.row):
+                yield part
+
+
+def _keys(lang: pa.Array, term: np.ndarray) -> np.ndarray:
+    """One number for language and digest."""
+    codes = lang.dictionary_encode()
+    own = digests(pa.array([f"{x}." for x in codes.dictionary.to_pylist()], pa.string()), 64).view(np.uint64)[codes.indices.to_numpy()]
+    with np.errstate(over="ignore"):
+        return common.mix(term.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own)
+
+
+def _documents(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches, bits):
+        (lang,), code, docs, _ = part.by(part.columns[:1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_keys(lang, part.digests[code]).view(np.int64)), pa.array(docs)], names=["key", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int, passing: bytes) -> Iterator[pa.RecordBatch]:
+    filter_ = np.frombuffer(passing, dtype=np.uint8)
+    for part in _parts(batches, bits):
+        (lang, source), code, docs, n = part.by(part.columns)
+        slot = _keys(lang, part.digests[code]) >> np.uint64(64 - FILTER_BITS)
+        on = pa.array(np.flatnonzero(filter_[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1))
+        yield pa.RecordBatch.from_arrays(
+            [lang.take(on), source.take(on), pa.array(part.digests[code]).take(on), part.terms.take(pa.array(code).take(on)),
+             pa.array(n).take(on), pa.array(docs).take(on)], names=["lang", "source", "digest", "term", "n", "docs"])
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """The bits of all keys; 2 MB, however many there are."""
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    out = bytearray((1 << FILTER_BITS) // 8)
+    for row in keys.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(
+            F.bitmap_construct_agg(slot % 32768).alias("bits")).toLocalIterator():
+        out[row["bucket"] * 4096:(row["bucket"] + 1) * 4096] = row["bits"]
+    return bytes(out)
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -125,12 +174,20 @@ class Audit:
 
     def __init__(self, docs: DataFrame, least: int = LEAST_DOCUMENTS, bits: int = DIGEST_BITS):
         rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+        often = rows.select("lang", "text").mapInArrow(lambda it: _documents(it, bits), "key long, docs long").groupBy(
+            "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+        passing = _filter(often)
         parts = stored(rows.mapInArrow(
-            lambda it: _counted(it, bits), "lang string, source string, digest long, term string, n long, docs long"), "terms")
+            lambda it: _counted(it, bits, passing),
+            "lang string, source string, digest long, term string, n long, docs long"), "terms")
         self.words = stored(parts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "words")
         shared = self.words.where("low <> high").select("digest", F.lit(True).alias("shared"))
-        counts = parts.join(shared, "digest", "left").withColumn("split", F.when(F.col("shared"), F.col("term"))).groupBy(
-            "lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        many = shared.count()
+        if many:
+            parts = parts.join(F.broadcast(shared) if many <= MOST_SHARED else shared.hint("merge"), "digest", "left")
+        split = F.when(F.col("shared"), F.col("term")) if many else F.lit(None).cast("string")
+        counts = parts.withColumn("split", split).groupBy("lang", "source", "digest", "split").agg(
+            F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         term = Window.partitionBy(*TERM_KEY)
         self.own = stored(counts.withColumn("in_docs", F.sum("docs").over(term)).where(F.col("in_docs") >= least).select(
             *TERM_KEY, "source", "n", F.sum("n").over(term).alias("lang_n"),
