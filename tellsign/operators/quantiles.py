@@ -17,18 +17,20 @@ def exact_quantiles(
     low: float = 0.0,
     high: float = 1.0,
     bins: int = BINS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, one column per entry of ``probs``.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task.  Here
     equal values are counted first, map-side; a histogram with a fixed number of bins then
     tells in which bin each wanted rank lies, and only the values of these bins are sorted.
+    ``weight`` names a column that says how often a row counts.
     """
     keys = list(keys)
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     # Clamped before the cast: in ANSI mode a value beyond the integers would stop the job.
     position = (F.col("_v") - F.lit(low)) / F.lit(high - low) * bins

@@ -47,16 +47,18 @@ def candidates(
 
 
 def merge(state: DataFrame, fresh: DataFrame, now: dt.datetime | Column,
-          mark_stale: bool = True) -> DataFrame:
+          mark_stale: bool = True, first: Column | None = None) -> DataFrame:
     """Merge candidates into the queue by id.
 
     Known items get the fresh base fields and a new ``updated_at`` and keep the rest, new
     ones are inserted with their first activity, the others are flagged as not in this run
-    (unless ``mark_stale`` is off, as in streams, where a batch is only part of a run).
+    (unless ``mark_stale`` is off, as in streams, where a batch is only part of a run).  ``first``
+    is when an item was seen first, if that is not ``now``.
     """
     at = TF.as_time(now)
+    first = at if first is None else first
     created = F.array(F.struct(
-        at.alias("time"), F.lit("created").alias("action"),
+        first.alias("time"), F.lit("created").alias("action"),
         F.lit(fixed.TRIAGE_CREATED_DETAILS).alias("details"))).cast(ACTIVITY)
     s, c = state.alias("s"), fresh.withColumn("_in", F.lit(True)).alias("c")
     both = s.join(c, F.col("s.id") == F.col("c.id"), "full_outer")
@@ -65,7 +67,7 @@ def merge(state: DataFrame, fresh: DataFrame, now: dt.datetime | Column,
     flag = present if mark_stale else F.coalesce(F.col("c._in"), F.col("s.present_in_latest_run"))
     kept = {
         "status": F.lit("new"), "assignee": F.lit(""), "notes": F.array().cast(NOTES),
-        "activity": created, "created_at": at,
+        "activity": created, "created_at": first,
     }
     columns = {
         "id": F.coalesce("c.id", "s.id"),

@@ -18,6 +18,7 @@ from tellsign.sources import files as FI
 from tellsign.sources import store
 from tellsign.sources.embeddings import stored_embeddings
 from tellsign.sources.tables import plant, planted_messages, table
+from tellsign.streaming import queue as SQ
 from tellsign.streaming import score as ST
 
 
@@ -119,12 +120,15 @@ def _bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed documents with the time of the event of the same number."""
     times = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("msg_id"), F.col("ts").cast("timestamp").alias("ts"))
-    timed = document_stream(spark, sf_dir).join(times, "msg_id")
-    return ST.score_stream(timed, _bounds(spark, sf_dir), stored_embeddings(spark, sf_dir))
+    return document_stream(spark, sf_dir).join(times, "msg_id")
+
+
+def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.score_stream(timed_stream(spark, sf_dir), _bounds(spark, sf_dir), stored_embeddings(spark, sf_dir))
 
 
 @query("stream_scores", O.q(O.RESULTS, f"""
@@ -139,13 +143,40 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "msg_id", "risk_band", "top_risk_driver", *r6("risk_raw"))
 
 
-@query("stream_kpis")
+_STREAM_RESULTS = O.CLEAN + f""",
+  timed AS MATERIALIZED (SELECT msg_id, {O.strip('"user"')} AS "user", {O.strip('text')} AS text,
+    length({O.strip('text')})::INTEGER AS text_length, ts FROM planted JOIN events ON event_id = msg_id),
+  arrived AS MATERIALIZED (SELECT * EXCLUDE (ts) FROM timed WHERE "user" <> '' AND text <> ''),
+  ahits AS MATERIALIZED ({O.hits('arrived')}),
+  asent AS MATERIALIZED ({O.sentiment('arrived')}),
+  afeats AS MATERIALIZED ({O.features('clean', 'ahits', 'asent')}),
+  ares AS MATERIALIZED ({O.scored('afeats')})"""
+
+
+@query("stream_kpis", O.q(_STREAM_RESULTS, """
+    SELECT start, count(*) AS messages, count(DISTINCT "user") AS users, round(avg(risk_score), 4) AS avg_risk,
+      round(max(risk_score), 4) AS max_risk, round(median(risk_score), 4) AS median_risk,
+      count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium,
+      count(*) FILTER (risk_band = 'Low') AS low, round(count(*) FILTER (risk_band = 'High') / count(*) * 100, 1) AS high_pct
+    FROM (SELECT a.*, time_bucket(INTERVAL 6 HOUR, t.ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS start FROM ares a JOIN timed t USING (msg_id))
+    WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts::TIMESTAMP) FROM timed JOIN arrived USING (msg_id)) - INTERVAL 2 HOUR
+    GROUP BY start"""))
 def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed; rows-only, the end of the stream stays open."""
+    """Exact KPIs of the windows that the watermark has closed; the end of the stream stays open."""
     out = scratch_dir(spark, "stream-kpis")
-    kpis = ST.window_kpis(scored_stream(spark, sf_dir), "1 hour", "2 hours")
-    ST.write_stream(kpis, f"{out}/data", f"{out}/ck").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    ST.kpi_stream(scored_stream(spark, sf_dir), out, f"{out}/ck", "6 hours", "2 hours").awaitTermination()
+    return ST.read_kpis(spark, out)
+
+
+@query("stream_dedup", O.q(O.PLANTED + f""",
+  arrived AS (SELECT DISTINCT {O.strip('"user"')} AS "user", {O.strip('text')} AS text FROM planted JOIN events ON event_id = msg_id)""",
+    """SELECT "user", sha256(text) AS digest, 1::BIGINT AS copies FROM arrived WHERE "user" <> '' AND text <> '' """))
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream without the messages that repeat a user's text within the delay."""
+    out = scratch_dir(spark, "stream-dedup")
+    once = ST.dedup_stream(C.valid_messages(timed_stream(spark, sf_dir)), "60 days")
+    ST.write_stream(once.select("user", F.sha2("text", 256).alias("digest")), f"{out}/data", f"{out}/ck").awaitTermination()
+    return spark.read.parquet(f"{out}/data").groupBy("user", "digest").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query("stream_triage", O.q(O.RESULTS + f""",
@@ -155,7 +186,31 @@ def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
       'new' AS status, true AS present_in_latest_run
     FROM res r JOIN allrows a ON a."user" = r."user" AND a.text = r.text WHERE r.risk_score >= 0.7"""))
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue that a stream feeds, merged from its deltas."""
     out = scratch_dir(spark, "stream-triage")
-    ST.triage_stream(scored_stream(spark, sf_dir), f"{out}/queue", f"{out}/ck").awaitTermination()
-    return store.read_snapshot(spark, f"{out}/queue").select(
-        "id", "risk_score", "status", "present_in_latest_run")
+    SQ.triage_stream(scored_stream(spark, sf_dir), f"{out}/queue", f"{out}/ck").awaitTermination()
+    return SQ.read_queue(spark, f"{out}/queue").select("id", "risk_score", "status", "present_in_latest_run")
+
+
+@query("stream_triage_compacted", O.q(_STREAM_RESULTS + f""",
+  risky AS (SELECT substr(sha1("user" || chr(10) || text), 1, 16) AS id, max_by(round(risk_score, 4), msg_id) AS risk_score
+    FROM ares WHERE risk_score >= 0.7 GROUP BY ALL),
+  newest AS (SELECT max(ts::TIMESTAMP) AS seen FROM timed JOIN ares USING (msg_id) WHERE risk_score >= 0.7)""", f"""
+    SELECT id, risk_score, CASE WHEN risk_score >= 0.8 THEN 'in_progress' ELSE 'new' END AS status,
+      CASE WHEN risk_score >= 0.8 THEN TIMESTAMP '{NOW}' ELSE seen END AS updated_at, seen AS created_at,
+      CASE WHEN risk_score >= 0.8 THEN 'created,status' ELSE 'created' END AS actions
+    FROM risky, newest"""))
+def stream_triage_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queue compacted, worked on by commands, compacted and expired again."""
+    out = scratch_dir(spark, "stream-queue")
+    root = f"{out}/queue"
+    SQ.triage_stream(scored_stream(spark, sf_dir), root, f"{out}/ck").awaitTermination()
+    SQ.compact(spark, root)
+    commands = SQ.read_queue(spark, root).where("risk_score >= 0.8").select(
+        F.xxhash64("id").alias("cmd_id"), F.col("id").alias("item_id"), at(NOW).alias("cmd_ts"), F.lit("in_progress").alias("status"),
+        F.lit(None).cast("string").alias("assignee"), F.lit(None).cast("string").alias("note"))
+    SQ.update(spark, root, commands)
+    SQ.compact(spark, root)
+    SQ.expire(spark, root, keep=1)
+    return SQ.read_queue(spark, root).select("id", "risk_score", "status", "updated_at", "created_at",
+                                             F.array_join(F.col("activity.action"), ",").alias("actions"))

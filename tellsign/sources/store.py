@@ -6,31 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from tellsign.operators.history import tail_of_log
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system and path of a folder."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def names(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the folders ``<key>=<value>`` below ``path``, in order."""
+    fs, folder = _folder(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n.split("=", 1)[1] for n in found if n.startswith(f"{key}="))
+
+
+def numbers(spark: SparkSession, path: str, key: str) -> list[int]:
+    return sorted(int(n) for n in names(spark, path, key))
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end."""
+    fs, marker = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Versions whose write was finished, oldest first."""
-    return _versions(spark, root, finished=True)
+    return [v for v in numbers(spark, root, "version") if finished(spark, f"{root}/version={v}")]
 
 
-def _versions(spark: SparkSession, root: str, finished: bool) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and (not finished or fs.exists(
-                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))):
-            done.append(int(name.split("=", 1)[1]))
-    return sorted(done)
+def expire_snapshots(spark: SparkSession, root: str, keep: int = 5) -> list[int]:
+    """Remove all but the newest ``keep`` finished versions, and what older failed writes left; gives those that stay."""
+    kept = snapshot_versions(spark, root)[-max(keep, 1):]
+    for version in numbers(spark, root, "version"):
+        if kept and version < kept[0]:
+            remove(spark, f"{root}/version={version}")
+    return kept
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
     """Write the next version.  Older ones stay as they are, so readers are not disturbed
     and a failed write leaves the last version valid.  If two writers take the same version, the
     later one fails instead of replacing what the other wrote."""
-    version = (_versions(df.sparkSession, root, finished=False) or [0])[-1] + 1
+    version = max(numbers(df.sparkSession, root, "version"), default=0) + 1
     df.write.mode("errorifexists").parquet(f"{root}/version={version}")
     return version
 
@@ -46,8 +69,7 @@ def append_log(entries: DataFrame, path: str, key: str | None = None) -> None:
     """Append entries.  With a ``key``, those whose key is logged already are left out, so a
     repeated run adds nothing."""
     spark = entries.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, folder = _folder(spark, path)
     if key is not None and fs.exists(folder):
         known = spark.read.schema(entries.schema).parquet(path).select(key)
         entries = entries.join(known, key, "left_anti").select(*entries.columns)

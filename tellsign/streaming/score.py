@@ -3,18 +3,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tellsign import fixed
 from tellsign.functions import signals as SG
 from tellsign.operators import clean as C
-from tellsign.operators import triage as T
-from tellsign.operators.kpi import band_count, share
+from tellsign.operators.kpi import share
+from tellsign.operators.quantiles import exact_quantiles
 from tellsign.plans.scoring import row_signals, score_features
 from tellsign.sources import embeddings as E
-from tellsign.sources import store
 
 
 def score_stream(
@@ -43,59 +41,61 @@ def dedup_stream(messages: DataFrame, delay: str) -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user", "digest"]).drop("digest")
 
 
-def window_kpis(
-    scored: DataFrame, width: str = "1 day", delay: str | None = "1 day"
-) -> DataFrame:
-    """KPIs per time window; no ``delay`` if the stream has a watermark already.  Users are counted approximately: a stream has no exact way
-    that forgets.  The median is the built-in one over the scores of a window rounded to
-    the four digits in which it is reported, which bounds the state of a window."""
+def window_counts(scored: DataFrame, width: str = "1 day", delay: str | None = "1 day") -> DataFrame:
+    """Messages of each user and score in each closed time window; no ``delay`` if the stream has a watermark already.
+
+    The state of a window is as large as its different (user, score), in as many tasks as there are
+    shuffle partitions.
+    """
     df = scored.withWatermark("ts", delay) if delay else scored
-    return df.groupBy(F.window("ts", width)).agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.approx_count_distinct("user").alias("users"),
-        F.round(F.avg("risk_score"), 4).alias("avg_risk"),
-        F.round(F.max("risk_score"), 4).alias("max_risk"),
-        F.round(F.median(F.round("risk_score", 4)), 4).alias("median_risk"),
-        band_count("High").alias("high"), band_count("Medium").alias("medium"),
-        band_count("Low").alias("low"),
-        share(band_count("High"), F.count(F.lit(1))).alias("high_pct"),
-    ).select(F.col("window.start").alias("start"), "*").drop("window")
-
-
-def triage_stream(
-    scored: DataFrame, root: str, checkpoint: str,
-    min_risk: float = fixed.TRIAGE_MIN_RISK,
+    return df.groupBy(F.window("ts", width), "user", "risk_score", "risk_band").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.start").alias("start"), "user", "risk_score", "risk_band", "n")
+
+
+def closed_kpis(counts: DataFrame) -> DataFrame:
+    """Exact KPIs of closed windows from their ``window_counts``."""
+    many = F.sum("n")
+
+    def band(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("risk_band") == name, F.col("n"))), F.lit(0).cast("long"))
+
+    users = counts.select("start", "user").distinct().groupBy("start").agg(F.count(F.lit(1)).alias("users"))
+    basics = counts.groupBy("start").agg(
+        many.alias("messages"), F.round(F.sum(F.col("risk_score") * F.col("n")) / many, 4).alias("avg_risk"),
+        F.round(F.max("risk_score"), 4).alias("max_risk"), band("High").alias("high"), band("Medium").alias("medium"),
+        band("Low").alias("low"), share(band("High"), many).alias("high_pct"))
+    median = exact_quantiles(counts, "risk_score", {"median_risk": 0.5}, ["start"], weight="n")
+    return basics.join(users, "start").join(median, "start").select(
+        "start", "messages", "users", "avg_risk", "max_risk", F.round("median_risk", 4).alias("median_risk"),
+        "high", "medium", "low", "high_pct")
+
+
+def kpi_stream(
+    scored: DataFrame, path: str, checkpoint: str, width: str = "1 day", delay: str | None = "1 day"
 ) -> StreamingQuery:
-    """Upsert risky messages of a stream into the queue kept below ``root``.
+    """Append exact KPIs of each window, once it is closed, below ``path``.
 
-    Each micro-batch writes one snapshot.  The items of a batch are dated by its newest
-    ``ts`` and flags of items that are not in it stay: a batch is only part of a run.
-    A batch that is delivered again finds its own items and changes no content but the date.
+    A window leaves the state as a whole, so its users and median are worked out by the batch operators
+    from the rows of the one micro-batch that closes it.  Each micro-batch has a folder of its own: one that
+    is delivered again replaces it.
     """
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Only the risky rows are kept, so that the texts are scored once per batch.
-        hot = batch.filter(F.col("risk_score") >= min_risk).select(
-            "msg_id", "user", "text", "risk_score", "risk_band", "top_risk_driver", "ts").persist()
-        fresh = hot.groupBy(T.TF.message_id(F.col("user"), F.col("text")).alias("id")).agg(
-            F.max_by(F.struct(
-                "user", "text", F.round("risk_score", 4).alias("risk_score"), "risk_band",
-                T.feature_label(F.col("top_risk_driver")).alias("top_driver")),
-                "msg_id").alias("m"),
-        ).select("id", "m.*")
-        state = store.read_snapshot(spark, root)
-        state = T.empty_queue(spark) if state is None else state
-        newest = hot.agg(F.max("ts").alias("ts")).first()["ts"]
-        if newest is not None:
-            store.write_snapshot(T.merge(state, fresh, F.lit(newest), mark_stale=False), root)
-        hot.unpersist()
+    def put(batch: DataFrame, batch_id: int) -> None:
+        closed = f"{path}/closed/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(closed)
+        closed_kpis(batch.sparkSession.read.schema(batch.schema).parquet(closed)).write.mode("overwrite").parquet(
+            f"{path}/kpis/batch={batch_id}")
 
     return (
-        scored.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        window_counts(scored, width, delay).writeStream.foreachBatch(put).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_kpis(spark: SparkSession, path: str) -> DataFrame:
+    """The KPI rows of all closed windows."""
+    return spark.read.parquet(f"{path}/kpis").drop("batch")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.format("parquet").outputMode("append").option("path", path)
