@@ -13,6 +13,7 @@ from tellsign.functions import triage as TF
 from tellsign.functions.scoring import feature_label
 from tellsign.functions.text import html_escape, strip
 from tellsign.operators.rank import by_risk
+from tellsign.session import scratch_dir
 
 NOTES = "array<struct<time:timestamp,text:string>>"
 ACTIVITY = "array<struct<time:timestamp,action:string,details:string>>"
@@ -25,6 +26,8 @@ COLUMNS = [
     "id", "user", "text", "risk_score", "risk_band", "top_driver", "status", "assignee",
     "notes", "activity", "present_in_latest_run", "created_at", "updated_at",
 ]
+#: Commands that one task puts in order.
+SEGMENT_ROWS = 100_000
 BASE = ["user", "text", "risk_score", "risk_band", "top_driver"]
 
 
@@ -160,38 +163,52 @@ def _normalised(commands: DataFrame) -> DataFrame:
         F.when(F.col("status").isNotNull(), strip(F.col("status"))).alias("status"),
         F.when(F.col("assignee").isNotNull(), html_escape(strip(F.col("assignee")))).alias("assignee"),
         F.when(note != "", note).alias("note"),
-        F.date_trunc("hour", "cmd_ts").alias("hour"),
     )
 
 
-def changes(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each valid command really changed, and the last value per item and hour.
+ORDER = ["cmd_ts", "cmd_id", "pos"]
 
-    A status or assignee counts as changed against the value before it.  That value is
-    looked for within the hour of the command, then carried over from the item's earlier
-    hours, then taken from the queue.  So an item with very many commands is split by hour
-    and never gathered as a whole.
+
+def _segmented(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """``rows`` with ``segment``, cut by item and order into ranges of about ``segment_rows``, as a written table.
+
+    Sampled bounds cut wherever the rows are dense, so the commands of one item, even of one time, are as many ranges as
+    they need.  The table is written because a second run could draw other bounds.
+    """
+    spark = rows.sparkSession
+    parts = max(1, -(-rows.count() // segment_rows))
+    cut = rows.repartitionByRange(parts, "item_id", *ORDER).withColumn("segment", F.spark_partition_id())
+    path = scratch_dir(spark, "segments")
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
+
+
+def changes(state: DataFrame, commands: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """What each valid command really changed, and the last values per item and segment.
+
+    A status or assignee counts as changed against the value before it.  The last value that is not null is
+    associative, so an item's commands are cut into segments (``_segmented``), each is summed up to its last
+    values, and the carry over the earlier segments is joined back.  A command takes the value before it
+    from its own segment, else the carry, else the queue.  No item is gathered as a whole.
     """
     known = state.select(
         F.col("id").alias("item_id"), F.col("status").alias("q_status"),
         F.coalesce("assignee", F.lit("")).alias("q_assignee"))
-    rows = _normalised(commands).join(known, "item_id")
+    rows = _segmented(_normalised(commands).join(known, "item_id"), segment_rows)
 
     def last_of(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), _order()))
 
-    hourly = rows.groupBy("item_id", "hour").agg(
-        last_of("status").alias("h_status"), last_of("assignee").alias("h_assignee"))
-    earlier_hours = Window.partitionBy("item_id").orderBy("hour").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = hourly.select(
-        "item_id", "hour",
-        F.last("h_status", True).over(earlier_hours).alias("c_status"),
-        F.last("h_assignee", True).over(earlier_hours).alias("c_assignee"))
-    same_hour = Window.partitionBy("item_id", "hour").orderBy("cmd_ts", "cmd_id", "pos").rowsBetween(
-        Window.unboundedPreceding, -1)
-    rows = rows.join(carried, ["item_id", "hour"]).withColumns({
-        f"old_{n}": F.coalesce(F.last(n, True).over(same_hour), F.col(f"c_{n}"), F.col(f"q_{n}"))
+    summed = rows.groupBy("item_id", "segment").agg(
+        last_of("status").alias("s_status"), last_of("assignee").alias("s_assignee"))
+    earlier = Window.partitionBy("item_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summed.select(
+        "item_id", "segment",
+        F.last("s_status", True).over(earlier).alias("c_status"),
+        F.last("s_assignee", True).over(earlier).alias("c_assignee"))
+    same_segment = Window.partitionBy("item_id", "segment").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(carried, ["item_id", "segment"]).withColumns({
+        f"old_{n}": F.coalesce(F.last(n, True).over(same_segment), F.col(f"c_{n}"), F.col(f"q_{n}"))
         for n in ("status", "assignee")
     })
 
@@ -212,7 +229,7 @@ def changes(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame
     made_rows = rows.select(
         "item_id", "cmd_ts", "cmd_id", "pos", "note", F.inline(made)
     )
-    return made_rows, hourly
+    return made_rows, summed
 
 
 def _latest(rows: DataFrame, n: int, entry: Column, name: str) -> DataFrame:
@@ -235,16 +252,15 @@ def apply_commands(
 
     ``changed`` is what ``changes`` gave for them, if it is stored already.
     """
-    made, hourly = changes(state, commands) if changed is None else changed
+    made, summed = changes(state, commands) if changed is None else changed
     activity = _latest(
         made, fixed.MAX_ACTIVITY,
         F.struct(F.col("cmd_ts").alias("time"), "action", "details"), "new_activity")
     notes = _latest(
         made.filter(F.col("action") == "note"), fixed.MAX_NOTES,
         F.struct(F.col("cmd_ts").alias("time"), F.col("note").alias("text")), "new_notes")
-    final = hourly.groupBy("item_id").agg(
-        F.max_by("h_status", F.when(F.col("h_status").isNotNull(), F.col("hour"))).alias("f_status"),
-        F.max_by("h_assignee", F.when(F.col("h_assignee").isNotNull(), F.col("hour"))).alias("f_assignee"))
+    final = summed.groupBy("item_id").agg(*[
+        F.max_by(f"s_{n}", F.when(F.col(f"s_{n}").isNotNull(), F.col("segment"))).alias(f"f_{n}") for n in ("status", "assignee")])
     updates = final.join(activity, "item_id", "left").join(notes.drop("new_notes_at"), "item_id", "left")
     joined = state.join(updates, F.col("id") == F.col("item_id"), "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tellsign.functions.triage import as_time
 from tellsign.operators import triage
-from tellsign.operators.clean import require_rows
+from tellsign.operators.clean import require_rows, valid_messages
 from tellsign.operators.kpi import kpi_snapshot
 from tellsign.plans.scoring import build_features, feature_columns, score_features
 from tellsign.session import scratch_dir, sized_shuffles
@@ -75,12 +75,12 @@ def full_run(
 ) -> DataFrame:
     """One run: score and store, bring the triage queue up to date, append the KPIs (once for a version).
 
-    Tables below ``root``: ``results/run=<n>``, ``queue`` (snapshots) and ``kpi_timeline``.
+    A batch without a valid message is refused before anything is written.  Tables below ``root``: ``results/run=<n>``, ``queue`` (snapshots) and ``kpi_timeline``.
     """
     spark = raw.sparkSession
     started = time.monotonic()
-    results = require_rows(
-        score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon, phrases))
+    require_rows(valid_messages(raw))
+    results = score_and_store(raw, f"{root}/results/run={run_version}", embeddings, weights, lexicon, phrases)
     state = store.read_snapshot(spark, f"{root}/queue")
     state = triage.empty_queue(spark) if state is None else state
     store.write_snapshot(triage.sync(state, results, now, top_n=None), f"{root}/queue")
@@ -92,25 +92,41 @@ def full_run(
     return results
 
 
+def _log_changes(spark: SparkSession, root: str) -> None:
+    """Append the audit entries of every snapshot that is written, then drop the kept changes.
+
+    Entries go in by id, so a job that died after a part of this loses and doubles none of them.  Changes whose snapshot
+    was never finished did not happen.
+    """
+    done = store.snapshot_versions(spark, f"{root}/queue")
+    for version in store.numbers(spark, f"{root}/queue_changes", "version"):
+        path = f"{root}/queue_changes/version={version}"
+        if version in done:
+            store.append_log(triage.audit_entries(spark.read.parquet(path)), f"{root}/audit_log", "id")
+        store.remove(spark, path)
+
+
 def update_queue(spark: SparkSession, root: str, commands: DataFrame) -> dict[str, DataFrame]:
     """Apply commands to the stored queue and write the next snapshot.
 
     Gives the new queue, the refused commands, the ids that were not found and the audit
-    entries, which are also appended to ``audit_log``: after the snapshot, and each id once.  The changes
-    are worked out once and written; queue and log read that table.
+    entries, which are also appended to ``audit_log``.  The changes are worked out once and kept under the version of the
+    snapshot they lead to until they are logged; what a job that died left there is logged first.
     """
+    _log_changes(spark, root)
     state = store.read_snapshot(spark, f"{root}/queue")
     if state is None:
         raise ValueError(f"no queue below {root}; run the scoring first")
     good, refused = triage.split_commands(commands)
     flat = triage.explode_bulk(good) if "item_ids" in good.columns else good
-    made, hourly = triage.changes(state, flat)
-    path = scratch_dir(spark, "changes")
-    made.write.parquet(path)
-    made = spark.read.schema(made.schema).parquet(path)
+    made, summed = triage.changes(state, flat)
+    version = store.next_version(spark, f"{root}/queue")
+    kept = f"{root}/queue_changes/version={version}"
+    made.write.mode("overwrite").parquet(kept)
     audit = triage.audit_entries(made)
-    store.write_snapshot(triage.apply_commands(state, flat, (made, hourly)), f"{root}/queue")
-    store.append_log(audit, f"{root}/audit_log", "id")
+    store.write_snapshot(
+        triage.apply_commands(state, flat, (spark.read.schema(made.schema).parquet(kept), summed)), f"{root}/queue", version)
+    _log_changes(spark, root)
     return {
         "queue": store.read_snapshot(spark, f"{root}/queue"), "refused": refused,
         "not_found": triage.not_found(state, flat), "audit": audit,

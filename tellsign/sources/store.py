@@ -49,11 +49,15 @@ def expire_snapshots(spark: SparkSession, root: str, keep: int = 5) -> list[int]
     return kept
 
 
-def write_snapshot(df: DataFrame, root: str) -> int:
+def next_version(spark: SparkSession, root: str) -> int:
+    return max(numbers(spark, root, "version"), default=0) + 1
+
+
+def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
     """Write the next version.  Older ones stay as they are, so readers are not disturbed
     and a failed write leaves the last version valid.  If two writers take the same version, the
     later one fails instead of replacing what the other wrote."""
-    version = max(numbers(df.sparkSession, root, "version"), default=0) + 1
+    version = next_version(df.sparkSession, root) if version is None else version
     df.write.mode("errorifexists").parquet(f"{root}/version={version}")
     return version
 

@@ -37,7 +37,32 @@ def test_runs_and_commands(spark, folder, messages):
     log = store.load_log(spark, f"{folder}/audit_log", "id", 500).collect()
     assert [r["action"] for r in log] == ["triage_status", "triage_note"]
     with pytest.raises(ValueError, match="empty"):
-        full_run(messages((" ", "x")), folder, 3, T0)
+        full_run(messages((" ", "x")), folder, 2, T0)
+    assert spark.read.parquet(f"{folder}/results/run=2").count() == 2
+
+
+def test_audit_rows_survive_a_crash(spark, folder, messages, monkeypatch):
+    """A job that dies before the snapshot leaves no entries, one that dies after it leaves them for the next."""
+    full_run(messages(("alice", HOT), ("bob", "hello")), folder, 1, T0)
+    item = store.read_snapshot(spark, f"{folder}/queue").first()["id"]
+
+    def command(i, status):
+        return spark.createDataFrame([(i, item, T0, status, None, None)], "cmd_id long, item_id string, cmd_ts timestamp, "
+                                     "status string, assignee string, note string")
+
+    def dies(*_, **__):
+        raise RuntimeError("executor lost")
+
+    for name, version in (("write_snapshot", 1), ("append_log", 2)):
+        with monkeypatch.context() as m:
+            m.setattr(store, name, dies)
+            with pytest.raises(RuntimeError):
+                update_queue(spark, folder, command(version, "mitigated"))
+        assert store.snapshot_versions(spark, f"{folder}/queue")[-1] == version
+    update_queue(spark, folder, command(3, "new"))
+    log = store.load_log(spark, f"{folder}/audit_log", "id", 500).collect()
+    assert [r["details"].split(": ")[1] for r in log] == ["new -> mitigated", "mitigated -> new"]
+    assert store.numbers(spark, f"{folder}/queue_changes", "version") == []
 
 
 def test_upsert_items(spark, fake_results):
