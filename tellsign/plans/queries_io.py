@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellsign import fixed
 from tellsign.operators import clean as C
 from tellsign.operators import triage as T
 from tellsign.operators.filters import ResultFilter
@@ -12,6 +13,7 @@ from tellsign.plans.catalog import query, results
 from tellsign.plans.jobs import score_and_store
 from tellsign.plans.queries_signals import r6, r6_sql
 from tellsign.plans.queries_triage import NOW, at
+from tellsign.plans.scoring import FEATURE_COLUMNS
 from tellsign.session import scratch_dir
 from tellsign.sources import exports as X
 from tellsign.sources import files as FI
@@ -41,16 +43,14 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("encoding_fallback", O.q(O.PLANTED, """
-    SELECT "user", CASE WHEN "user" < 'src5' THEN 'résumé ' || msg_id ELSE text END AS text
-    FROM planted WHERE text <> '' """))
+    SELECT "user", text FROM planted WHERE text <> '' """))
 def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in UTF-8 and others in Latin-1 side by side in one folder."""
+    """All messages in one folder, in Latin-1 files where that has all letters of some sources, else in UTF-8."""
     path = scratch_dir(spark, "encodings")
     rows = planted_messages(spark, sf_dir).filter(F.col("text") != "")
-    FI.write_messages(rows.filter(F.col("user") >= "src5"), f"{path}/utf8")
-    latin = rows.filter(F.col("user") < "src5").select(
-        "user", F.concat(F.lit("résumé "), F.col("msg_id")).alias("text"))
-    (latin.write.option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{path}/latin1"))
+    fits = F.coalesce((F.col("user") < "src5") & F.col("text").rlike(r"(?s)^[\x{0}-\x{FF}]*$"), F.lit(False))
+    FI.write_messages(rows.filter(fits), f"{path}/latin1", "ISO-8859-1")
+    FI.write_messages(rows.filter(~fits), f"{path}/utf8")
     return FI.read_messages(spark, f"{path}/*", null_tokens=False)
 
 
@@ -58,13 +58,24 @@ _EXPORTED = ["msg_id", "user", "text", "risk_score", "risk_band"]
 _EXPORT_SCHEMA = "msg_id long, user string, text string, risk_score double, risk_band string"
 
 
+_DOUBLES = [c for c in FEATURE_COLUMNS if c not in ("msg_id", "user", "text", "text_length")] + [
+    f"contrib_{f}" for f in fixed.FEATURES] + ["risk_raw", "risk_score"]
+_WHOLE_SCHEMA = "msg_id long, user string, text string, text_length int, " + ", ".join(
+    f"{c} double" for c in _DOUBLES) + ", top_risk_driver string, risk_band string"
+_META = "title string, generated string, records long, weights string"
+
+
 @query("csv_export", O.q(O.RESULTS, f"""
-    SELECT msg_id, "user", text, {r6_sql('risk_score')}, risk_band FROM res"""))
+    SELECT msg_id, "user", text, text_length, {r6_sql(*_DOUBLES)}, top_risk_driver, risk_band, 'Export' AS title,
+      '2024-01-30T20:00:00Z' AS generated, count(*) OVER () AS records, 'default' AS weights FROM res"""))
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of all results, with the metadata beside them."""
     path = scratch_dir(spark, "export")
-    X.export_results(results(spark, sf_dir).select(*_EXPORTED), path, at(NOW), "default")
-    back = X.read_export(spark, f"{path}/data", _EXPORT_SCHEMA)
-    return back.select("msg_id", "user", "text", *r6("risk_score"), "risk_band")
+    names = [c.split()[0] for c in _WHOLE_SCHEMA.split(", ")]
+    X.export_results(results(spark, sf_dir).select(*names), path, at(NOW), "default")
+    meta = spark.read.schema(_META).json(f"{path}/meta").select(F.struct("*").alias("m")).scalar()
+    back = X.read_export(spark, f"{path}/data", _WHOLE_SCHEMA).withColumn("m", meta)
+    return back.select("msg_id", "user", "text", "text_length", *r6(*_DOUBLES), "top_risk_driver", "risk_band", "m.*")
 
 
 @query("csv_export_users", O.q(O.RESULTS, """

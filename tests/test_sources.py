@@ -59,6 +59,57 @@ def test_quotes_breaks_rejects_and_null_tokens(spark, folder):
     assert (counts["kept"], counts["incomplete"], counts["rejected"]) == (6, 0, 2)
 
 
+def whole_file(spark, path):
+    """Records as a reader sees them that takes each file as a whole."""
+    return spark.read.schema(FI.RECORD).options(**FI.OPTIONS).option("multiLine", True).csv(path)
+
+
+@pytest.mark.parametrize("block", ["64", "1000", "100m"])
+def test_split_files_equal_whole_files(spark, folder, block):
+    """Blocks of 64 bytes cut records, quotes and breaks anywhere; the records are those of whole files."""
+    import random
+
+    rng = random.Random(5)
+    fields = ["x", "", '"a;b"', '"two\nlines"', '"""q"""', '"\n\n"', '"say ""hi""\nthen ""go"""', '5" disk', '"ab"c', '"a"b"', "é漢",
+              '"x\n""', '";\n;"', '"long ' + "word " * 40 + '\nend"', '"' + "\n" * 30 + '"']
+    fields.remove('"x\n""')  # never closed: tested below
+    for name in ("a", "b"):
+        rows = [f"u{i};{rng.choice(fields)}" + rng.choice(["", "", "", ";z"]) for i in range(300)]
+        put(folder, f"{name}.txt", "\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        tasks = FI._lines(spark, folder).rdd.getNumPartitions()
+        got = sorted(map(str, FI.read_lines(spark, folder).drop("file").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(map(str, whole_file(spark, folder).collect()))
+    assert tasks > 100 if block == "64" else tasks >= 1
+
+
+def test_an_open_quote_ends_with_its_file(spark, folder):
+    put(folder, "a.txt", 'a;x\nb;"open\nc;y\n')
+    put(folder, "b.txt", "d;z\n")
+    got = {(r.user, r.text) for r in FI.read_lines(spark, folder).collect()}
+    assert {("a", "x"), ("d", "z")} < got and len(got) == 3
+
+
+def test_long_records_without_broadcast(spark, folder, monkeypatch):
+    monkeypatch.setattr(FI, "MOST_BROADCAST", -1)
+    put(folder, "a.txt", 'a;"x\r\ny"\r\nb;plain\r\n')
+    put(folder, "b.txt", 'c;"é\nà"\n', "latin-1")
+    assert pairs(FI.read_messages(spark, folder)) == [("a", "x\r\ny"), ("b", "plain"), ("c", "é\nà")]
+
+
+def test_texts_are_scanned_once_and_not_shuffled(spark, folder):
+    put(folder, "a.txt", 'a;"x\ny"\nb;plain\n')
+    plan = FI.read_lines(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    single = plan[:plan.index("Aggregate")]
+    assert "Sort" not in single and plan.count("strategy=broadcast") == 4
+
+
 def test_file_round_trip(spark, folder, messages):
     rows = [("a", 'x; "y"\nz'), ("b", " spaced "), ("c", "back\\slash")]
     FI.write_messages(messages(*rows), f"{folder}/out")
