@@ -1,12 +1,12 @@
 """How the sources of a language differ in their words, with strings put in late.
 
-The first pass over the texts counts documents by a 64-bit digest of language and term.  The digests in documents enough set
-the bits of a filter of bounded size.  The second pass counts terms that pass the filter by group (language and
-source), each batch exactly by string: one row with the term's digest, the term, its count and its documents.  From there on
-only digests move: counts by group, documents by language, shares and divergences are shuffles of fixed-width rows.  Strings
-are read once more on the side, as the least and the greatest term of each digest (pre-aggregated by task).  Where these
-differ, several terms share the digest, and its rows are split: their key becomes digest and term.  At the end terms are
-joined back for the rows that are kept.  What the filter lets through in vain is dropped by the exact counts.
+One pass over the texts counts terms exactly by string, some slices of a task at a time, and writes one row for each
+language and term: a 64-bit digest, the term, its documents, and its count in each source.  From there on only digests move:
+one shuffle by language and digest brings all counts of a term together, whose shares and divergences are narrow rows of
+fixed width.  Strings are read once more on the side, as the least and the greatest term of each digest (pre-aggregated by
+task).  Where these differ, several terms share the digest, and its rows are split: their key becomes digest and term.
+At the end terms are joined back for the rows that are kept.  Sources go by number too; that two of a language share
+one is checked, and an error.
 
 Pairs of sources are summed up in blocks of terms.  A block holds a bounded number of (term, source) cells, so a language is many
 tasks and no pairs are written but those of the result, once a block.  The ``RANKS`` best terms of a group are found in
@@ -39,7 +39,7 @@ RANKS = 200
 SCALE = 1_000_000_000
 DIGEST_BITS = 64
 CELLS = 1 << 18
-FILTER_BITS = 24
+FLUSH_ROWS = 1 << 22
 MOST_SHARED = 1 << 20
 SLICE = 8 << 20
 TERM_KEY = ["lang", "digest", "split"]
@@ -67,75 +67,67 @@ def digests(terms: pa.Array, bits: int) -> np.ndarray:
     return (np.concatenate(out or [np.zeros(0, np.uint64)]) >> np.uint64(64 - bits)).view(np.int64)
 
 
-class _Slice:
-    """The terms of a slice as rows (document, term, count), and the documents by the columns ahead of the text."""
-
-    def __init__(self, batch: pa.RecordBatch, first: int, end: int, data: np.ndarray, offsets: np.ndarray, bits: int):
-        terms, counts = _terms(data, offsets)
-        self.terms, self.many = terms.dictionary, max(len(terms.dictionary), 1)
-        self.digests = digests(self.terms, bits)
-        own, self.n = np.unique(np.repeat(np.arange(len(counts)), counts) * self.many + terms.indices.to_numpy(), return_counts=True)
-        self.row, self.code = own // self.many, own % self.many
-        self.columns = [batch.column(i).slice(first, end - first) for i in range(batch.num_columns - 1)]
-
-    def by(self, columns: list[pa.Array]) -> tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]:
-        """For each (group, term): the group's values, the term's number, its documents, its count."""
-        codes = [c.dictionary_encode() for c in columns]
-        group = np.zeros(len(columns[0]), dtype=np.int64)
-        for c in codes:
-            group = group * len(c.dictionary) + c.indices.to_numpy()
-        key, at, docs = np.unique(group[self.row] * self.many + self.code, return_inverse=True, return_counts=True)
-        n = np.zeros(len(key), dtype=np.int64)
-        np.add.at(n, at, self.n)
-        names, group = [], key // self.many
-        for c in reversed(codes):
-            names.insert(0, c.dictionary.take(pa.array(group % len(c.dictionary))))
-            group = group // len(c.dictionary)
-        return names, key % self.many, docs.astype(np.int64), n
-
-
-def _parts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[_Slice]:
-    for batch in batches:
-        for first, end, data, offsets in common.slices(batch.column(batch.num_columns - 1), SLICE):
-            part = _Slice(batch, first, end, data, offsets, bits)
-            if len(part.row):
-                yield part
-
-
-def _keys(lang: pa.Array, term: np.ndarray) -> np.ndarray:
-    """One number for language and digest."""
-    codes = lang.dictionary_encode()
-    own = digests(pa.array([f"{x}." for x in codes.dictionary.to_pylist()], pa.string()), 64).view(np.uint64)[codes.indices.to_numpy()]
-    with np.errstate(over="ignore"):
-        return common.mix(term.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + own)
+class _Counts:
+    """Counts of terms over some slices: rows (language, term, source) with documents and occurrences."""
 
+    def __init__(self, bits: int):
+        self.bits, self.langs = bits, {}
+        self.clear()
 
-def _documents(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches, bits):
-        (lang,), code, docs, _ = part.by(part.columns[:1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_keys(lang, part.digests[code]).view(np.int64)), pa.array(docs)], names=["key", "docs"])
+    def clear(self) -> None:
+        self.terms: list[pa.Array] = []
+        self.rows: list[np.ndarray] = []
+        self.held = 0
 
-
-def _counted(batches: Iterator[pa.RecordBatch], bits: int, passing: bytes) -> Iterator[pa.RecordBatch]:
-    filter_ = np.frombuffer(passing, dtype=np.uint8)
-    for part in _parts(batches, bits):
-        (lang, source), code, docs, n = part.by(part.columns)
-        slot = _keys(lang, part.digests[code]) >> np.uint64(64 - FILTER_BITS)
-        on = pa.array(np.flatnonzero(filter_[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1))
-        yield pa.RecordBatch.from_arrays(
-            [lang.take(on), source.take(on), pa.array(part.digests[code]).take(on), part.terms.take(pa.array(code).take(on)),
-             pa.array(n).take(on), pa.array(docs).take(on)], names=["lang", "source", "digest", "term", "n", "docs"])
-
-
-def _filter(keys: DataFrame) -> bytes:
-    """The bits of all keys; 2 MB, however many there are."""
-    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    out = bytearray((1 << FILTER_BITS) // 8)
-    for row in keys.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(
-            F.bitmap_construct_agg(slot % 32768).alias("bits")).toLocalIterator():
-        out[row["bucket"] * 4096:(row["bucket"] + 1) * 4096] = row["bits"]
-    return bytes(out)
+    def add(self, lang: pa.Array, source: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        terms, counts = _terms(data, offsets)
+        if not len(terms):
+            return
+        many = len(terms.dictionary)
+        own, n = np.unique(np.repeat(np.arange(len(counts)), counts) * many + terms.indices.to_numpy(), return_counts=True)
+        row, code = own // many, own % many
+        lang = lang.dictionary_encode()
+        numbers = np.array([self.langs.setdefault(x, len(self.langs)) for x in lang.dictionary.to_pylist()])
+        sources, at = np.unique(source, return_inverse=True)
+        key = (numbers[lang.indices.to_numpy()][row] * len(sources) + at[row]) * many + code
+        key, at, docs = np.unique(key, return_inverse=True, return_counts=True)
+        occurrences = np.zeros(len(key), dtype=np.int64)
+        np.add.at(occurrences, at, n)
+        group = key // many
+        self.rows.append(np.stack([group // len(sources), key % many + sum(map(len, self.terms)), sources[group % len(sources)],
+                                   docs, occurrences]))
+        self.terms.append(terms.dictionary)
+        self.held += len(key)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            all_terms = pa.concat_arrays(self.terms).dictionary_encode()
+            lang, code, source, docs, n = np.concatenate(self.rows, axis=1)
+            code = all_terms.indices.to_numpy()[code]
+            order = np.lexsort((source, code, lang))
+            lang, code, source, docs, n = (x[order] for x in (lang, code, source, docs, n))
+            new_term = np.append(True, (lang[1:] != lang[:-1]) | (code[1:] != code[:-1]))
+            new_cell = np.flatnonzero(new_term | np.append(True, source[1:] != source[:-1]))
+            heads = np.flatnonzero(new_term)
+            lists = pa.array(np.append(np.searchsorted(new_cell, heads), len(new_cell)).astype(np.int32))
+            names, codes = pa.array(list(self.langs), pa.string()), pa.array(code[heads])
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(lang[heads])), pa.array(digests(all_terms.dictionary, self.bits)).take(codes),
+                 all_terms.dictionary.take(codes), pa.array(np.add.reduceat(docs, heads)),
+                 pa.ListArray.from_arrays(lists, pa.array(source[new_cell])),
+                 pa.ListArray.from_arrays(lists, pa.array(np.add.reduceat(n, new_cell)))],
+                names=["lang", "digest", "term", "docs", "sids", "ns"])
+        self.clear()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    counts = _Counts(bits)
+    for batch in batches:
+        for first, end, data, offsets in common.slices(batch.column(2), SLICE):
+            counts.add(batch.column(0).slice(first, end - first), batch.column(1).to_numpy()[first:end], data, offsets)
+            if counts.held >= FLUSH_ROWS:
+                yield from counts.flush()
+    yield from counts.flush()
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -143,8 +135,9 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     def wide(x: Column) -> Column:
         return x.cast("decimal(20,0)")
 
-    floor = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1), wide(total + kept))
-    return 1 + floor
+    exact = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * wide(count + 1), wide(total + kept))
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), total + kept)
+    return 1 + F.when(count < 2**63 // SCALE - 1, small).otherwise(exact)
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -173,37 +166,40 @@ class Audit:
     """Tables of one audit: ``words`` (digest to strings), ``own`` (kept terms by group), ``groups`` and ``langs``."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST_DOCUMENTS, bits: int = DIGEST_BITS):
-        rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-        often = rows.select("lang", "text").mapInArrow(lambda it: _documents(it, bits), "key long, docs long").groupBy(
-            "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-        passing = _filter(often)
-        parts = stored(rows.mapInArrow(
-            lambda it: _counted(it, bits, passing),
-            "lang string, source string, digest long, term string, n long, docs long"), "terms")
+        rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+        rows = rows.withColumn("sid", F.xxhash64("source"))
+        parts = stored(rows.select("lang", "sid", "text").mapInArrow(
+            lambda it: _counted(it, bits),
+            "lang string, digest long, term string, docs long, sids array<long>, ns array<long>"), "terms")
         self.words = stored(parts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "words")
         shared = self.words.where("low <> high").select("digest", F.lit(True).alias("shared"))
         many = shared.count()
         if many:
             parts = parts.join(F.broadcast(shared) if many <= MOST_SHARED else shared.hint("merge"), "digest", "left")
         split = F.when(F.col("shared"), F.col("term")) if many else F.lit(None).cast("string")
-        counts = parts.withColumn("split", split).groupBy("lang", "source", "digest", "split").agg(
-            F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # one shuffle brings all rows of a term together; a task has written it once, whatever its sources
+        cells = parts.withColumn("split", split).select("lang", "digest", "split", "docs", "sids", "ns").repartition(
+            "lang", "digest").select("lang", "digest", "split", "docs", F.posexplode(F.arrays_zip("sids", "ns")).alias("at", "cell"))
+        counts = cells.groupBy(*TERM_KEY, F.col("cell.sids").alias("sid")).agg(
+            F.sum("cell.ns").alias("n"), F.sum(F.when(F.col("at") == 0, F.col("docs"))).alias("docs"))
         term = Window.partitionBy(*TERM_KEY)
         self.own = stored(counts.withColumn("in_docs", F.sum("docs").over(term)).where(F.col("in_docs") >= least).select(
-            *TERM_KEY, "source", "n", F.sum("n").over(term).alias("lang_n"),
-            (F.row_number().over(term.orderBy("source")) == 1).alias("head")), "kept")
+            *TERM_KEY, "sid", "n", F.sum("n").over(term).alias("lang_n"),
+            (F.row_number().over(term.orderBy("sid")) == 1).alias("head")), "kept")
         self.langs = self.own.groupBy("lang").agg(F.count_if("head").alias("kept"), F.sum("n").alias("lang_total"))
-        totals = self.own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        known = rows.select("lang", "source").distinct()
+        totals = self.own.groupBy("lang", "sid").agg(F.sum("n").alias("total"))
+        known = rows.groupBy("lang", "sid").agg(F.min("source").alias("source"), F.max("source").alias("other")).select(
+            "lang", "sid", F.when(F.col("source") == F.col("other"), F.col("source")).otherwise(
+                F.raise_error(F.lit("two sources share a number"))).alias("source"))
         zero = F.lit(0).cast("long")
-        self.groups = stored(known.join(totals, ["lang", "source"], "left").join(self.langs, "lang", "left").select(
-            "lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("kept", zero).alias("kept"),
+        self.groups = stored(known.join(totals, ["lang", "sid"], "left").join(self.langs, "lang", "left").select(
+            "lang", "sid", "source", F.coalesce("total", zero).alias("total"), F.coalesce("kept", zero).alias("kept"),
             F.coalesce("lang_total", zero).alias("lang_total"),
             F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("sources")), "groups")
 
     def shares(self) -> DataFrame:
         """Kept terms by group, with their shares in the group (``p``) and in the language (``q``)."""
-        return self.own.join(self.groups, ["lang", "source"]).withColumn(
+        return self.own.join(self.groups, ["lang", "sid"]).withColumn(
             "p", _share(F.col("n"), F.col("total"), F.col("kept"))).withColumn(
             "q", _share(F.col("lang_n"), F.col("lang_total"), F.col("kept")))
 
@@ -226,7 +222,8 @@ class Audit:
             "none", F.when(F.col("kept") > 0, _share(F.lit(0).cast("long"), F.col("total"), F.greatest("kept", F.lit(1)))).otherwise(1))
         sides = blocks.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "none")
         rows = self.shares().withColumn("block", F.pmod(F.xxhash64("digest", "split"), F.greatest(
-            F.ceil(F.col("kept") * F.col("sources") / cells), F.lit(1)))).select("lang", "block", "digest", "split", "source", "p")
+            F.ceil(F.col("kept") * F.col("sources") / cells), F.lit(1)))).select(
+            "lang", "block", "digest", "split", F.col("source").alias("source"), "p")
         sums = rows.groupBy("lang", "block").cogroup(sides.groupBy("lang", "block")).applyInPandas(
             _pair_sums, "lang string, source string, item string, value long")
         return _ranked(sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))

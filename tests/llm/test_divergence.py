@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from llm_cases import LOWER, SCHEMA, odd_rows, prose
 from tellsign.llm import divergence
@@ -87,3 +88,25 @@ def test_odd_rows(odd, clashing, documents, spark):
     assert found(divergence.Audit(documents([]))) == []
     only = spark.createDataFrame([(1, None, None, None, None)] * 3, SCHEMA)
     assert found(divergence.Audit(only)) == []
+
+
+def test_flushes_of_a_task_add_up(monkeypatch):
+    """Many slices and flushes: the same counts as a plain loop, strings and all."""
+    monkeypatch.setattr(divergence, "SLICE", 300)
+    monkeypatch.setattr(divergence, "FLUSH_ROWS", 200)
+    rows = [(r[2] or "", hash(r[3]) % 7, r[1]) for r in corpus(200)]
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 60]), (pa.string(), pa.int64(), pa.string()))],
+                               names=["lang", "sid", "text"]) for i in range(0, len(rows), 60)]
+    n, docs, flushes = Counter(), Counter(), 0
+    for out in divergence._counted(iter(batches), 64):
+        flushes += 1
+        for r in out.to_pylist():
+            docs[r["lang"], r["term"]] += r["docs"]
+            for s, k in zip(r["sids"], r["ns"]):
+                n[r["lang"], s, r["term"]] += k
+    want_n, want_docs = Counter(), Counter()
+    for lang, s, text in rows:
+        terms = TERM.findall(text.translate(LOWER))
+        want_n.update((lang, s, t) for t in terms)
+        want_docs.update((lang, t) for t in set(terms))
+    assert flushes > 5 and n == want_n and docs == want_docs
