@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tellsign").getOrCreate()
     weights = read_weights(spark, args.weights) if args.weights else None
     raw = clean.with_message_id(read_messages(spark, args.dataset))
-    results = score_and_store(raw, args.out or scratch_dir(spark, "run"), weights=weights)
+    results = score_and_store(raw, args.out or scratch_dir(spark, "run"), weights=weights, unique=True)
     top = rank.console_report(clean.require_rows(results), args.top)
     top.show(max(1, args.top), truncate=False)
 

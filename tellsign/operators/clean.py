@@ -5,7 +5,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellsign.fixed import NULL_TOKENS
+from tellsign.functions import bitmap
 from tellsign.functions import text as T
+from tellsign.session import estimated_bytes, written
+
+#: Ids that are broadcast; more are joined by key.
+MOST_BROADCAST = 1_000_000
 
 
 def drop_null_tokens(df: DataFrame, tokens=tuple(NULL_TOKENS)) -> DataFrame:
@@ -26,47 +31,73 @@ def valid_messages(df: DataFrame) -> DataFrame:
     return non_empty(stripped(df))
 
 
-def distinct_keys(valid: DataFrame) -> DataFrame:
+def message_keys(valid: DataFrame) -> DataFrame:
+    """``user, digest, msg_id, text_length`` of valid messages as a written table: all that duplicates and bounds need."""
+    keys = valid.select("user", F.unhex(T.fingerprint(F.col("text"))).alias("digest"), "msg_id", F.length("text").alias("text_length"))
+    return written(keys, "message-keys")
+
+
+def length_bounds(rows: DataFrame) -> DataFrame:
+    """Shortest and longest text, one row.  Duplicates are as long as what they repeat, so they may stay in."""
+    return rows.agg(F.min("text_length").alias("shortest"), F.max("text_length").alias("longest"))
+
+
+def distinct_keys(keys: DataFrame) -> DataFrame:
     """One row per distinct (user, text): the smallest ``msg_id`` and the text length.
 
     Works on a digest, so a hot text costs one small row per map task and no text is moved.
     """
-    return (
-        valid.select(
-            "user", T.fingerprint(F.col("text")).alias("digest"), "msg_id",
-            F.length("text").alias("text_length"),
-        )
-        .groupBy("user", "digest")
-        .agg(F.min("msg_id").alias("msg_id"), F.max("text_length").alias("text_length"))
-        .select("msg_id", "text_length")
-    )
+    return keys.groupBy("user", "digest").agg(
+        F.min("msg_id").alias("msg_id"), F.max("text_length").alias("text_length")).select("msg_id", "text_length")
 
 
-def length_bounds(keys: DataFrame) -> DataFrame:
-    """Shortest and longest text of a batch, one row.
+def repeated(keys: DataFrame) -> DataFrame:
+    """``msg_id`` of all messages but the first of each (user, text)."""
+    groups = keys.groupBy("user", "digest").agg(F.min("msg_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.join(groups, ["user", "digest"]).where(F.col("msg_id") != F.col("first")).select("msg_id")
 
-    Reads ``distinct_keys`` with both its columns: the plan below is then the same as in
-    ``clean_messages`` and Spark runs that shuffle once for both.
+
+def without(messages: DataFrame, removed: DataFrame) -> DataFrame:
+    """Messages whose ``msg_id`` is not in the (written) table ``removed``, with the texts left where they are.
+
+    A small table is broadcast, after its rows are counted.  Beyond that a bitmap of its ids keeps back whatever is surely
+    not in it, and only the rest is moved and joined.
     """
-    length = F.when(F.col("msg_id").isNotNull(), F.col("text_length"))
-    return keys.agg(F.min(length).alias("shortest"), F.max(length).alias("longest"))
+    n = removed.count()
+    if n == 0:
+        return messages
+    if n <= MOST_BROADCAST:
+        return messages.join(F.broadcast(removed), "msg_id", "left_anti")
+    maybe = bitmap.may_hold(bitmap.build(removed.select(F.xxhash64("msg_id").alias("key"))), F.xxhash64("msg_id"))
+    return messages.where(~maybe).unionByName(messages.where(maybe).join(removed.hint("merge"), "msg_id", "left_anti"))
+
+
+def spread(messages: DataFrame) -> DataFrame:
+    """Rows dealt to all cores by ``msg_id`` if the input is smaller than a split for each of them, else as they are."""
+    spark = messages.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, estimated_bytes(messages)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    small = size is not None and size < cores * spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
+    return messages.repartition(cores, "msg_id") if small else messages
 
 
 def clean_messages(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Strip, drop empty rows and keep the first row of each (user, text).
 
-    Needs a unique ``msg_id``.  The text moves once, to the partition of its ``msg_id``:
-    that spreads the text work evenly, whatever the size of the input's row groups, and
-    both this join and later ones on the key find it there without another shuffle.  The
-    keys are narrow and evenly spread, so a hash table of them spares a sort of the texts.
+    Needs a unique ``msg_id``.  Duplicates are found on narrow rows (``keys``: what ``message_keys`` gave) and dropped by
+    an anti join on the ids to remove; no shuffle carries a text, unless the input is too small for all cores.
     """
     valid = valid_messages(df)
-    keys = distinct_keys(valid) if keys is None else keys
-    return valid.repartition("msg_id").join(keys.hint("shuffle_hash"), "msg_id")
+    keys = message_keys(valid) if keys is None else keys
+    kept = without(valid, written(repeated(keys), "repeated-ids"))
+    return spread(kept).withColumn("text_length", F.length("text"))
 
 
 def with_message_id(df: DataFrame) -> DataFrame:
-    """Rows without a key of their own: deduplicate, then use the content hash as key."""
+    """Rows without a key of their own: deduplicate, then use the content hash as key.
+
+    What comes out is clean and distinct already (``unique`` in ``build_features``).
+    """
     from tellsign.functions.triage import message_id
 
     unique = valid_messages(df).dropDuplicates(["user", "text"])

@@ -17,20 +17,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellsign.functions import bitmap
 from tellsign.functions import text as T
 from tellsign.functions.signals import KINDS
 
-BITMAP_BITS = 1 << 21
 MAX_FAMILIES = 200
-_BUCKET_BITS = 32768
 WORD, WORD_AND_GAP = f"{T.WORD}++", f"{T.WORD}++([^\\p{{L}}\\p{{N}}_]*+)"
 PHRASE = f"(?U)^{T.WORD}+( {T.WORD}+)*$"
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(BITMAP_BITS)).cast("long")
-
-
 def _first(word: Column) -> Column:
     """Key of a word that starts a phrase; the blank parts it from the phrases themselves."""
     return F.xxhash64(F.concat(word, F.lit(" ")))
@@ -55,29 +50,15 @@ def refused(phrases: DataFrame) -> DataFrame:
 
 
 def _bitmap(runs: DataFrame) -> bytes:
-    """One bit for each run and each first word; as large for a hundred phrases as for a billion."""
-    keys = runs.select(F.explode(F.array(F.xxhash64("run"), _first(F.substring_index("run", " ", 1)))).alias("key"))
-    slot = _slot(F.col("key"))
-    parts = keys.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(
-        F.bitmap_construct_agg(slot % _BUCKET_BITS).alias("bits")).collect()
-    out = bytearray(BITMAP_BITS // 8)
-    for part in parts:
-        at = part["bucket"] * _BUCKET_BITS // 8
-        out[at:at + _BUCKET_BITS // 8] = part["bits"]
-    return bytes(out)
-
-
-def _may_hold(bitmap: bytes, key: Column) -> Column:
-    slot = _slot(key)
-    byte = F.substring(F.lit(bitmap), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))
-    return F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), (slot % 8).cast("int")) == 1
+    """One bit for each run and each first word."""
+    return bitmap.build(runs.select(F.explode(F.array(F.xxhash64("run"), _first(F.substring_index("run", " ", 1)))).alias("key")))
 
 
 def spans(messages: DataFrame, phrases: DataFrame) -> DataFrame:
     """``msg_id, family, kind, ord, phrase, start, size``: every place of every phrase, in words; overlaps too."""
     known = usable(phrases)
     lengths = sorted(r[0] for r in known.select(F.size(F.split("run", " "))).distinct().collect())
-    bitmap = _bitmap(known.select("run").distinct())
+    bits = _bitmap(known.select("run").distinct())
     words, gaps = F.col("words"), F.col("gaps")
 
     def run_at(start: Column, size: int) -> Column:
@@ -90,7 +71,7 @@ def spans(messages: DataFrame, phrases: DataFrame) -> DataFrame:
 
     def runs_from(start: Column) -> Column:
         return F.filter(F.array(*[run_at(start, n) for n in lengths]),
-                        lambda r: (r["start"] + r["size"] <= F.size(words)) & r["white"] & _may_hold(bitmap, F.xxhash64(r["run"])))
+                        lambda r: (r["start"] + r["size"] <= F.size(words)) & r["white"] & bitmap.may_hold(bits, F.xxhash64(r["run"])))
 
     low, fold = T.lowered(F.col("text")), T.folded(F.col("text"))
     forms = messages.select("msg_id", low.alias("low"), fold.alias("fold")).select("msg_id", F.inline(
@@ -101,7 +82,7 @@ def spans(messages: DataFrame, phrases: DataFrame) -> DataFrame:
                        F.regexp_extract_all("form", F.lit(WORD_AND_GAP), F.lit(1)).alias("gaps"))
     if not lengths:
         cut = cut.limit(0)
-    starts = F.array_compact(F.transform(words, lambda w, i: F.when(_may_hold(bitmap, _first(w)), i)))
+    starts = F.array_compact(F.transform(words, lambda w, i: F.when(bitmap.may_hold(bits, _first(w)), i)))
     found = cut.select("msg_id", "only", F.inline(F.flatten(F.transform(starts, runs_from)))) if lengths else cut.selectExpr(
         "msg_id", "only", "0 AS start", "0 AS size", "'' AS run", "true AS blanks")
     return found.join(known, "run").where(

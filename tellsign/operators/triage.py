@@ -13,7 +13,7 @@ from tellsign.functions import triage as TF
 from tellsign.functions.scoring import feature_label
 from tellsign.functions.text import html_escape, strip
 from tellsign.operators.rank import by_risk
-from tellsign.session import scratch_dir
+from tellsign.session import written
 
 NOTES = "array<struct<time:timestamp,text:string>>"
 ACTIVITY = "array<struct<time:timestamp,action:string,details:string>>"
@@ -175,12 +175,8 @@ def _segmented(rows: DataFrame, segment_rows: int) -> DataFrame:
     Sampled bounds cut wherever the rows are dense, so the commands of one item, even of one time, are as many ranges as
     they need.  The table is written because a second run could draw other bounds.
     """
-    spark = rows.sparkSession
     parts = max(1, -(-rows.count() // segment_rows))
-    cut = rows.repartitionByRange(parts, "item_id", *ORDER).withColumn("segment", F.spark_partition_id())
-    path = scratch_dir(spark, "segments")
-    cut.write.parquet(path)
-    return spark.read.schema(cut.schema).parquet(path)
+    return written(rows.repartitionByRange(parts, "item_id", *ORDER).withColumn("segment", F.spark_partition_id()), "segments")
 
 
 def changes(state: DataFrame, commands: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -26,13 +26,14 @@ def score_and_store(
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
     phrases: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Score a batch and write it; the stored table is what all later questions read.
 
     Asking several questions of the unstored plan would repeat the text work for each, and
     a filter on the score, pushed below the projections, would even do it twice.
     """
-    scored = score_features(build_features(raw, embeddings, lexicon, phrases=phrases), weights)
+    scored = score_features(build_features(raw, embeddings, lexicon, phrases=phrases, unique=unique), weights)
     with sized_shuffles(raw):
         scored.write.mode("overwrite").parquet(path)
     return raw.sparkSession.read.parquet(path)

@@ -92,8 +92,7 @@ def null_token_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
            ELSE (text_length - lo)::DOUBLE / (hi - lo)::DOUBLE END, 6) AS text_length_signal
     FROM clean, (SELECT min(text_length) AS lo, max(text_length) AS hi FROM clean)"""))
 def text_length_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = planted_messages(spark, sf_dir)
-    keys = C.distinct_keys(C.valid_messages(raw))
+    keys = C.distinct_keys(C.message_keys(C.valid_messages(planted_messages(spark, sf_dir))))
     bounds = C.length_bounds(keys)
     signal = SG.length_signal(
         F.col("text_length"), bounds.select("shortest").scalar(), bounds.select("longest").scalar())

@@ -54,15 +54,20 @@ def build_features(
     lexicon: Mapping[str, float] | DataFrame | None = None,
     analyzer: bool = True,
     phrases: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Clean a batch and add all signals.
 
     The batch is read twice: once narrow (digest, key, length) for duplicates and length
-    bounds, once whole.  The text is shuffled once, by ``msg_id``.
+    bounds, once whole, and the texts stay where they are read.  Only vectors of more messages than can be
+    broadcast move them, once, by ``msg_id``.  ``unique`` rows (``with_message_id``) are not looked through for duplicates.
     """
-    keys = C.distinct_keys(C.valid_messages(raw))
-    bounds = C.length_bounds(keys)
-    df = C.clean_messages(raw, keys)
+    if unique:
+        df = C.valid_messages(raw).withColumn("text_length", F.length("text"))
+        bounds = C.length_bounds(df)
+    else:
+        keys = C.message_keys(C.valid_messages(raw))
+        bounds, df = C.length_bounds(keys), C.clean_messages(raw, keys)
     if embeddings is not None:
         df = E.attach(df, embeddings)
     df = row_signals(df, lexicon, analyzer, phrases)
@@ -89,8 +94,9 @@ def score_batch(
     weights: Mapping[str, float] | None = None,
     lexicon: Mapping[str, float] | DataFrame | None = None,
     phrases: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    return score_features(build_features(raw, embeddings, lexicon, phrases=phrases), weights)
+    return score_features(build_features(raw, embeddings, lexicon, phrases=phrases, unique=unique), weights)
 
 
 def rescore(features: DataFrame, weights: Mapping[str, float]) -> DataFrame:

@@ -45,6 +45,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder; what is built on it does not run it again."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions_for(input_bytes: int, at_least: int) -> int:
     """Shuffle partitions for an input of a size; adaptive execution joins small ones."""
     return max(at_least, -(-input_bytes // BYTES_PER_PARTITION))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tellsign.fixed import ENCODER_BATCH
 from tellsign.functions.signals import semantic_signal, unit_vector
 from tellsign.functions.text import fingerprint
+from tellsign.operators.clean import MOST_BROADCAST
 
 
 def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +31,11 @@ def signals(embeddings: DataFrame) -> DataFrame:
 def attach(messages: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Left join of the semantic signal by message key; no vector means 0.
 
-    Cleaned messages are already partitioned by ``msg_id``, so only the signals move, and a
-    hash table of these narrow rows spares a sort of the texts.
+    Only signals are joined, never vectors.  Those of few messages are broadcast, after a count, and the texts stay where
+    they are; beyond that both sides are sorted and merged by key, which spills.
     """
     narrow = signals(embeddings)
-    if not messages.isStreaming:
-        narrow = narrow.hint("shuffle_hash")
+    narrow = F.broadcast(narrow) if embeddings.count() <= MOST_BROADCAST else narrow.hint("merge")
     joined = messages.join(narrow, "msg_id", "left")
     return joined.withColumn("semantic_signal", F.coalesce("semantic_signal", F.lit(0.0)))
 

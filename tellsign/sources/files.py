@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellsign.operators.clean import drop_null_tokens
-from tellsign.session import scratch_dir
+from tellsign.session import written
 
 RECORD = "user string, text string, _bad string"
 OPTIONS = {"sep": ";", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_bad"}
@@ -81,12 +81,6 @@ def _records(states: DataFrame) -> DataFrame:
     return own.join(carried, ["file", "block"]).select(*_PLACE, F.coalesce("record", "carried").alias("record"))
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df.hint("merge")
 
@@ -97,12 +91,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A record whose quotes are never closed reaches to the end of its file.
     """
     lines = _lines(spark, path)
-    flags = _written(lines.select(
+    flags = written(lines.select(
         *_PLACE, F.is_valid_utf8("value").alias("utf8"), _ends_inside(F.col("value"), False).alias("out"),
         _ends_inside(F.col("value"), True).alias("back")), "line-flags")
-    latin = _written(flags.groupBy("file").agg(F.bool_and("utf8").alias("utf8")).where("not utf8").select(
+    latin = written(flags.groupBy("file").agg(F.bool_and("utf8").alias("utf8")).where("not utf8").select(
         "file", F.lit(True).alias("latin")), "latin-files")
-    many = _written(_records(_scan(flags)) if not flags.where("out").isEmpty() else flags.limit(0).select(
+    many = written(_records(_scan(flags)) if not flags.where("out").isEmpty() else flags.limit(0).select(
         *_PLACE, F.struct("block", "line").alias("record")), "long-records")
     coded = lines.join(_sized(latin, latin.count()), "file", "left")
     value = F.when(F.col("latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))

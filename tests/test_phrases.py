@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 import regex
 from pyspark.sql import functions as F
+from tellsign.functions import bitmap
 from tellsign.functions import text as T
 from tellsign.operators import evidence as EV
 from tellsign.operators import phrases as P
@@ -55,7 +56,7 @@ def test_random_tables_equal_regular_expressions(spark):
 
 
 def test_bitmap_lets_too_much_through_but_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(P, "BITMAP_BITS", 1 << 15)
+    monkeypatch.setattr(bitmap, "BITS", 1 << 15)
     table = [(i, "f", "keyword", f"w{i} x") for i in range(30_000)]
     df = spark.createDataFrame([(1, "w17 x, w29999 x w40000 x"), (2, "w17  x")], "msg_id long, text string")
     got = P.spans(df, spark.createDataFrame(table, L.SCHEMA)).collect()
