@@ -46,40 +46,60 @@ def preset_reject_reason() -> Column:
     )
 
 
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The last change of every name, as logged; invalid changes do not count."""
+    valid = changes.filter(F.col("deleted") | preset_reject_reason().isNull())
+    newest = Window.partitionBy(strip(F.col("name"))).orderBy(F.desc("changed_at"), F.desc("change_id"))
+    return valid.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1).drop("_rn")
+
+
 def live_presets(changes: DataFrame) -> DataFrame:
     """The last live state of every preset name.
 
     The last write of a name wins; invalid changes do not count.
     """
-    valid = changes.filter(F.col("deleted") | preset_reject_reason().isNull())
-    named = valid.withColumn("name", html_escape(strip(F.col("name"))))
-    newest = Window.partitionBy("name").orderBy(F.desc("changed_at"), F.desc("change_id"))
-    last = named.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
-    return last.filter(~F.col("deleted")).drop("_rn", "deleted")
+    return last_changes(changes).filter(~F.col("deleted")).drop("deleted").withColumn(
+        "name", html_escape(strip(F.col("name"))))
+
+
+#: Cells of the score that presets and messages meet in.
+CELLS = 200
+
+
+def _cell(score: Column) -> Column:
+    return F.least(F.floor(score * CELLS), F.lit(CELLS - 1)).cast("int")
 
 
 def _tagged(results: DataFrame, presets: DataFrame) -> DataFrame:
     """The results once for every preset that they match, with its ``name`` and ``top_n``.
 
-    Presets are a table of any size, one row for each band that they want; the text is
-    folded once per message.
+    Presets are a table of any size: one row for each band and cell of the score that they want.  Messages meet them by
+    band and cell, so where presets are not broadcast a task holds a cell and not a band (a crowded cell is split as
+    any skewed join), and the other conditions are tested on what meets.  The text is folded once per message.
     """
     bands = F.when(F.size("bands") > 0, F.array_distinct("bands")).otherwise(
         F.array(*[F.lit(name) for name, _, _ in fixed.BANDS]))
+    edges = F.create_map(*[x for name, low, high in fixed.BANDS for x in (
+        F.lit(name), F.struct(F.lit(low).alias("low"), F.lit(min(high, 1.0)).alias("high")))])
     wanted = presets.select(
         "name", "top_n", F.explode(bands).alias("_band"), F.col("min_risk").alias("_lo"), F.col("max_risk").alias("_hi"),
         F.col("drivers").alias("_drivers"), F.col("users").alias("_users"),
         F.when(strip(F.col("text_query")) != "", F.upper("text_query")).alias("_query"))
+    band = F.try_element_at(edges, F.col("_band"))
+    first = _cell(F.greatest("_lo", band["low"]))
+    last = _cell(F.least("_hi", band["high"]))
+    wanted = wanted.where(last >= first).withColumn("_cell", F.explode(F.sequence(first, last)))
 
     def listed(names: str, value: str) -> Column:
         return (F.coalesce(F.size(names), F.lit(0)) <= 0) | F.array_contains(names, F.col(value))
 
     matches = (
-        (F.col("risk_band") == F.col("_band")) & F.col("risk_score").between(F.col("_lo"), F.col("_hi"))
+        (F.col("risk_band") == F.col("_band")) & (_cell(F.col("risk_score")) == F.col("_cell"))
+        & F.col("risk_score").between(F.col("_lo"), F.col("_hi"))
         & listed("_drivers", "top_risk_driver") & listed("_users", "user")
         & (F.col("_query").isNull() | F.contains("_upper", "_query")))
     return results.withColumn("_upper", F.upper("text")).join(wanted, matches).drop(
-        "_upper", "_band", "_lo", "_hi", "_drivers", "_users", "_query")
+        "_upper", "_band", "_cell", "_lo", "_hi", "_drivers", "_users", "_query")
 
 
 def preset_match(results: DataFrame, presets: DataFrame) -> DataFrame:
@@ -106,6 +126,19 @@ def preset_top(results: DataFrame, presets: DataFrame) -> DataFrame:
 RULE_METRICS = ["high_pct", "avg_risk", "high"]
 
 
+def triggers(timeline: DataFrame, rules: Sequence[tuple[str, str, float]], key: str = "run_version") -> DataFrame:
+    """``rule, run_version, timestamp, value`` of every run that reaches the smallest value of a rule; row-local."""
+    bad = [r for r in rules if r[1] not in RULE_METRICS]
+    if bad:
+        raise ValueError(f"unknown metric in rules: {bad}")
+    hits = F.array_compact(F.array(*[
+        F.when(F.col(metric) >= least, F.struct(
+            F.lit(name).alias("rule"), F.col(metric).cast("double").alias("value")))
+        for name, metric, least in rules]))
+    return timeline.select(F.col(key).cast("long").alias("run_version"), "timestamp", F.inline(hits)).select(
+        "rule", "run_version", "timestamp", "value")
+
+
 def alert_rules(
     timeline: DataFrame, rules: Sequence[tuple[str, str, float]],
     cooldown_hours: int = 24, daily_cap: int = 3, key: str = "run_version",
@@ -116,14 +149,7 @@ def alert_rules(
     at most ``daily_cap`` fire on a day.  Suppressed triggers use up nothing.  The triggers of a
     rule are folded in time order with the last fire and the count of its day.
     """
-    bad = [r for r in rules if r[1] not in RULE_METRICS]
-    if bad:
-        raise ValueError(f"unknown metric in rules: {bad}")
-    hits = F.array_compact(F.array(*[
-        F.when(F.col(metric) >= least, F.struct(
-            F.lit(name).alias("rule"), F.col(metric).cast("double").alias("value")))
-        for name, metric, least in rules]))
-    fired = timeline.select(key, "timestamp", F.inline(hits))
+    fired = triggers(timeline, rules, key).withColumnRenamed("run_version", key)
     in_order = F.sort_array(F.collect_list(F.struct("timestamp", F.col(key).cast("bigint").alias("run"), "value")))
     none = F.array().cast("array<struct<timestamp:timestamp,run:bigint,value:double>>")
     start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(0).alias("n"), none.alias("fired"))

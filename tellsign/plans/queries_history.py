@@ -17,9 +17,11 @@ from tellsign.plans.jobs import staged
 from tellsign.plans.queries_signals import r6
 from tellsign.plans.queries_triage import stamp
 from tellsign.session import scratch_dir
+from tellsign.sources import presets as PR
 from tellsign.sources import store
 from tellsign.sources.tables import table
 from tellsign.sources.weights import read_weights, weight_frame
+from tellsign.streaming import score as ST
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +120,17 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rule", "run_version", *r6("value"))
 
 
+@query("stream_alerts", _rules_sql())
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules over the timeline as a stream, a file of runs at a time."""
+    out = scratch_dir(spark, "stream-alerts")
+    rows = timeline(spark, sf_dir)
+    rows.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("latestFirst", False).parquet(f"{out}/in")
+    ST.write_stream(ST.alert_stream(stream, RULES, cooldown_hours=5, daily_cap=3), f"{out}/data", f"{out}/ck").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("rule", "run_version", *r6("value"))
+
+
 def preset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the change log of presets, about a hundred names."""
     k = F.col("o_custkey")
@@ -157,6 +170,21 @@ def preset_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name", "min_risk", "max_risk", F.array_join("bands", ",").alias("bands"), "top_n", "change_id")
 
 
+@query("preset_store", O.q(_PRESETS, """
+    SELECT name, min_risk, max_risk, array_to_string(bands, ',') AS bands, top_n, change_id FROM presets"""))
+def preset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same presets put, deleted, put a second time without effect, compacted and listed."""
+    root = scratch_dir(spark, "presets")
+    changes = preset_changes(spark, sf_dir)
+    puts = changes.where(~F.col("deleted")).drop("deleted")
+    PR.put(spark, root, puts.where("change_id % 2 = 0"))
+    PR.delete(spark, root, changes.where("deleted").select("change_id", "name", "changed_at"))
+    PR.put(spark, root, puts)
+    PR.compact(spark, root)
+    return PR.live(spark, root).select(
+        "name", "min_risk", "max_risk", F.array_join("bands", ",").alias("bands"), "top_n", "change_id")
+
+
 _MATCHED = O.RESULTS + ", " + _PRESETS + """,
 matched AS MATERIALIZED (SELECT p.name, p.top_n, r.* FROM presets p JOIN res r
   ON r.risk_score BETWEEN p.min_risk AND p.max_risk

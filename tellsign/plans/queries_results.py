@@ -12,6 +12,7 @@ from tellsign.operators import rank as R
 from tellsign.operators.filters import ResultFilter
 from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import query, results
+from tellsign.plans.dashboard import Board
 from tellsign.plans.queries_signals import r6, r6_sql
 
 COMBO = ResultFilter(min_risk=0.2, max_risk=0.95, bands=["Medium", "High"],
@@ -256,3 +257,63 @@ def user_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     for f in fixed.FEATURES)))
 def feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CH.feature_means(results(spark, sf_dir))
+
+
+BOARD = ResultFilter(min_risk=0.1, text_query="the")
+_BOARD = O.RESULTS + """,
+  board AS MATERIALIZED (SELECT * FROM res WHERE risk_score BETWEEN 0.1 AND 1.0 AND contains(upper(text), 'THE'))"""
+
+
+def board(spark: SparkSession, sf_dir: str) -> Board:
+    return Board(results(spark, sf_dir), BOARD)
+
+
+@query("dashboard_kpis", O.q(_BOARD, f"""
+    SELECT count(*) AS messages, (SELECT count(*) FROM res) AS total, count(DISTINCT "user") AS users,
+      round(avg(risk_score), 4) AS avg_risk, round(max(risk_score), 4) AS max_risk, round(median(risk_score), 4) AS median_risk,
+      round(coalesce(stddev_samp(risk_score), 0), 4) AS std_risk, {_COUNTS} FROM board"""))
+def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board(spark, sf_dir).kpis()
+
+
+@query("dashboard_groups", O.q(_BOARD, f"""
+    SELECT 'histogram' AS dataset, bin || ' ' || risk_band AS key, count(*)::DOUBLE AS value, round(bin / 20.0::DOUBLE, 4) AS more FROM (
+      SELECT least(floor(risk_score * 20), 19)::INTEGER AS bin, risk_band FROM board) GROUP BY bin, risk_band
+    UNION ALL SELECT 'band', b, count(msg_id), round(count(msg_id) / (SELECT count(*) FROM board)::DOUBLE * 100, 1)
+      FROM (VALUES ('Low'), ('Medium'), ('High')) v(b) LEFT JOIN board ON risk_band = b GROUP BY b
+    UNION ALL SELECT 'driver', {O.label('top_risk_driver')}, count(*), round(count(*) / (SELECT count(*) FROM board)::DOUBLE * 100, 1)
+      FROM board GROUP BY top_risk_driver
+    UNION ALL SELECT 'mean', name, round(value, 4), NULL FROM (""" + " UNION ALL ".join(
+    f"SELECT '{label_of(f)}' AS name, avg({f}) AS value FROM board" for f in fixed.FEATURES) + ")"))
+def dashboard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram, bands, drivers and feature means of one filter, all from one table of facts."""
+    b = board(spark, sf_dir)
+
+    def part(name: str, df: DataFrame, key, value: str, more) -> DataFrame:
+        return df.select(F.lit(name).alias("dataset"), key.alias("key"), F.col(value).cast("double").alias("value"), more.alias("more"))
+
+    none = F.lit(None).cast("double")
+    return part("histogram", b.histogram(), F.concat_ws(" ", "bin", "risk_band"), "count", F.col("bin_start")).unionByName(
+        part("band", b.bands(), F.col("risk_band"), "count", F.col("pct"))).unionByName(
+        part("driver", b.drivers(), F.col("label"), "count", F.col("pct"))).unionByName(
+        part("mean", b.feature_means(), F.col("feature"), "mean_score", none))
+
+
+@query("dashboard_users", O.q(_BOARD, """
+    SELECT "user", round(avg(risk_score), 4) AS avg_risk, round(max(risk_score), 4) AS max_risk, count(*) AS messages,
+      count(*) FILTER (WHERE risk_band = 'High') AS high_count, avg(risk_score) >= 0.5 AS labelled FROM board GROUP BY "user" """))
+def dashboard_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = board(spark, sf_dir)
+    return b.users().join(b.user_scatter().select("user", "labelled"), "user")
+
+
+@query("dashboard_summary", O.q(_BOARD, f"""
+    SELECT count(*) FILTER (WHERE risk_band = 'High') AS high_count,
+      round(count(*) FILTER (WHERE risk_band = 'High') / count(*)::DOUBLE * 100, 1) AS high_pct,
+      (SELECT {O.label('top_risk_driver')} FROM board GROUP BY top_risk_driver
+       ORDER BY count(*) DESC, top_risk_driver LIMIT 1) AS top_driver,
+      (SELECT "user" FROM board GROUP BY "user" ORDER BY avg(risk_score) DESC, "user" LIMIT 1) AS top_user,
+      (SELECT round(max(m), 3) FROM (SELECT avg(risk_score) AS m FROM board GROUP BY "user")) AS top_user_risk,
+      round(avg(risk_score), 4) AS avg_risk, count(*) AS total_messages FROM board"""))
+def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board(spark, sf_dir).summary()

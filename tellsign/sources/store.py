@@ -30,6 +30,11 @@ def finished(spark: SparkSession, path: str) -> bool:
     return fs.exists(marker)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _folder(spark, path)
+    return fs.exists(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, folder = _folder(spark, path)
     fs.delete(folder, True)

@@ -1,14 +1,17 @@
 """Streaming jobs over message streams; the columns are those of the batch job."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tellsign.functions import signals as SG
 from tellsign.operators import clean as C
+from tellsign.operators.history import triggers
 from tellsign.operators.kpi import share
 from tellsign.operators.quantiles import exact_quantiles
 from tellsign.plans.scoring import row_signals, score_features
@@ -96,6 +99,39 @@ def read_kpis(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/kpis").drop("batch")
 
 
+_FIRED = "rule string, run_version long, timestamp timestamp, value double"
+
+
+def alert_stream(
+    timeline: DataFrame, rules: Sequence[tuple[str, str, float]], cooldown_hours: int = 24, daily_cap: int = 3,
+    key: str = "run_version",
+) -> DataFrame:
+    """Runs that trigger a rule, thinned out by cooldown and daily cap as ``alert_rules`` does, over a stream of KPI rows.
+
+    The state of a rule is its last fire and the number on that day.  Rows of a micro-batch are taken in the order
+    of time; a row older than the last fire is within the cooldown and never fires.
+    """
+    hits = triggers(timeline, rules, key)
+    wait = cooldown_hours * 3_600_000_000
+
+    def fold(rule: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "run_version", "value"])
+        last, count = state.get if state.exists else (None, 0)
+        fired = []
+        for row in rows.itertuples(index=False):
+            at = int(pd.Timestamp(row.timestamp).value // 1000)
+            today = count if last is not None and at // 86_400_000_000 == last // 86_400_000_000 else 0
+            if (last is None or at >= last + wait) and today < daily_cap:
+                last, count = at, today + 1
+                fired.append((rule[0], row.run_version, row.timestamp, row.value))
+        if last is not None:
+            state.update((last, count))
+        yield pd.DataFrame(fired, columns=["rule", "run_version", "timestamp", "value"])
+
+    return hits.groupBy("rule").applyInPandasWithState(
+        fold, _FIRED, "last long, n int", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("run_version", key)
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         df.writeStream.format("parquet").outputMode("append").option("path", path)

@@ -76,14 +76,28 @@ def test_dashboard(spark, messages, folder):
     rows = messages(("alice", HOT), ("bob", "hello there"), ("carl", "urgent: the manager needs this now"))
     score_batch(rows).write.parquet(f"{folder}/r")
     results = spark.read.parquet(f"{folder}/r")
-    with dashboard(results) as frames:
-        got = {name: df.collect() for name, df in frames.items()}
+    got = {name: df.collect() for name, df in dashboard(results).items()}
     assert got["kpis"][0]["messages"] == 3 and got["total"][0]["total"] == 3
     assert len(got["correlation"]) == 121 and len(got["weights"]) == 11 and len(got["bands"]) == 3
     assert [r["user"] for r in got["messages"]][0] == "alice" and len(got["detail_cards"]) == 3
-    with dashboard(results, ResultFilter(text_query="nowhere to be found")) as frames:
-        assert frames["kpis"].count() == 0 and frames["users"].count() == 0
-        assert frames["summary"].count() == 0 and frames["messages"].count() == 0
+    frames = dashboard(results, ResultFilter(text_query="nowhere to be found"))
+    assert all(frames[name].count() == 0 for name in ("kpis", "users", "summary", "messages", "histogram", "drivers"))
+    assert [(r["risk_band"], r["count"]) for r in frames["bands"].collect()] == [("Low", 0), ("Medium", 0), ("High", 0)]
+
+
+def test_dashboard_scans_once_for_all_groups(spark, messages, folder):
+    """The grouped datasets read the facts only, and equal those of the plain operators."""
+    from tellsign.operators import charts, kpi
+    from tellsign.plans.dashboard import Board
+
+    score_batch(messages(*[(f"u{i % 3}", f"{HOT if i % 4 == 0 else 'urgent now'} {i}") for i in range(40)])).write.parquet(f"{folder}/r")
+    results = spark.read.parquet(f"{folder}/r")
+    board = Board(results)
+    for own, plain in ((board.histogram(), charts.histogram(results)), (board.bands(), charts.band_share(results)),
+                       (board.drivers(), charts.driver_share(results)), (board.users(), kpi.user_ranking(results)),
+                       (board.user_scatter(), charts.user_scatter(results)), (board.feature_means(), charts.feature_means(results))):
+        assert sorted(own.select(*plain.columns).collect()) == sorted(plain.collect())
+        assert f"{folder}/r" not in own._jdf.queryExecution().executedPlan().toString()
 
 
 def test_command_line(folder, capfd, spark):
