@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellsign import fixed
+from tellsign.functions import bitmap
 
 TOKEN = r"[a-z\p{L}\p{N}_']++"
 MAX_LEXICON = 20_000
@@ -81,7 +82,8 @@ def valence_sums(
 ) -> DataFrame:
     """``msg_id, valence`` by a lexicon table (``word, valence``) of any size.
 
-    The same rule as ``valence_sum``, with the lookup as a join on the word.  Each word takes its
+    The same rule as ``valence_sum``, with the lookup as a join on the word.  Only words that the table may hold, by a
+    bitmap of bounded size, leave their message.  Each takes its
     booster and negation along, and equal ones of a message are counted before the join.  A word that
     the table repeats counts with its greatest valence; messages without a lexicon word have no row.
     """
@@ -97,10 +99,11 @@ def valence_sums(
             word.alias("word"), F.coalesce(boost(F.get(words, i - 1)), F.lit(0.0)).alias("step"),
             F.arrays_overlap(back, negator_list).alias("negated"))
 
-    seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select(
-        "msg_id", F.inline(F.transform(words, in_context))).groupBy(
-        "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n"))
     known = lexicon.groupBy("word").agg(F.max("valence").cast("double").alias("v"))
+    bits = bitmap.build(lexicon.where(F.col("word").isNotNull()).select(F.xxhash64("word").alias("key")))
+    held = F.array_compact(F.transform(words, lambda w, i: F.when(bitmap.may_hold(bits, F.xxhash64(w)), in_context(w, i))))
+    seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select("msg_id", F.inline(held)).groupBy(
+        "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n"))
     value = F.col("v") + F.signum("v") * F.col("step")
     turned = F.when(F.col("negated"), value * F.lit(fixed.SENTIMENT_NEGATION_FACTOR)).otherwise(value)
     return seen.join(known, "word").groupBy("msg_id").agg(F.sum(turned * F.col("n")).alias("valence"))

@@ -127,3 +127,19 @@ def require_rows(df: DataFrame, what: str = "dataset") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty after cleaning; valid user and text are needed")
     return df
+
+
+def batch_status(batches: DataFrame, key: str) -> DataFrame:
+    """``key, loaded, kept, usable`` of many batches in one table; a batch without a valid message is not usable."""
+    rows = stripped(batches)
+    valid = (F.col("user") != "") & (F.col("text") != "")
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("loaded"), F.count_if(valid).alias("kept")).withColumn(
+        "usable", F.col("kept") > 0)
+
+
+def require_usable(batches: DataFrame, key: str) -> DataFrame:
+    """The batches, if all of them have a valid message; else the job stops and names one that has none."""
+    empty = batch_status(batches, key).where("not usable").select(key).head()
+    if empty is not None:
+        raise ValueError(f"batch {empty[0]} is empty after cleaning; valid user and text are needed")
+    return batches

@@ -129,7 +129,11 @@ def families(phrases: DataFrame, kinds: Iterable[str] = tuple(KINDS)) -> list[tu
 
 
 def with_hit_counts(messages: DataFrame, phrases: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
-    """Add ``re_<family>`` and ``kw_<family>`` for each (family, kind); the texts stay where they are."""
+    """Add ``re_<family>`` and ``kw_<family>`` for each (family, kind).
+
+    Hits leave the texts as narrow rows; the counts come back by a join on ``msg_id``, which moves the texts once if the
+    counts are too many to be broadcast.
+    """
     columns = {f"{KINDS[k]}_{f}": (F.col("family") == f) & (F.col("kind") == k) for f, k in names}
     if not names:
         return messages

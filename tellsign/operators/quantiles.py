@@ -6,7 +6,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1 << 16
+BINS = 1 << 12
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+
+
+def _narrowed(counts: DataFrame, group: list[str], part: str) -> DataFrame:
+    """The parts of each group that hold a wanted rank, with the ranks as counted within them.
+
+    ``counts``: ``group, part, _n, _targets``.  The rows of a group are at most as many as parts of it.
+    """
+    upto = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    here = F.transform(
+        F.filter("_targets", lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_n"))),
+        lambda t: F.struct(t["name"].alias("name"), t["edge"].alias("edge"), (t["rank"] - F.col("_before")).alias("rank"),
+                           t["part"].alias("part")))
+    return placed.select(*group, part, here.alias("_targets")).where(F.size("_targets") > 0)
 
 
 def exact_quantiles(
@@ -21,53 +39,44 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per key, one column per entry of ``probs``.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one task.  Here
-    equal values are counted first, map-side; a histogram with a fixed number of bins then
-    tells in which bin each wanted rank lies, and only the values of these bins are sorted.
+    The built-in ``percentile`` keeps every distinct value of a group in one task.  Here a first scan counts
+    a fixed number of bins, map-side, and the running counts say which bins hold the wanted ranks.  A second
+    scan divides only these into as many bins again, a third one takes only the values of the bins that are left,
+    equal ones counted map-side.  So no shuffle goes by value but that of a 16-millionth of the range, and a crowded
+    bin is divided and never sorted as a whole.  Values beyond ``low`` and ``high`` belong to the first and last bin.
     ``weight`` names a column that says how often a row counts.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    )
-    # Clamped before the cast: in ANSI mode a value beyond the integers would stop the job.
+    n = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     position = (F.col("_v") - F.lit(low)) / F.lit(high - low) * bins
-    clamped = F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(bins - 1))
-    binned = counted.withColumn("_b", clamped.cast("int"))
-
-    # At most ``bins`` rows per key reach these windows.
-    per_bin = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    per_bin = per_bin.withColumns({
-        "_before": F.sum("_bn").over(running) - F.col("_bn"),
-        "_total": F.sum("_bn").over(whole),
-    })
+
+    def bin_of(x: Column) -> Column:
+        # Clamped before the cast: in ANSI mode a value beyond the integers would stop the job.
+        return F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    # one key is always there, so that joins and windows are the same without any
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.lit(0).alias("_g"), F.col(value).alias("_v"), n.alias("_n")).withColumn("_b", bin_of(position))
+    rows = rows.withColumn("_c", bin_of((position - F.col("_b")) * bins))
+    group = [*keys, "_g"]
 
     def ranks(name: str, p: float) -> list[Column]:
         exact = (F.col("_total") - 1) * F.lit(float(p))
-        return [
-            F.struct(F.lit(name).alias("name"), F.lit(edge).alias("edge"),
-                     rank.cast("long").alias("rank"), (exact - F.floor(exact)).alias("part"))
-            for edge, rank in (("lo", F.floor(exact)), ("hi", F.ceil(exact)))
-        ]
-
-    wanted = F.array(*[r for name, p in probs.items() for r in ranks(name, p)])
-    here = F.filter(wanted, lambda r: (r["rank"] >= F.col("_before"))
-                    & (r["rank"] < F.col("_before") + F.col("_bn")))
-    targets = per_bin.select(*keys, "_b", "_before", here.alias("_targets")).filter(
-        F.size("_targets") > 0)
-
-    in_bin = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    values = binned.join(targets, [*keys, "_b"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(in_bin))
-    hit = F.filter("_targets", lambda r: (r["rank"] < F.col("_upto"))
-                   & (r["rank"] >= F.col("_upto") - F.col("_n")))
-    found = values.select(*keys, "_v", F.explode(hit).alias("t"))
+        return [F.struct(F.lit(name).alias("name"), F.lit(edge).alias("edge"), rank.cast("long").alias("rank"),
+                         (exact - F.floor(exact)).alias("part"))
+                for edge, rank in (("lo", F.floor(exact)), ("hi", F.ceil(exact)))]
+
+    first = _counted(rows, [*group, "_b"]).withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+    first = first.withColumn("_targets", F.array(*[r for name, p in probs.items() for r in ranks(name, p)]))
+    wanted = _narrowed(first, group, "_b")
+    for inner, part in (([*group, "_b"], "_c"), ([*group, "_b", "_c"], "_v")):
+        # ``wanted`` has at most two rows for each quantile of a key
+        known = wanted.select(*[F.col(c).alias(f"{c}_") for c in inner], "_targets")
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in inner]
+        inside = rows.join(known, same).select(*inner, part, "_n", "_targets")
+        counts = inside.groupBy(*inner, part).agg(F.sum("_n").alias("_n"), F.first("_targets").alias("_targets"))
+        wanted = _narrowed(counts, inner, part)
+    found = wanted.select(*keys, "_v", F.explode("_targets").alias("t"))
 
     def quantile(name: str) -> Column:
         mine = F.col("t.name") == name

@@ -1,6 +1,7 @@
 """Queries over cleaning, signals and scores."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tellsign.plans import oracle_base as O
 from tellsign.plans.catalog import features, fresh_features, query, results
 from tellsign.operators.filters import of_user
 from tellsign.plans.scoring import rescore, score_batch, score_features
+from tellsign.sources import embeddings as EM
 from tellsign.sources.embeddings import stored_embeddings
 from tellsign.sources.lexicons import fixed_phrases
 from tellsign.sources.tables import conversation_messages, planted_messages, table
@@ -64,6 +66,20 @@ def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cleaning_report(planted_messages(spark, sf_dir))
 
 
+_BLANKED = """batches AS (
+    SELECT msg_id % 50 AS batch, "user", CASE WHEN length(text) % 2 = 0 THEN text ELSE ' ' END AS text FROM planted)"""
+
+
+@query("batch_status", O.q(O.PLANTED + ", " + _BLANKED, f"""
+    SELECT batch, count(*) AS loaded, count(*) FILTER ({O.strip('text')} <> '' AND {O.strip('"user"')} <> '') AS kept,
+      count(*) FILTER ({O.strip('text')} <> '' AND {O.strip('"user"')} <> '') > 0 AS usable FROM batches GROUP BY batch"""))
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty batches, in which half of the texts are blank: which of them can be scored."""
+    blank = F.when(F.length("text") % 2 == 0, F.col("text")).otherwise(" ")
+    rows = planted_messages(spark, sf_dir).withColumn("text", blank).withColumn("batch", F.col("msg_id") % 50)
+    return C.batch_status(rows, "batch")
+
+
 _TOKENS = ", ".join(O.lit(t) for t in fixed.NULL_TOKENS)
 
 
@@ -155,6 +171,25 @@ def embedding_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
         "msg_id", "i", F.round("x", 6).alias("value"))
 
 
+def _letter_model():
+    """An encoder for queries: how often four letters occur, and the length."""
+    def predict(texts):
+        return np.array([[t.count("a"), t.count("e"), t.count("n"), t.count("t"), len(t)] for t in texts], dtype=np.float32)
+
+    return predict
+
+
+@query("encoder_signal", O.q(O.CLEAN, """
+    SELECT msg_id, round((a + e + n + t + l) / sqrt(a * a + e * e + n * n + t * t + l * l) / sqrt(5::DOUBLE), 4) AS semantic_signal
+    FROM (SELECT msg_id, """ + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE AS {c}" for c in "aent") + """,
+      length(text)::DOUBLE AS l FROM clean)"""))
+def encoder_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic signal from an encoder that runs once for each different text."""
+    clean = C.clean_messages(planted_messages(spark, sf_dir))
+    vectors = EM.encode_distinct(clean, _letter_model)
+    return EM.attach(clean, vectors).select("msg_id", F.round("semantic_signal", 4).alias("semantic_signal"))
+
+
 @query("lexicon_sentiment", O.q(O.SENT, """
     SELECT c.msg_id, round(coalesce(s.sentiment, 0.0), 6) AS sentiment,
            round(abs(coalesce(s.sentiment, 0.0)), 6) AS sentiment_risk_signal

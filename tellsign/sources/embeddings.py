@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from tellsign.fixed import ENCODER_BATCH
 from tellsign.functions.signals import semantic_signal, unit_vector
 from tellsign.functions.text import fingerprint
-from tellsign.operators.clean import MOST_BROADCAST
+from tellsign.operators.clean import MOST_BROADCAST, without
+from tellsign.session import written
 
 
 def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,11 @@ def encode_distinct(
     encode = predict_batch_udf(
         make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    keyed = messages.select("msg_id", fingerprint(F.col("text")).alias("digest"))
-    texts = (
-        messages.select(fingerprint(F.col("text")).alias("digest"), "text")
-        .dropDuplicates(["digest"])
-        .select("digest", encode("text").alias("raw"))
-        .select("digest", unit_vector(F.col("raw")).alias("embedding"))
-    )
-    return keyed.join(texts, "digest").select("msg_id", "embedding")
+    keyed = written(messages.select("msg_id", F.unhex(fingerprint(F.col("text"))).alias("digest")), "text-digests")
+    firsts = keyed.groupBy("digest").agg(F.min("msg_id").alias("msg_id"))
+    # the texts are encoded where they are; those of all but the first message of each text are dropped by key
+    again = written(keyed.join(firsts.withColumnRenamed("msg_id", "first"), "digest").where(
+        F.col("msg_id") != F.col("first")).select("msg_id"), "repeated-texts")
+    vectors = without(messages.select("msg_id", "text"), again).select("msg_id", encode("text").alias("raw")).select(
+        "msg_id", unit_vector(F.col("raw")).alias("embedding"))
+    return keyed.join(firsts.join(vectors, "msg_id").drop("msg_id"), "digest").select("msg_id", "embedding")
