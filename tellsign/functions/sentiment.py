@@ -102,7 +102,8 @@ def valence_sums(
     known = lexicon.groupBy("word").agg(F.max("valence").cast("double").alias("v"))
     bits = bitmap.build(lexicon.where(F.col("word").isNotNull()).select(F.xxhash64("word").alias("key")))
     held = F.array_compact(F.transform(words, lambda w, i: F.when(bitmap.may_hold(bits, F.xxhash64(w)), in_context(w, i))))
-    seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select("msg_id", F.inline(held)).groupBy(
+    seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select(
+        "msg_id", F.inline_outer(held)).where(F.col("word").isNotNull()).groupBy(
         "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n"))
     value = F.col("v") + F.signum("v") * F.col("step")
     turned = F.when(F.col("negated"), value * F.lit(fixed.SENTIMENT_NEGATION_FACTOR)).otherwise(value)

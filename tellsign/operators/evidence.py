@@ -49,4 +49,5 @@ def hit_evidence(messages: DataFrame) -> DataFrame:
     keywords = F.when(F.col("_low") == F.col("_fold"), _rows(F.col("_found"), "keyword", KEYWORDS)).otherwise(
         _exact_keywords(F.col("_low")))
     rows = df.withColumn("_rows", F.concat(_rows(F.col("_plain"), "regex", PATTERNS), keywords))
-    return rows.select("msg_id", F.inline("_rows")).filter(F.col("hits") > 0)
+    # outer: else Spark tests the array's size first, below the projections, and repeats the text work for it
+    return rows.select("msg_id", F.inline_outer("_rows")).filter(F.col("hits") > 0)

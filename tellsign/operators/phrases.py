@@ -74,7 +74,8 @@ def spans(messages: DataFrame, phrases: DataFrame) -> DataFrame:
                         lambda r: (r["start"] + r["size"] <= F.size(words)) & r["white"] & bitmap.may_hold(bits, F.xxhash64(r["run"])))
 
     low, fold = T.lowered(F.col("text")), T.folded(F.col("text"))
-    forms = messages.select("msg_id", low.alias("low"), fold.alias("fold")).select("msg_id", F.inline(
+    # outer: else Spark tests the arrays' sizes first, below the projections, and repeats the text work for it
+    forms = messages.select("msg_id", low.alias("low"), fold.alias("fold")).select("msg_id", F.inline_outer(
         F.when(F.col("low") == F.col("fold"), F.array(F.struct(F.col("low").alias("form"), F.lit(None).cast("string").alias("only"))))
         .otherwise(F.array(F.struct(F.col("low").alias("form"), F.lit("keyword").alias("only")),
                            F.struct(F.col("fold").alias("form"), F.lit("regex").alias("only"))))))
@@ -83,7 +84,7 @@ def spans(messages: DataFrame, phrases: DataFrame) -> DataFrame:
     if not lengths:
         cut = cut.limit(0)
     starts = F.array_compact(F.transform(words, lambda w, i: F.when(bitmap.may_hold(bits, _first(w)), i)))
-    found = cut.select("msg_id", "only", F.inline(F.flatten(F.transform(starts, runs_from)))) if lengths else cut.selectExpr(
+    found = cut.select("msg_id", "only", F.inline_outer(F.flatten(F.transform(starts, runs_from)))) if lengths else cut.selectExpr(
         "msg_id", "only", "0 AS start", "0 AS size", "'' AS run", "true AS blanks")
     return found.join(known, "run").where(
         ((F.col("kind") == "regex") | F.col("blanks")) & F.coalesce(F.col("kind") == F.col("only"), F.lit(True))).select(
