@@ -33,18 +33,16 @@ def messages(spark):
 
 
 @pytest.fixture
-def fake_results(spark):
-    """Five scored rows: three at or above the triage threshold."""
-    rows = [
-        (0, "alice", "Pay the open invoice before noon or the lawyer calls", 0.97, "High", "urgency_score", 0.7, 0.3, 0.4),
-        (1, "bob", "Between us two: the board has signed it off", 0.71, "High", "trust_score", 0.1, 0.6, 0.2),
-        (2, "carol", "Lunch menu for next week, see the kitchen door", 0.08, "Low", "liking_score", 0.0, 0.0, 0.1),
-        (3, "dave", "Your parcel is held and will be destroyed tonight", 0.86, "High", "fear_score", 0.5, 0.2, 0.8),
-        (4, "eve", "You took our survey, so take this voucher", 0.47, "Medium", "reciprocity_score", 0.2, 0.4, 0.0),
-    ]
-    return spark.createDataFrame(
-        rows, "msg_id long, user string, text string, risk_score double, risk_band string, "
-              "top_risk_driver string, urgency_score double, trust_score double, fear_score double")
+def scored(spark):
+    """One row on each side of every band and priority edge, named by its score: s95 scores 0.95 and so on."""
+    from tellsign.fixed import FEATURES
+    from tellsign.functions.scoring import with_risk_band
+
+    rows = [(i, f"s{n}", f"s{n} asks for item {i}", n / 100, FEATURES[i], n / 200, n / 300, n / 400)
+            for i, n in enumerate((95, 85, 72, 55, 30, 12))]
+    return with_risk_band(spark.createDataFrame(
+        rows, "msg_id long, user string, text string, risk_score double, top_risk_driver string, "
+              "urgency_score double, trust_score double, fear_score double"))
 
 
 @pytest.fixture

@@ -65,11 +65,11 @@ def test_audit_rows_survive_a_crash(spark, folder, messages, monkeypatch):
     assert store.numbers(spark, f"{folder}/queue_changes", "version") == []
 
 
-def test_upsert_items(spark, fake_results):
-    queue = T.sync(T.empty_queue(spark), fake_results, T0)
-    one = queue.filter("user = 'bob'").withColumn("assignee", F.lit("zoe"))
-    rows = {r["user"]: r["assignee"] for r in T.upsert_items(queue.filter("user <> 'dave'"), one).collect()}
-    assert rows == {"alice": "", "bob": "zoe"}
+def test_upsert_items(spark, scored):
+    queue = T.sync(T.empty_queue(spark), scored, T0)
+    one = queue.filter("user = 's72'").withColumn("assignee", F.lit("zoe"))
+    rows = {r["user"]: r["assignee"] for r in T.upsert_items(queue.filter("user <> 's85'"), one).collect()}
+    assert rows == {"s95": "", "s72": "zoe"}
 
 
 def test_dashboard(spark, messages, folder):

@@ -23,7 +23,8 @@ def test_query(spark, con, name):
     assert ok, note
     plan = df._jdf.queryExecution().executedPlan().toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert word not in plan
+        # the encoder is the one place for a Python model
+        assert word not in plan or (word == "ArrowEvalPython" and name == "encoder_signal")
 
 
 def test_entry(spark):

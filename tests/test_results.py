@@ -15,17 +15,17 @@ def users(df):
     return sorted(r["user"] for r in df.collect())
 
 
-def test_filters(fake_results):
-    f = lambda **kw: users(ResultFilter(**kw).apply(fake_results))
-    assert f() == ["alice", "bob", "carol", "dave", "eve"]
-    assert f(min_risk=0.71, max_risk=0.86) == ["bob", "dave"]
-    assert f(bands=["Low", "Medium"]) == ["carol", "eve"]
-    assert f(drivers=["fear_score"]) == ["dave"] and f(users=["eve", "bob"]) == ["bob", "eve"]
-    assert f(text_query="PARCEL") == ["dave"] and f(text_query="   ") == f()
-    assert f(text_query=" it") == ["bob"]
+def test_filters(scored):
+    f = lambda **kw: users(ResultFilter(**kw).apply(scored))
+    assert f() == ["s12", "s30", "s55", "s72", "s85", "s95"]
+    assert f(min_risk=0.72, max_risk=0.85) == ["s72", "s85"]
+    assert f(bands=["Low", "Medium"]) == ["s12", "s30", "s55"]
+    assert f(drivers=["authority_score"]) == ["s85"] and f(users=["s72", "s55"]) == ["s55", "s72"]
+    assert f(text_query="S85 ASKS") == ["s85"] and f(text_query="   ") == f()
+    assert f(text_query=" Item 2") == ["s72"]
     assert f(bands=[], users=[]) == f()
-    assert f(users=["eve"] + [f"nobody{i}" for i in range(2000)]) == ["eve"]
-    assert users(of_user(fake_results, "bob")) == ["bob"]
+    assert f(users=["s55"] + [f"nobody{i}" for i in range(2000)]) == ["s55"]
+    assert users(of_user(scored, "s72")) == ["s72"]
 
 
 @pytest.mark.parametrize("bad", [
@@ -56,35 +56,35 @@ def test_pages_cover_the_capped_ranking(scaled_results):
     assert seen == list(range(49, 16, -1))
 
 
-def test_kpis(scaled_results, fake_results):
+def test_kpis(scaled_results, scored):
     df = scaled_results(10)
     row = K.kpi_block(df, df).first()
     scores = [r["risk_score"] for r in df.collect()]
     assert row["median_risk"] == round(statistics.median(scores), 4)
     assert row["std_risk"] == pytest.approx(round(statistics.stdev(scores), 4))
     assert row["high"] + row["medium"] + row["low"] == 10 and row["total"] == 10
-    one = fake_results.filter("user = 'eve'")
-    assert K.kpi_block(one, fake_results).first()["std_risk"] == 0
-    assert K.kpi_block(fake_results.filter("user = 'x'"), fake_results).count() == 0
+    one = scored.filter("user = 's55'")
+    assert K.kpi_block(one, scored).first()["std_risk"] == 0
+    assert K.kpi_block(scored.filter("user = 'x'"), scored).count() == 0
     snap = K.kpi_snapshot(df.withColumn("run_version", F.lit(3)), ["run_version"]).first()
     assert snap["messages"] == 10 and snap["run_version"] == 3
 
 
-def test_summary_and_dims(fake_results):
-    row = K.executive_summary(fake_results).first()
-    assert (row["high_count"], row["top_user"], row["total_messages"]) == (3, "alice", 5)
-    assert row["top_driver"] == "Fear"  # all drivers occur once: first by name
-    dims = R.distinct_dims(fake_results.filter("risk_score > 0.8"), fake_results).collect()
-    assert [tuple(r) for r in dims[:2]] == [("driver", "fear_score"), ("driver", "urgency_score")]
-    assert len(dims) == 7
+def test_summary_and_dims(scored):
+    row = K.executive_summary(scored).first()
+    assert (row["high_count"], row["top_user"], row["total_messages"]) == (3, "s95", 6)
+    assert row["top_driver"] == "Authority"  # all drivers occur once: first by name
+    dims = R.distinct_dims(scored.filter("risk_score > 0.8"), scored).collect()
+    assert [tuple(r) for r in dims[:2]] == [("driver", "authority_score"), ("driver", "urgency_score")]
+    assert len(dims) == 8
 
 
-def test_cards(fake_results):
-    cards = R.top_cards(fake_results.withColumn("contrib_fear_score", F.lit(0.12345)), 2).collect()
-    assert [c["user"] for c in cards] == ["alice", "dave"]
-    assert cards[0]["band_color"] == "#e41a1c" and cards[1]["top_driver"] == "Fear"
+def test_cards(scored):
+    cards = R.top_cards(scored.withColumn("contrib_fear_score", F.lit(0.12345)), 2).collect()
+    assert [c["user"] for c in cards] == ["s95", "s85"]
+    assert cards[0]["band_color"] == "#e41a1c" and cards[1]["top_driver"] == "Authority"
     assert cards[0]["contributions"] == {"Fear": 0.1235}
-    assert R.console_report(fake_results, 0).collect()[0]["risk_score"] == "0.97"
+    assert R.console_report(scored, 0).collect()[0]["risk_score"] == "0.95"
 
 
 def test_hot_user_sends_few_rows(spark):
@@ -119,17 +119,17 @@ def test_quantiles_outside_the_bin_range(spark):
     assert tuple(got) == (-5.0, 0.5, 1e300)
 
 
-def test_charts(fake_results, scaled_results):
+def test_charts(scored, scaled_results):
     df = scaled_results(41)
     assert sum(r["count"] for r in CH.histogram(df).collect()) == 41
     top = CH.histogram(df.withColumn("risk_score", F.lit(1.0))).collect()
     assert {r["bin"] for r in top} == {19}
     area = CH.density(df, bandwidth=0.02).agg(F.sum("density") / 100).first()[0]
     assert area == pytest.approx(1, abs=0.02)
-    share = {r["risk_band"]: r for r in CH.band_share(fake_results.filter("risk_band <> 'Medium'")).collect()}
-    assert share["Medium"]["count"] == 0 and share["High"]["label"] == "High  75.0%"
+    share = {r["risk_band"]: r for r in CH.band_share(scored.filter("risk_band <> 'Medium'")).collect()}
+    assert share["Medium"]["count"] == 0 and share["High"]["label"] == "High  60.0%"
     assert [r["line"] for r in CH.score_lines(df).collect()] == ["median", "Med/Low", "High/Med"]
-    empty = CH.band_share(fake_results.filter("user = 'x'")).collect()
+    empty = CH.band_share(scored.filter("user = 'x'")).collect()
     assert [r["pct"] for r in empty] == [0, 0, 0]
 
 

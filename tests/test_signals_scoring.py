@@ -12,20 +12,16 @@ from tellsign.plans.scoring import build_features, rescore, score_batch, score_f
 from tellsign.sources import embeddings as E
 from tellsign.sources import weights as W
 
-FIVE = [
-    ("alice", "The IT admin asks: verify your credentials now, it is urgent"),
-    ("bob", "Trust me, keep it confidential"),
-    ("carol", "The kitchen is clean again"),
-    ("dave", "Legal action follows, account suspended immediately"),
-    ("eve", "As promised, dear friend: the slides"),
-]
-
-
-def test_five_messages(messages, spark):
-    first = score_batch(messages(*FIVE)).orderBy("msg_id").collect()
-    again = score_batch(messages(*FIVE)).orderBy("msg_id").collect()
-    assert len(first) == 5 and all(0 <= r["risk_score"] <= 1 for r in first)
-    assert max(first, key=lambda r: r["risk_score"])["user"] in {"alice", "dave"}
+#: Two keywords of each family, and two messages with none.
+SAMPLE = [(f"u{i}", f"{words[0]} and {words[1]}: case {i}") for i, words in enumerate(fixed.KEYWORDS.values())] + [
+    (f"quiet{i}", "see you at lunch" + " tomorrow" * i) for i in range(2)]
+
+
+def test_sample(messages, spark):
+    first = score_batch(messages(*SAMPLE)).orderBy("msg_id").collect()
+    again = score_batch(messages(*SAMPLE)).orderBy("msg_id").collect()
+    assert len(first) == len(SAMPLE) and all(0 <= r["risk_score"] <= 1 for r in first)
+    assert min(first, key=lambda r: r["risk_score"])["user"] == "quiet0"
     assert [round(r["risk_score"], 6) for r in first] == [round(r["risk_score"], 6) for r in again]
     for r in first:
         parts = [r[f"contrib_{f}"] for f in fixed.FEATURES]
@@ -132,13 +128,13 @@ def test_weight_report(spark):
 
 
 def test_stored_run_and_rescore(messages, folder):
-    stored = score_and_store(messages(*FIVE), f"{folder}/run")
-    fresh = {r["msg_id"]: r["risk_score"] for r in score_batch(messages(*FIVE)).collect()}
+    stored = score_and_store(messages(*SAMPLE), f"{folder}/run")
+    fresh = {r["msg_id"]: r["risk_score"] for r in score_batch(messages(*SAMPLE)).collect()}
     assert {r["msg_id"]: r["risk_score"] for r in stored.collect()} == fresh
     same = score_features(stored_features(stored)).collect()
     assert {r["msg_id"]: r["risk_score"] for r in same} == fresh
     only = rescore(stored_features(stored), {"fear_score": 2.0}).collect()
-    assert {r["user"]: r["risk_score"] > 0 for r in only}["dave"]
+    assert {r["user"]: r["risk_score"] > 0 for r in only}[f"u{list(fixed.KEYWORDS).index('fear')}"]
     assert {r["top_risk_driver"] for r in only} == {"fear_score"}
 
 

@@ -27,10 +27,10 @@ def pairs(df):
 
 
 def test_clean_fixture(spark, folder):
-    path = put(folder, "m.txt", "alice;hello\nalice;hello\n ;ignored\nbob;  hi there  \n")
-    assert pairs(load(spark, path)) == [("alice", "hello"), ("bob", "hi there")]
+    path = put(folder, "m.txt", "m1;\tfirst text\nm2;second\nm1;first text \n;no user\nno text;\nm2;second\nm2;third\n")
+    assert pairs(load(spark, path)) == [("m1", "first text"), ("m2", "second"), ("m2", "third")]
     keyed = C.with_message_id(FI.read_messages(spark, path))
-    assert keyed.select("msg_id").distinct().count() == 2
+    assert keyed.select("msg_id").distinct().count() == 3
 
 
 def test_empty_and_missing(spark, folder):
@@ -43,9 +43,9 @@ def test_empty_and_missing(spark, folder):
 
 
 def test_encodings_are_chosen_per_file(spark, folder):
-    put(folder, "a.txt", "alice;résumé review urgent\n", "latin-1")
-    put(folder, "b.txt", "bob;naïve €\n")
-    assert pairs(load(spark, folder)) == [("alice", "résumé review urgent"), ("bob", "naïve €")]
+    put(folder, "a.txt", "m1;à côté du café\n", "latin-1")
+    put(folder, "b.txt", "m2;für 5 €\n")
+    assert pairs(load(spark, folder)) == [("m1", "à côté du café"), ("m2", "für 5 €")]
 
 
 def test_quotes_breaks_rejects_and_null_tokens(spark, folder):
@@ -126,29 +126,29 @@ def test_cleaning_report(messages):
     assert none["loaded"] == 0 and none["kept"] == 0
 
 
-def test_exports(spark, folder, fake_results):
+def test_exports(spark, folder, scored):
     now = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
-    rows = fake_results.select("user", "text", "risk_score", "risk_band", "top_risk_driver")
+    rows = scored.select("user", "text", "risk_score", "risk_band", "top_risk_driver")
     X.export_results(rows, f"{folder}/all", now, "weights.json")
     meta = spark.read.json(f"{folder}/all/meta").first()
-    assert (meta["records"], meta["weights"], meta["generated"]) == (5, "weights.json", "2024-01-01T12:00:00Z")
+    assert (meta["records"], meta["weights"], meta["generated"]) == (6, "weights.json", "2024-01-01T12:00:00Z")
     back = X.read_export(spark, f"{folder}/all/data", rows.schema.simpleString()[7:-1].replace(":", " "))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     X.export_filtered(rows, ResultFilter(min_risk=0.5), f"{folder}/some", now)
     meta = spark.read.json(f"{folder}/some/meta").first()
-    assert (meta["records"], meta["total"], meta["min_risk"]) == (3, 5, 0.5)
+    assert (meta["records"], meta["total"], meta["min_risk"]) == (4, 6, 0.5)
     X.export_users(rows, f"{folder}/users")
     users = X.read_export(spark, f"{folder}/users", "user string, avg_risk double, max_risk double, messages long")
-    assert users.count() == 5
+    assert users.count() == 6
 
 
-def test_snapshots(spark, folder, fake_results):
+def test_snapshots(spark, folder, scored):
     root = f"{folder}/queue"
     assert store.read_snapshot(spark, root) is None
     now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    assert store.write_snapshot(TR.sync(TR.empty_queue(spark), fake_results, now), root) == 1
+    assert store.write_snapshot(TR.sync(TR.empty_queue(spark), scored, now), root) == 1
     queue = store.read_snapshot(spark, root)
-    assert store.write_snapshot(TR.delete_items(queue, queue.filter("user = 'bob'")), root) == 2
+    assert store.write_snapshot(TR.delete_items(queue, queue.filter("user = 's72'")), root) == 2
     assert store.read_snapshot(spark, root).count() == 2
     assert store.read_snapshot(spark, root, 1).count() == 3
     os.makedirs(f"{root}/version=3")  # a write that never finished
