@@ -34,7 +34,8 @@ SHARD_SLOTS = 4096
 CHUNK_ROWS = 50_000
 PERMUTE_ROUNDS = 16
 LEAST_CELLS = 1024
-LEAST_BLOCK, MOST_BLOCK, BLOCKS_EACH = 16, 2048, 2000
+#: Words of a block, whatever the size of the input; a source misses its target by about half a block.
+BLOCK = 64
 SEED = 20240611
 
 
@@ -143,13 +144,13 @@ def settled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
 class Mix:
     """Tables of one mix: ``sources``, ``line`` (documents on the lines of their sources) and ``slots``."""
 
-    def __init__(self, rows: DataFrame, repeats: int = REPEATS, shard_slots: int = SHARD_SLOTS):
+    def __init__(self, rows: DataFrame, repeats: int = REPEATS, shard_slots: int = SHARD_SLOTS, block: int = BLOCK):
         """``rows``: ``key, source, size``."""
         rows = stored(rows.select("key", "source", F.col("size").cast("long").alias("size")), "sizes")
         sources = stored(targets(rows, repeats), "sources")
-        n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        n = rows.count()
         n_sources = sources.count()
-        self.block = min(max(words // (BLOCKS_EACH * max(n_sources, 1)), LEAST_BLOCK), MOST_BLOCK)
+        self.block = block
         blocks = F.ceil(F.col("source_size") / self.block)
         quota = F.when(F.col("source_size") > 0, F.least(
             F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * repeats)).otherwise(0)

@@ -74,7 +74,7 @@ def test_mix(documents):
             i += 1
     df = documents(rows)
     key = [F.col("doc_id").alias("key"), "source", mixing.word_count(F.col("text")).alias("size")]
-    mix = mixing.Mix(df.select(*key), shard_slots=256)
+    mix = mixing.Mix(df.select(*key), shard_slots=256, block=16)
     got = {r.key: r for r in mix.taken().collect()}
     words, sizes, taken = {r[0]: len(r[1].split()) for r in rows}, Counter(), Counter()
     for d, _, _, source, _ in rows:
@@ -89,10 +89,24 @@ def test_mix(documents):
         assert abs(taken[source] - want[source]) <= mix.block + 1
     drawn = Counter((r.shard, r.sid) for r in mix.slots.collect())
     assert len({s for s, _ in drawn}) > 1
-    again = {r.key: r.taken for r in mixing.Mix(df.select(*key), shard_slots=256).taken().collect()}
+    again = {r.key: r.taken for r in mixing.Mix(df.select(*key), shard_slots=256, block=16).taken().collect()}
     assert again == {d: r.taken for d, r in got.items()}
 
 
+def test_blocks_do_not_depend_on_the_input(documents):
+    """One block length for all sizes: every source is within a block of its target, small inputs and large blocks too."""
+    rows = [(i, prose(i, 50 + i % 90), "en", "ab"[i % 3 == 0], 0) for i in range(400)]
+    key = [F.col("doc_id").alias("key"), "source", mixing.word_count(F.col("text")).alias("size")]
+    for n, block in ((400, mixing.BLOCK), (40, mixing.BLOCK), (400, 2048)):
+        mix = mixing.Mix(documents(rows[:n]).select(*key), block=block)
+        assert mix.block == block
+        taken, want = Counter(), {}
+        for r in mix.taken().collect():
+            taken[rows[r.key][3]] += r.taken
+            want[rows[r.key][3]] = r.target
+        assert all(abs(taken[s] - want[s]) <= block + 1 for s in want)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).collect()
