@@ -33,11 +33,17 @@ _SHINGLES = """
   SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g
   FROM {name}_words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0)"""
 
+# An item of fewer than five words is one run, which a document may hold anywhere.
 _CONTAINMENT = "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + "," + _SHINGLES.format(
     name="b", key="item_id", table="benchmark") + """,
+d_runs AS (
+  SELECT DISTINCT id, w[i:i + k - 1] AS g
+  FROM d_words, (SELECT DISTINCT len(w) AS k FROM b_words WHERE len(w) BETWEEN 1 AND 4),
+    LATERAL (SELECT unnest(range(1, greatest(len(w) - k, 0) + 2)) AS i) WHERE len(w) >= k),
+held AS (SELECT * FROM d_shingles UNION SELECT * FROM d_runs),
 sizes AS (SELECT id, count(*) AS n FROM b_shingles GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, n AS item_shingles, count(*) AS shared, count(*) / n AS containment
-FROM b_shingles b JOIN d_shingles d USING (g) JOIN sizes s ON s.id = b.id
+FROM b_shingles b JOIN held d USING (g) JOIN sizes s ON s.id = b.id
 GROUP BY d.id, b.id, n HAVING count(*) >= 0.8 * n"""
 
 _GROUPS = "WITH RECURSIVE " + _SHINGLES.format(name="d", key="doc_id", table="documents") + """,

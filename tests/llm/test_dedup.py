@@ -114,3 +114,23 @@ def test_items_in_odd_tables(odd, clashing, documents, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(odd, none).count() == 0
     assert decontaminate.find_items(documents([]), bench).count() == 0
+
+
+def test_short_items_and_the_twin(documents, spark):
+    """Items of one to four words are found inside longer texts; the SQL twin finds the same."""
+    import duckdb
+    from tellsign.llm.queries import ORACLES
+
+    docs = [(10, "x y Three word ITEM z and more of it", "en", "a", 0), (11, "three word item", "en", "a", 0), (12, "one", "en", "a", 0),
+            (13, prose(3, 40) + " one " + prose(4, 20), "en", "a", 0), (14, "word item three", "en", "a", 0), (15, None, "en", "a", 0),
+            (16, prose(9, 30), "en", "a", 0)]
+    items = [(1, "three word item"), (2, "one"), (3, prose(4, 12)), (4, ""), (5, prose(9, 30)), (6, "four words are here")]
+    got = {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in decontaminate.find_items(
+        documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in docs])
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    twin = {tuple(r[:4]) for r in con.execute(ORACLES["op2_benchmark_containment"]).fetchall()}
+    assert got == twin and {(10, 1), (11, 1), (12, 2), (13, 2), (13, 3), (16, 5)} == {r[:2] for r in got}
