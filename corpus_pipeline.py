@@ -1,4 +1,9 @@
-"""From raw documents to training shards: each stage works on what the one before kept."""
+"""From raw documents to training shards: each stage works on what the one before kept.
+
+All stages but the last keep the columns of their input, whatever they are named.  Null and empty texts and rows
+without id pass: quality scores an empty text like any other, near duplicates and benchmark items need words.  ``mix`` gives no rows
+for documents without words, and a document up to three times, so ids may repeat after it.  An empty table gives empty results.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -9,18 +14,18 @@ from tellsign.llm import common, decontaminate, minhash, mixing, quality, shards
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; rows of one id and text share their fate."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest id; documents without words are no one's duplicate."""
     return minhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; items without words are in none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
