@@ -121,9 +121,8 @@ def triage_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-            .parquet(sf_dir))
-    return plant(docs)
+    # A stream takes a folder or a pattern, no single file; the pattern stands for the table in either form.
+    return plant(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"))
 
 
 def _bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:

@@ -167,3 +167,23 @@ def test_snapshots_expire(spark, folder):
     store.remove(spark, f"{folder}/s/version=2/_SUCCESS")
     assert store.expire_snapshots(spark, f"{folder}/s", keep=2) == [3, 4]
     assert store.numbers(spark, f"{folder}/s", "version") == [3, 4] and store.write_snapshot(df, f"{folder}/s") == 5
+
+
+@pytest.fixture
+def split_tables(spark, folder):
+    """Tables whose documents are a folder of several files."""
+    words = "urgent: account suspended, act now"
+    docs = [(i, f"{words} {i // 2 if i < 4 else i}", "en", f"src{i % 2}", 40) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.parquet(
+        f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, DAY + dt.timedelta(hours=i)) for i in range(40)], "event_id long, ts timestamp").coalesce(1).write.parquet(
+        f"{folder}/events.parquet")
+    spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(
+        f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_dedup_reads_documents_that_are_a_folder(spark, split_tables):
+    from tellsign.plans import queries_io
+
+    assert queries_io.stream_dedup(spark, split_tables).count() == 40
