@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tellsign import fixed
 from tellsign.functions import bitmap
+from tellsign.session import written
 
 TOKEN = r"[a-z\p{L}\p{N}_']++"
 MAX_LEXICON = 20_000
 PER_BUCKET = 4
+#: Words of a lexicon table that are broadcast, and of one part of it.
+MOST_WORDS, PART_WORDS = 8_000_000, 1_000_000
 
 
 def tokens(lowered_text: Column) -> Column:
@@ -82,32 +85,39 @@ def valence_sums(
 ) -> DataFrame:
     """``msg_id, valence`` by a lexicon table (``word, valence``) of any size.
 
-    The same rule as ``valence_sum``, with the lookup as a join on the word.  Only words that the table may hold, by a
-    bitmap of bounded size, leave their message.  Each takes its
-    booster and negation along, and equal ones of a message are counted before the join.  A word that
+    The same rule as ``valence_sum``, with the lookup as a join on the word.  A lexicon of up to ``MOST_WORDS`` is
+    broadcast in parts of ``PART_WORDS``, so the words are looked up where they are and one sum for each message is moved.
+    Beyond that words are joined by a shuffle: those that the table may hold, by a bitmap of bounded size, each with its
+    booster and negation, and equal ones of a message counted before the join.  A word that
     the table repeats counts with its greatest valence; messages without a lexicon word have no row.
     """
     boosters = fixed.SENTIMENT_BOOSTERS if boosters is None else boosters
     boost = _dictionary(boosters) if boosters else (lambda word: F.lit(None).cast("double"))
     negator_list = F.array(*[F.lit(n) for n in negators])
-    words = F.col("words")
+    words, i = F.col("words"), F.col("at")
+    back = F.slice(words, F.greatest(i - (fixed.SENTIMENT_LOOKBACK - 1), F.lit(1)), F.least(i, F.lit(fixed.SENTIMENT_LOOKBACK)))
+    context = {"step": F.coalesce(boost(F.get(words, i - 1)), F.lit(0.0)), "negated": F.arrays_overlap(back, negator_list)}
 
-    def in_context(word: Column, i: Column) -> Column:
-        back = F.slice(words, F.greatest(i - (fixed.SENTIMENT_LOOKBACK - 1), F.lit(1)),
-                       F.least(i, F.lit(fixed.SENTIMENT_LOOKBACK)))
-        return F.struct(
-            word.alias("word"), F.coalesce(boost(F.get(words, i - 1)), F.lit(0.0)).alias("step"),
-            F.arrays_overlap(back, negator_list).alias("negated"))
-
-    known = lexicon.groupBy("word").agg(F.max("valence").cast("double").alias("v"))
-    bits = bitmap.build(lexicon.where(F.col("word").isNotNull()).select(F.xxhash64("word").alias("key")))
-    held = F.array_compact(F.transform(words, lambda w, i: F.when(bitmap.may_hold(bits, F.xxhash64(w)), in_context(w, i))))
+    known = written(lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.max("valence").cast("double").alias("v")), "lexicon")
+    n = known.count()
+    # outer: else Spark tests the array's size first, below the projections, and repeats the text work for it
     seen = messages.select("msg_id", tokens(F.lower("text")).alias("words")).select(
-        "msg_id", F.inline_outer(held)).where(F.col("word").isNotNull()).groupBy(
-        "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n"))
+        "*", F.posexplode_outer("words").alias("at", "word")).where(F.col("word").isNotNull())
+    if n <= MOST_WORDS:
+        parts = max(1, -(-n // PART_WORDS))
+        part = F.pmod(F.xxhash64("word"), F.lit(parts))
+        for k in range(parts):
+            own = known.where(part == k).withColumnRenamed("v", f"v{k}").withColumn(f"in{k}", F.lit(True))
+            seen = seen.join(F.broadcast(own), "word", "left")
+        seen = seen.where(F.coalesce(*[f"in{k}" for k in range(parts)])).withColumn(
+            "v", F.coalesce(*[f"v{k}" for k in range(parts)])).withColumns(context).withColumn("n", F.lit(1))
+    else:
+        bits = bitmap.build(known.select(F.xxhash64("word").alias("key")))
+        seen = seen.where(bitmap.may_hold(bits, F.xxhash64("word"))).withColumns(context).groupBy(
+            "msg_id", "word", "step", "negated").agg(F.count(F.lit(1)).alias("n")).join(known, "word")
     value = F.col("v") + F.signum("v") * F.col("step")
     turned = F.when(F.col("negated"), value * F.lit(fixed.SENTIMENT_NEGATION_FACTOR)).otherwise(value)
-    return seen.join(known, "word").groupBy("msg_id").agg(F.sum(turned * F.col("n")).alias("valence"))
+    return seen.groupBy("msg_id").agg(F.sum(turned * F.col("n")).alias("valence"))
 
 
 def compound(total: Column) -> Column:

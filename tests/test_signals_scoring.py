@@ -164,3 +164,28 @@ def test_sentiment_table_equals_literal(spark, messages):
         {r["user"]: r["sentiment"] for r in SG.sentiment_columns(rows, lexicon).collect()} for lexicon in (None, table))
     assert joined.keys() == plain.keys() and all(abs(joined[u] - plain[u]) < 1e-12 for u in plain)
     assert plain["b"] == 0 and plain["a"] != 0
+
+
+def test_sentiment_table_moves_sums_and_no_words(spark, messages, monkeypatch):
+    """Whatever Spark guesses of the lexicon's size; in parts and by the shuffle for larger ones the sums are the same."""
+    from tellsign.functions import sentiment as S
+
+    rows = messages(("a", "very good plan, not good at all"), ("b", "bad bad plan"), ("c", "even so"))
+    lexicon = spark.createDataFrame([("good", 2.0), ("good", 1.0), ("bad", -1.5), ("plan", 0.0), (None, 3.0), ("nil", None)], "word string, valence double")
+
+    def sums():
+        return {r.msg_id: round(r.valence, 9) for r in S.valence_sums(rows, lexicon).collect()}
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.valence_sums(rows, lexicon)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    expect = sums()
+    assert set(expect) == {0, 1} and expect[1] == -3.0
+    monkeypatch.setattr(S, "PART_WORDS", 2)
+    assert sums() == expect
+    monkeypatch.setattr(S, "MOST_WORDS", 0)
+    assert sums() == expect
