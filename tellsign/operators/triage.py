@@ -139,8 +139,8 @@ def bulk_counts(state: DataFrame, commands: DataFrame) -> DataFrame:
 
     An item counts as updated where the command changed something, against what the commands before it left.
     """
-    flat = explode_bulk(commands)
-    made, _ = changes(state, flat)
+    flat = written(_normalised(explode_bulk(commands)), "bulk-commands")
+    made, _ = changes(state, flat, normalised=True)
     updated = made.select("cmd_id", "item_id", "pos").distinct().groupBy("cmd_id").agg(
         F.count(F.lit(1)).alias("updated"))
     known = state.select(F.col("id").alias("item_id"), F.lit(1).alias("known"))
@@ -173,24 +173,30 @@ def _segmented(rows: DataFrame, segment_rows: int) -> DataFrame:
     """``rows`` with ``segment``, cut by item and order into ranges of about ``segment_rows``, as a written table.
 
     Sampled bounds cut wherever the rows are dense, so the commands of one item, even of one time, are as many ranges as
-    they need.  The table is written because a second run could draw other bounds.
+    they need.  The table is written because a second run could draw other bounds; the rows are written before, because
+    they are counted, sampled and cut.
     """
+    rows = written(rows, "commands")
     parts = max(1, -(-rows.count() // segment_rows))
     return written(rows.repartitionByRange(parts, "item_id", *ORDER).withColumn("segment", F.spark_partition_id()), "segments")
 
 
-def changes(state: DataFrame, commands: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
+def changes(
+    state: DataFrame, commands: DataFrame, segment_rows: int = SEGMENT_ROWS, normalised: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """What each valid command really changed, and the last values per item and segment.
 
     A status or assignee counts as changed against the value before it.  The last value that is not null is
     associative, so an item's commands are cut into segments (``_segmented``), each is summed up to its last
     values, and the carry over the earlier segments is joined back.  A command takes the value before it
     from its own segment, else the carry, else the queue.  No item is gathered as a whole.
+    ``normalised`` commands have gone through ``_normalised`` already.
     """
     known = state.select(
         F.col("id").alias("item_id"), F.col("status").alias("q_status"),
         F.coalesce("assignee", F.lit("")).alias("q_assignee"))
-    rows = _segmented(_normalised(commands).join(known, "item_id"), segment_rows)
+    rows = commands if normalised else _normalised(commands)
+    rows = _segmented(rows.join(known, "item_id"), segment_rows)
 
     def last_of(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), _order()))

@@ -213,16 +213,17 @@ def bulk_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as bulk requests: each customer number stands for up to three messages."""
     ids = results(spark, sf_dir).select(
         "msg_id", T.TF.message_id(F.col("user"), F.col("text")).alias("found"))
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey",
-        F.explode(F.array(*[F.col("o_custkey") + i for i in range(3)])).alias("m"))
-    named = orders.join(ids, F.col("m") == F.col("msg_id"), "left").select(
-        "o_orderkey", "o_custkey",
-        F.coalesce("found", F.concat(F.lit("unknown-"), F.col("m"))).alias("item_id"), "m")
-    # Three ids per order: a bounded list.
-    return named.groupBy("o_orderkey", "o_custkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("m", "item_id"))), lambda x: x["item_id"])
-        .alias("item_ids")
+    # One row for each order; rows that repeat it repeat its ids.
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    asked = orders.select("o_custkey").distinct().select(
+        "o_custkey", F.explode(F.array(*[F.col("o_custkey") + i for i in range(3)])).alias("m"))
+    named = asked.join(ids, F.col("m") == F.col("msg_id"), "left").select(
+        "o_custkey", "m", F.coalesce("found", F.concat(F.lit("unknown-"), F.col("m"))).alias("item_id"))
+    # Three ids per customer: a bounded list.
+    lists = named.groupBy(F.col("o_custkey").alias("customer")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("m", "item_id"))), lambda x: x["item_id"]).alias("ids"))
+    return orders.join(lists, F.col("o_custkey").eqNullSafe(F.col("customer"))).withColumn(
+        "item_ids", F.flatten(F.transform("ids", lambda x: F.array_repeat(x, F.col("times"))))
     ).select(
         F.col("o_orderkey").alias("cmd_id"), "item_ids", at(THIRD_RUN).alias("cmd_ts"),
         F.when(F.col("o_custkey") % 2 == 0, F.lit("mitigated")).alias("status"),
