@@ -11,7 +11,7 @@ from tellsign.operators import evidence as EV
 from tellsign.operators import phrases as P
 from tellsign.operators.clean import valid_messages
 from tellsign.plans.jobs import score_and_store, stored_features
-from tellsign.plans.scoring import build_features, rescore, score_batch
+from tellsign.plans.scoring import build_features, rescore, row_signals, score_batch
 from tellsign.sources import lexicons as L
 
 W = r"[\p{L}\p{N}_]"
@@ -128,3 +128,58 @@ def test_texts_are_not_shuffled_for_the_table(spark, messages):
     above = plan[:plan.index("Generate")]
     assert "text" not in above and "words" not in above.replace("words#", "")
     assert T.WORD in plan and F is not None
+
+
+def test_a_table_too_large_to_broadcast_gives_the_same_places(spark, messages, monkeypatch):
+    """Runs are tested by the broadcast bitmap before they are joined; all kinds of gaps and lengths."""
+    rows = messages(("a", "act now, act  now; Act\tnow act-now"), ("b", "please act now or never act"), ("c", "nothing"), ("d", "İct now"))
+    phrases = spark.createDataFrame(
+        [(1, "f", "regex", "act now"), (2, "f", "keyword", "act now"), (3, "g", "regex", "act"), (4, "g", "keyword", "act now or never")],
+        "ord long, family string, kind string, phrase string")
+
+    def found():
+        return sorted(tuple(r) for r in P.spans(rows, phrases).collect())
+
+    expect = found()
+    assert [r[5] for r in expect if r[0] == 0 and r[2] == "regex" and r[4] == "act now"] == [0, 2, 4]
+    assert [r[5] for r in expect if r[0] == 0 and r[2] == "keyword"] == [0]
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    assert found() == expect
+
+
+def test_bitmap_grows_with_its_keys(spark):
+    """A fixed bitmap of 2**21 bits lets a fifth of the strange keys pass here."""
+
+    def numbers(start, end):
+        return spark.range(start, end).select(F.xxhash64("id").alias("key"))
+
+    keys, n = numbers(0, 500_000), 500_000
+    assert bitmap.kept(numbers(0, n), F.col("key"), keys, n).count() == n
+    assert bitmap.kept(numbers(n, 2 * n), F.col("key"), keys, n).count() < 0.08 * n
+
+
+def test_evidence_joins_a_table_of_moderate_size_where_the_texts_are(spark, messages):
+    """By the number of phrases, not by Spark's estimate of their bytes."""
+    phrases = spark.createDataFrame([(1, "f", "regex", "act")], "ord long, family string, kind string, phrase string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = P.evidence(messages(("a", "act now"), ("b", "act and act")), phrases)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in df.select("msg_id", "hits").collect()) == [(0, 1), (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scoring_works_out_the_phrase_table_once(spark, messages):
+    """The table is a plan that may be costly; families and hits read what was written of it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def phrase(i):
+        calls.add(1)
+        return "act now"
+
+    source = spark.range(1).select(F.col("id").alias("ord"), F.lit("f").alias("family"), F.lit("regex").alias("kind"),
+                                   F.udf(phrase, "string").asNondeterministic()("id").alias("phrase"))
+    assert row_signals(messages(("a", "act now")), phrases=source).first()["f_score"] == 1.0
+    assert calls.value == 1
