@@ -1,5 +1,6 @@
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,12 @@ def test_sentiment_table_moves_sums_and_no_words(spark, messages, monkeypatch):
     assert sums() == expect
     monkeypatch.setattr(S, "MOST_WORDS", 0)
     assert sums() == expect
+
+
+def test_unit_vector_takes_the_norm_once(spark):
+    """With the norm worked out for each component this takes minutes."""
+    start = time.monotonic()
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("double")).alias("v")).select(
+        SG.unit_vector(F.col("v")).alias("u")).first()
+    assert row.u[0] == 1 / math.sqrt(sum(float(x) * x for x in range(1, 20_001)))
+    assert time.monotonic() - start < 30
