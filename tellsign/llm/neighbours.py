@@ -11,9 +11,13 @@ How many buckets a query probes is fitted: for at most ``SAMPLE`` queries (those
 the true neighbours are found by a scan of all rows, and the least number of probes that finds
 ``RECALL`` of them is taken.  A query that found too few rows is searched through all buckets.
 
-Work is dealt by (table, bucket) and, within it, by chunks of at most about ``CHUNK`` rows and ``QUERIES``
-queries, so a hot bucket becomes many tasks; the counts that decide on chunks are a table of
-fixed size.  Each block gives only its best ``k`` rows of each query.
+Vectors stay where they are stored: no row is written again for a table, nor a query for a probe.  The queries are
+broadcast, at most ``ASKED_BYTES`` of them at a time, each with the limit of what it probes in each table.  A task takes its
+rows in blocks of ``BLOCK_BYTES``, sorts the places of a block by bucket, and multiplies the rows of a bucket (of the first hash of
+a pair) with the queries that reach it; what is better than the best ``k`` that the task has found for the query so far is tested
+against the limit and scored.  A hot bucket is as many pieces as there are blocks.  A task gives the best ``k`` of each query
+as one row, and only these are shuffled.  Of equal vectors of a block only the least ``k + 1`` ids are searched, as the others
+come after them for every query.
 
 Nulls and ties: vectors that are null, zero or hold a null or non-finite component take no part,
 nor does a row without an id or of another length than most.  An id counts once in a result, with
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,14 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellsign.llm.common import stored
+from tellsign.session import estimated_bytes
 
 K = 20
 TABLES = 4
 ROUNDS = 3
 SAMPLE = 64
 RECALL = 0.95
-CHUNK = 4096
+BLOCK_BYTES = 1 << 25
+ASKED_BYTES = 1 << 26
 QUERIES = 1024
+PAIRS = 1 << 18
+TASK_BYTES = 1 << 27
 BUCKET_ROWS = 1000
 FOUND = "query_id long, vec_id long, score double"
 
@@ -90,14 +99,28 @@ class CrossPolytope:
             code = code * 2 * self.dim + self.axes(unit, table, number).argmax(axis=1)
         return code
 
+    def gaps(self, unit: np.ndarray, table: int) -> list[np.ndarray]:
+        """How far each query is from each signed axis, for each hash of a table."""
+        near = [self.axes(unit, table, number) for number in range(self.hashes)]
+        return [(n.max(axis=1, keepdims=True) - n) ** 2 for n in near]
+
     def distance(self, x: np.ndarray, table: int) -> np.ndarray:
         """For one query, how far each bucket of a table is; the nearest is probed first."""
-        unit, out = self.unit(x[None, :], True), np.zeros(1)
-        for number in range(self.hashes):
-            near = self.axes(unit, table, number)[0]
-            out = (out[:, None] + ((near.max() - near) ** 2)[None, :]).ravel()
+        out = np.zeros(1)
+        for gap in self.gaps(self.unit(x[None, :], True), table):
+            out = (out[:, None] + gap[0][None, :]).ravel()
         return out
 
+    def limits(self, x: np.ndarray, probes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and code of the last bucket that each query probes in each table; equal distances go by code."""
+        far, last = np.empty((len(x), tables)), np.empty((len(x), tables), dtype=np.int64)
+        for i, t in np.ndindex(far.shape):
+            away = self.distance(x[i], t)
+            most = min(probes, len(away))
+            far[i, t] = limit = np.partition(away, most - 1)[most - 1]
+            last[i, t] = np.flatnonzero(away == limit)[most - 1 - np.count_nonzero(away < limit)]
+        return far, last
+
 
 def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of paired rows in double precision, summed in the order of the components."""
@@ -172,47 +195,165 @@ def fit_probes(rows: DataFrame, is_query: str, index: CrossPolytope, k: int, rec
     return int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)])
 
 
-def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: int, tables: int, k: int) -> DataFrame:
-    """The best ``k`` of each block that a query meets."""
-    def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@dataclass
+class Asked:
+    """Queries of one broadcast, with what they probe."""
+    ids: np.ndarray
+    vectors: np.ndarray
+    far: np.ndarray
+    last: np.ndarray
+
+
+def _exact_pairs(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, r: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 20) // rows.shape[1])
+    parts = [exact(queries[q[i:i + step]], rows[r[i:i + step]]) for i in range(0, len(q), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+class Best:
+    """The best ``k`` rows of each query that a task has found so far."""
+
+    def __init__(self, asked: Asked, longest: float, k: int):
+        self.asked, self.k = asked, k
+        self.ids = np.full((len(asked.ids), k), -1, dtype=np.int64)
+        self.scores = np.full((len(asked.ids), k), -np.inf)
+        #: what products may be off by
+        self.slack = 1e-9 * np.linalg.norm(asked.vectors, axis=1) * longest
+        self.bound = np.full(len(asked.ids), -np.inf)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Pairs of a query (its place) and a row; a pair may come again."""
+        some = np.unique(q)
+        has, place = np.nonzero(self.scores[some] > -np.inf)
+        q = np.concatenate([q, some[has]])
+        ids = np.concatenate([ids, self.ids[some[has], place]])
+        scores = np.concatenate([scores, self.scores[some[has], place]])
+        order = np.lexsort((-scores, ids, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+        q, ids, scores = q[new], ids[new], scores[new]
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        heads = np.searchsorted(q, some)
+        rank = np.arange(len(q)) - heads[np.searchsorted(some, q)]
+        q, ids, scores, rank = (v[rank < self.k] for v in (q, ids, scores, rank))
+        self.scores[some] = -np.inf
+        self.ids[q, rank], self.scores[q, rank] = ids, scores
+        self.bound[some] = self.scores[some, -1] - self.slack[some]
+
+    def packed(self) -> Iterator[pd.DataFrame]:
+        n = (self.scores > -np.inf).sum(axis=1)
+        for start in range(0, len(n), QUERIES):
+            own = [i for i in range(start, min(start + QUERIES, len(n))) if n[i]]
+            if own:
+                yield pd.DataFrame({"query_id": self.asked.ids[own], "ids": [self.ids[i, :n[i]] for i in own],
+                                    "scores": [self.scores[i, :n[i]] for i in own]})
+
+
+def _blocks(frames: Iterator[pd.DataFrame], length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of blocks of rows; of equal vectors those of the least ``k + 1`` ids."""
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+        same = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+        order = np.lexsort((ids, same))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(same[order]).astype(bool) | np.diff(ids[order]).astype(bool)
+        order = order[new]
+        heads = np.searchsorted(same[order], same[order])
+        kept = np.sort(order[np.arange(len(order)) - heads <= k])
+        return ids[kept], x[kept]
+
+    most, parts = max(1, BLOCK_BYTES // (8 * length)), []
+    for f in frames:
+        for start in range(0, len(f), most):
+            piece = f.iloc[start:start + most]
+            parts.append((piece["vec_id"].to_numpy(), _matrix(piece["embedding"])))
+            if sum(len(i) for i, _ in parts) >= most:
+                yield block()
+                parts = []
+    if parts:
+        yield block()
+
+
+def _meet(best_: Best, ids: np.ndarray, x: np.ndarray, index: CrossPolytope) -> None:
+    """Search a block of rows for all queries."""
+    asked, width, pairs, held = best_.asked, 2 * index.dim, [], 0
+
+    def flush() -> None:
+        nonlocal pairs, held
+        if pairs:
+            q, r = (np.concatenate(v) for v in zip(*pairs))
+            best_.add(q, ids[r], _exact_pairs(asked.vectors, q, x, r))
+        pairs, held = [], 0
+
+    tables = []
+    for t in range(asked.far.shape[1]):
+        code = index.bucket(x, t)
+        first = code // width ** (index.hashes - 1)
+        order = np.argsort(first, kind="stable")
+        buckets, heads = np.unique(first[order], return_index=True)
+        tables.append((code, list(zip(buckets, np.split(order, heads[1:])))))
+    for start in range(0, len(asked.ids), QUERIES):
+        chunk = slice(start, min(start + QUERIES, len(asked.ids)))
+        unit = index.unit(asked.vectors[chunk], True)
+        for t, (code, buckets) in enumerate(tables):
+            gaps, far, last = index.gaps(unit, t), asked.far[chunk, t], asked.last[chunk, t]
+            reached = np.ascontiguousarray((gaps[0] <= far[:, None]).T)
+            for bucket, rows in buckets:
+                own = np.flatnonzero(reached[bucket])
+                if not len(own):
+                    continue
+                near = asked.vectors[start + own] @ x[rows].T
+                q, r = np.nonzero(near >= best_.bound[start + own][:, None])
+                q, r = own[q], rows[r]
+                away = np.zeros(len(q))
+                for number, gap in enumerate(gaps):
+                    away = away + gap[q, code[r] // width ** (index.hashes - 1 - number) % width]
+                probed = (away < far[q]) | ((away == far[q]) & (code[r] <= last[q]))
+                probed &= asked.ids[start + q] != ids[r]
+                if probed.any():
+                    pairs.append((start + q[probed], r[probed]))
+                    held += len(pairs[-1][0])
+                    if held >= PAIRS:
+                        flush()
+        flush()
+
+
+def _asked(queries: DataFrame, index: CrossPolytope, probes: int, tables: int) -> Asked:
+    def limited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                x = _matrix(f["embedding"])
-                codes = np.stack([t * index.buckets + index.bucket(x, t) for t in range(tables)], axis=1)
-                yield f.assign(codes=list(codes))
+                far, last = index.limits(_matrix(f["embedding"]), probes, tables)
+                yield f.assign(far=list(far), last=list(last))
 
-    def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                codes = []
-                for x in _matrix(f["embedding"]):
-                    codes.append(np.concatenate([
-                        t * index.buckets + np.argsort(index.distance(x, t), kind="stable")[:probes]
-                        for t in range(tables)]))
-                yield f.assign(codes=codes)
-
-    shape = "vec_id long, embedding array<double>, codes array<long>"
-    own = rows.mapInPandas(indexed, shape).select("vec_id", "embedding", F.explode("codes").alias("code"))
-    asked = queries.mapInPandas(probing, shape).select("vec_id", "embedding", F.explode("codes").alias("code"))
-    own, asked = stored(own, "index"), stored(asked, "probes")
-    parts = own.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("row_parts"))
-    asking = asked.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("query_parts"))
-    sizes = parts.join(asking, "code")
-
-    def dealt(df: DataFrame, here: str, there: str) -> DataFrame:
-        return df.join(sizes, "code").select(
-            "code", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col(f"{here}_parts")).alias(here),
-            F.explode(F.sequence(F.lit(0), F.col(f"{there}_parts") - 1)).alias(there))
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(right["vec_id"].to_numpy(), _matrix(right["embedding"]),
-                    left["vec_id"].to_numpy(), _matrix(left["embedding"]), k)
-
-    keys = ["code", "row", "query"]
-    return dealt(own, "row", "query").groupBy(*keys).cogroup(
-        dealt(asked, "query", "row").groupBy(*keys)).applyInPandas(block, FOUND)
+    found = queries.mapInPandas(limited, "vec_id long, embedding array<double>, far array<double>, last array<long>").toArrow()
+    flat = lambda c, n: found[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
+    return Asked(found["vec_id"].to_numpy(), flat("embedding", index.length), flat("far", tables), flat("last", tables))
+
+
+def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: int, tables: int, k: int) -> DataFrame:
+    """The best ``k`` rows of each query among those that it probes, stored."""
+    groups = max(1, -(-queries.count() * index.length * 8 // ASKED_BYTES))
+    context, tops = rows.sparkSession.sparkContext, []
+    for group in range(groups):
+        shared = context.broadcast(_asked(
+            queries.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)) == group), index, probes, tables))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            best_ = Best(shared.value, index.norm, k)
+            for ids, x in _blocks(frames, index.length, k):
+                _meet(best_, ids, x, index)
+            yield from best_.packed()
+
+        found = rows.mapInPandas(run, "query_id long, ids array<long>, scores array<double>").repartition("query_id")
+        pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("pair")).select(
+            "query_id", F.col("pair.ids").alias("vec_id"), F.col("pair.scores").alias("score"))
+        tops.append(stored(_top(pairs, k), "nearest"))
+        shared.destroy()
+    if len(tops) == 1:
+        return tops[0]
+    return stored(_top(reduce(DataFrame.unionByName, tops).drop("rank"), k), "nearest")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -227,20 +368,23 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K, r
     common_length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common_length is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = stored(rows.where(F.size("embedding") == common_length["n"]).select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+    rows = rows.where(F.size("embedding") == common_length["n"])
+    cores, size = rows.sparkSession.sparkContext.defaultParallelism, estimated_bytes(rows)
+    if size is not None:
+        rows = rows.repartition(max(cores, size // TASK_BYTES))  # else a table of few files would be the work of few tasks
+    rows = stored(rows, "vectors").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
     n, ids, longest = rows.agg(F.count(F.lit(1)), F.count_distinct("vec_id"), F.max(norm)).first()
     hashes = 1 if n <= BUCKET_ROWS * 4 << common_length["n"].bit_length() else 2
     index = CrossPolytope(common_length["n"], longest, hashes)
     probes = fit_probes(rows, is_query, index, k, recall)
-    queries = rows.where(is_query)
-    top = stored(_top(_search(rows, queries, index, probes, TABLES, k), k), "nearest")
+    queries = stored(rows.where(is_query).distinct(), "queries")
+    top = _search(rows, queries, index, probes, TABLES, k)
     enough = top.groupBy("query_id").count().where(F.col("count") >= min(k, ids - 1))
     short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti")
     if ids < 2 or short.isEmpty():
         return top
-    rest = _top(_search(rows, short, CrossPolytope(index.length, longest, 1), 2 * index.dim, 1, k), k)
+    rest = _search(rows, short, CrossPolytope(index.length, longest, 1), 2 * index.dim, 1, k)
     return top.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
 
 

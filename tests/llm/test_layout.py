@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from llm_cases import odd_rows, prose
 from pyspark.sql import functions as F
 from tellsign.llm import mixing, neighbours, shards
@@ -44,6 +45,48 @@ def test_neighbours(spark):
         assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
 
 
+def test_no_vector_is_stored_for_a_table_or_a_probe(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(800)] + [(1, [9.0] * 8)] * 30
+    vectors, stored = [], neighbours.stored
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        vectors.append(out.count() if "embedding" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", counted)
+    one = found(neighbours.nearest(spark.createDataFrame(rows, VECTORS)))
+    assert sum(vectors) <= len(rows) + 40
+    assert all(len({v for v, _ in got}) == 20 for got in one.values()) and len(one) == 40
+    monkeypatch.setattr(neighbours, "ASKED_BYTES", 1000)  # several broadcasts
+    assert found(neighbours.nearest(spark.createDataFrame(rows, VECTORS))) == one
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 1)  # pairs of hashes
+    want, two = brute_nearest(rows[:800]), found(neighbours.nearest(spark.createDataFrame(rows[:800], VECTORS)))
+    assert sum(len({v for v, _ in two[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_probes_and_best_rows_of_blocks():
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(300, 6)), np.concatenate([np.eye(6)[:2], rng.normal(size=(5, 6))])
+    x[100:140], ids = x[0], np.concatenate([np.arange(250), np.arange(50)])
+    for hashes, probes in ((1, 5), (1, 16), (2, 60), (2, 10_000)):
+        index = neighbours.CrossPolytope(6, float(np.linalg.norm(x, axis=1).max()), hashes)
+        best = neighbours.Best(neighbours.Asked(np.arange(7), q, *index.limits(q, probes, 2)), index.norm, 4)
+        frame = pd.DataFrame({"vec_id": ids, "embedding": list(x)})
+        for block in neighbours._blocks(iter([frame[:170], frame[170:]]), 6, 4):
+            neighbours._meet(best, *block, index)
+        buckets = [index.bucket(x, t) for t in range(2)]
+        for i in range(7):
+            hit = [np.isin(buckets[t], np.argsort(index.distance(q[i], t), kind="stable")[:probes]) for t in range(2)]
+            score = {}
+            for j in np.flatnonzero((hit[0] | hit[1]) & (ids != i)):
+                own = float(neighbours.exact(q[i:i + 1], x[j:j + 1])[0])
+                score[ids[j]] = max(own, score.get(ids[j], -np.inf))
+            want = sorted(score.items(), key=lambda p: (-p[1], p[0]))[:4]
+            assert [(a, b) for a, b in zip(best.ids[i], best.scores[i]) if b > -np.inf] == want
+
+
 def test_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]),
