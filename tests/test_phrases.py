@@ -1,10 +1,12 @@
 """Phrase tables against regular expressions of the same phrases."""
 import random
+import time
 from collections import Counter
 
 import pytest
 import regex
 from pyspark.sql import functions as F
+from tellsign import session
 from tellsign.functions import bitmap
 from tellsign.functions import text as T
 from tellsign.operators import evidence as EV
@@ -183,3 +185,40 @@ def test_scoring_works_out_the_phrase_table_once(spark, messages):
                                    F.udf(phrase, "string").asNondeterministic()("id").alias("phrase"))
     assert row_signals(messages(("a", "act now")), phrases=source).first()["f_score"] == 1.0
     assert calls.value == 1
+
+
+def test_large_tables_take_the_messages_in_slices(spark, messages, monkeypatch):
+    """One slice at a time is on disk; what is returned are written counts, the same as of one piece."""
+    rows = messages(*[("u", f"act now or never {i} act now, act") for i in range(40)], ("a", ""), ("b", "nothing")).unionByName(
+        spark.createDataFrame([(None, "n", "act now")], "msg_id long, user string, text string"))
+    phrases = spark.createDataFrame(
+        [(1, "f", "regex", "act now"), (2, "f", "keyword", "act now"), (3, "g", "regex", "act"), (4, "f", "regex", "Act now")], L.SCHEMA)
+    slices, counts = [], P.written
+
+    def written(df, purpose):
+        slices.append(purpose)
+        return counts(df, purpose)
+
+    def sides():
+        return [sorted(map(str, f(rows, phrases).collect())) for f in (P.family_hits, P.evidence)]
+
+    monkeypatch.setattr(P, "written", written)
+    expect = sides()
+    assert slices == ["phrases"] * 2
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(P, "SLICE_BYTES", 1)
+    monkeypatch.setattr(P, "SLICES", 2)
+    assert sides() == expect and slices.count("phrase-hits") == 2 * P.SLICES
+    assert "Generate" not in P.family_hits(rows, phrases)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+
+    before, setting = files(), spark.conf.get(session.TIDY_KEY)
+    df = session.written(spark.range(50_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count(), "tidy")
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and df.count() == 1000 and spark.conf.get(session.TIDY_KEY) == setting
