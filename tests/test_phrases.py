@@ -12,6 +12,7 @@ from tellsign.functions import text as T
 from tellsign.operators import evidence as EV
 from tellsign.operators import phrases as P
 from tellsign.operators.clean import valid_messages
+from tellsign.plans import scoring
 from tellsign.plans.jobs import score_and_store, stored_features
 from tellsign.plans.scoring import build_features, rescore, row_signals, score_batch
 from tellsign.sources import lexicons as L
@@ -222,3 +223,33 @@ def test_shuffle_files_of_a_written_table_go(spark):
     while files() > before and time.time() < until:
         time.sleep(0.1)
     assert files() <= before and df.count() == 1000 and spark.conf.get(session.TIDY_KEY) == setting
+
+
+def test_scores_prepare_a_large_table_once_and_attach_vectors_last(spark, messages, monkeypatch):
+    """The slices read the texts again, so nothing that moves texts may stand below them."""
+    rows = messages(("a", "act now"), ("b", "act and act"), ("c", "nothing"))
+    vectors = spark.createDataFrame([(0, [1.0, 1.0]), (2, [0.0, 3.0])], "msg_id long, embedding array<double>")
+    phrases = spark.createDataFrame([(1, "f", "regex", "act"), (2, "g", "keyword", "act now")], L.SCHEMA)
+    weights = {"f_score": 1.0, "semantic_signal": 1.0}
+    purposes, attached, write, attach = [], [], P.written, scoring.E.attach
+
+    def written(df, purpose):
+        purposes.append(purpose)
+        return write(df, purpose)
+
+    def attaching(df, embeddings):
+        attached.append("f_score" in df.columns)
+        return attach(df, embeddings)
+
+    def scored():
+        return {r.msg_id: (r.f_score, r.g_score, round(r.semantic_signal, 6), round(r.risk_score, 6)) for r in score_batch(
+            rows, vectors, weights, phrases=phrases).collect()}
+
+    expect = scored()
+    assert expect[0][:3] == (1.0, 1.0, 1.0) and expect[1][:3] == (2.0, 0.0, 0.0) and expect[2][:3] == (0.0, 0.0, 0.707107)
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(P, "written", written)
+    monkeypatch.setattr(scoring.E, "attach", attaching)
+    monkeypatch.setattr(P, "SLICES", 1)
+    assert scored() == expect
+    assert purposes == ["phrases", "phrase-bits", "phrase-hits"] and attached == [True]
