@@ -327,7 +327,9 @@ def _asked(queries: DataFrame, index: CrossPolytope, probes: int, tables: int) -
                 far, last = index.limits(_matrix(f["embedding"]), probes, tables)
                 yield f.assign(far=list(far), last=list(last))
 
-    found = queries.mapInPandas(limited, "vec_id long, embedding array<double>, far array<double>, last array<long>").toArrow()
+    # a few files hold the queries, but their limits are work for all cores
+    found = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism).mapInPandas(
+        limited, "vec_id long, embedding array<double>, far array<double>, last array<long>").toArrow()
     flat = lambda c, n: found[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
     return Asked(found["vec_id"].to_numpy(), flat("embedding", index.length), flat("far", tables), flat("last", tables))
 
